@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -24,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark drops a finished job's shuffle files once the driver's JVM has collected the job's plan
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,3 +149,39 @@ class Words:
 def stable_hash(column: Column) -> Column:
     """A uniform double in (0, 1) that depends on the column's value alone."""
     return (F.shiftrightunsigned(F.xxhash64(column, F.lit(20240229)), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+# ---------------------------------------------------------------- streams of rows sorted by key
+
+
+def arrow_batches(it: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Each Arrow batch as numpy columns (nulls are not expected)."""
+    for batch in it:
+        if batch.num_rows:
+            yield [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
+
+
+def first_of_runs(*keys: np.ndarray) -> np.ndarray:
+    """Boolean array: True where a run of equal keys begins."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices starts[i], starts[i] + 1, ..., lengths[i] of them, for all i in turn."""
+    total = int(lengths.sum())
+    out = np.ones(total, np.int64)
+    full = lengths > 0
+    starts, lengths = starts[full], lengths[full]
+    if total:
+        ends = np.cumsum(lengths)
+        out[0] = starts[0]
+        out[ends[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
+    return np.cumsum(out)

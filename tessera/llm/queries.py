@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import exact_dedup, mixing, substring_dedup
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
