@@ -45,13 +45,16 @@ def _rows(key: np.ndarray, low: np.ndarray, doc: np.ndarray, loc: np.ndarray) ->
     documents have becomes one row per batch.
     """
     order = np.lexsort((doc, low, key))
-    key, low, doc, loc = key[order], low[order], doc[order], loc[order]
-    begins = first_of_runs(key, low)
+    begins = first_of_runs(key[order], low[order])
     run = np.cumsum(begins) - 1
-    told = doc != doc[begins][run]
+    by_key = doc[order]
+    late = by_key != by_key[begins][run]
     shared = np.zeros(run[-1] + 1 if len(run) else 0, bool)
-    shared[run[told]] = True
-    kind = np.where(told, TOLD, np.where(shared[run], ASK_SHARED, ASK)).astype(np.int8)
+    shared[run[late]] = True
+    # back in the order of the text: neighbouring rows then differ in little but the key, and shuffle files shrink
+    kind = np.empty(len(key), np.int8)
+    kind[order] = np.where(late, TOLD, np.where(shared[run], ASK_SHARED, ASK))
+    told = kind == TOLD
     own = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + loc.astype(np.uint64)).view(np.int64)
     return record_batch(_ROWS, np.where(told, own, key), np.where(told, 0, low), doc, loc, kind)
 
