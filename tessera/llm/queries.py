@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, substring_dedup
+from tessera.llm import exact_dedup, mixing, ngram_join, substring_dedup
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
