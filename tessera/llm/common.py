@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Spark drops a finished job's shuffle files once the driver's JVM has collected the job's plan
+    # Spark drops a finished job's shuffle files once the driver's JVM has collected the job's plan, which the
+    # last listener events hold for a moment longer
     gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,77 +26,84 @@ NULL_ID = (1 << 63) - 1
 #: batch, or was told within its batch already.
 ASK, ASK_SHARED, TOLD = 0, 1, 2
 
-_ROWS = pa.schema([("key", pa.int64()), ("low", pa.int64()), ("doc", pa.int64()), ("loc", pa.int64()), ("kind", pa.int8())])
-_HITS = pa.schema([("doc", pa.int64()), ("loc", pa.int64())])
-_ROWS_DDL, _HITS_DDL = "key long, low long, doc long, loc long, kind byte", "doc long, loc long"
+#: A place is position << 32 | kind << 29 | tag. Rows are (doc, place, key...): neighbouring rows then differ only
+#: where the position and the key stand, side by side, and shuffle files compress well.
+_TAG = (1 << 29) - 1
+_HITS = pa.schema([("doc", pa.int64()), ("place", pa.int64())])
+_HITS_DDL = "doc long, place long"
+
+
+def _schema(keys: int) -> tuple[pa.Schema, str]:
+    names = ["doc", "place", *(f"key{k}" for k in range(keys))]
+    return pa.schema([(c, pa.int64()) for c in names]), ", ".join(f"{c} long" for c in names)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, text): tag tells apart rows that share an id but not their text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(0x7FFFFFFF).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(_TAG).alias("tag"), text.alias("text"))
 
 
-def _rows(key: np.ndarray, low: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Rows for the exchange, after the part of the comparison that needs none.
 
-    Within a batch only the smallest document of each key has to ask the other batches. The rest know that a
-    smaller document has their key; they travel under hashes of their own. So a key that a third of all
-    documents have becomes one row per batch.
+    Within a block of documents only the smallest document of each key has to ask the others. The rest know
+    that a smaller document has their key; they travel under hashes of their own. So a key that a third of all
+    documents have becomes one row per block.
     """
-    order = np.lexsort((doc, low, key))
-    begins = first_of_runs(key[order], low[order])
+    order = np.lexsort((doc, *reversed(keys)))
+    begins = first_of_runs(*(k[order] for k in keys))
     run = np.cumsum(begins) - 1
     by_key = doc[order]
     late = by_key != by_key[begins][run]
     shared = np.zeros(run[-1] + 1 if len(run) else 0, bool)
     shared[run[late]] = True
-    # back in the order of the text: neighbouring rows then differ in little but the key, and shuffle files shrink
-    kind = np.empty(len(key), np.int8)
+    kind = np.empty(len(doc), np.int64)  # back in the order of the text
     kind[order] = np.where(late, TOLD, np.where(shared[run], ASK_SHARED, ASK))
     told = kind == TOLD
-    own = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + loc.astype(np.uint64)).view(np.int64)
-    return record_batch(_ROWS, np.where(told, own, key), np.where(told, 0, low), doc, loc, kind)
+    own = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)).view(np.int64)
+    schema, _ = _schema(len(keys))
+    return record_batch(schema, doc, place | (kind << 29), np.where(told, own, keys[0]), *(np.where(told, 0, k) for k in keys[1:]))
 
 
-def _find(first_too: bool):
-    """Over rows sorted by (key, low, doc): the places whose key a smaller document has.
+def _find(keys: int, first_too: bool):
+    """Over rows sorted by (keys, doc): the places whose key a smaller document has.
 
     With ``first_too`` also the places of the smallest document itself, if another document has the key. What is
     carried from batch to batch is one row, or the rows of one key of one document, whatever a run's length.
     """
+    names = _schema(keys)[0].names
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int8)]
-        for batch in arrow_batches(it, _ROWS.names):
-            told = batch[4] == TOLD
-            done = batch[2][told], batch[3][told]
-            key, low, doc, loc, kind = (np.concatenate([c, x[~told]]) for c, x in zip(carry, batch))
-            if len(key):
-                begins = first_of_runs(key, low)
+        carry = [np.empty(0, np.int64) for _ in names]
+        for batch in arrow_batches(it, names):
+            told = (batch[1] >> 29) & 3 == TOLD
+            done = batch[0][told], batch[1][told]
+            doc, place, *key = (np.concatenate([c, x[~told]]) for c, x in zip(carry, batch))
+            if len(doc):
+                begins = first_of_runs(*key)
                 no = np.cumsum(begins) - 1
                 later = doc > doc[begins][no]
                 shared = np.zeros(no[-1] + 1, bool)
-                shared[no[later | (kind == ASK_SHARED)]] = True
-                hit = (later | shared[no] if first_too else later) & (loc >= 0)
-                done = np.concatenate([done[0], doc[hit]]), np.concatenate([done[1], loc[hit]])
+                shared[no[later | ((place >> 29) & 3 == ASK_SHARED)]] = True
+                hit = (later | shared[no] if first_too else later) & (place >= 0)
+                done = np.concatenate([done[0], doc[hit]]), np.concatenate([done[1], place[hit]])
                 open_run = np.flatnonzero(no == no[-1])
-                if shared[-1] or not first_too:  # one row stands for the run from here on
+                if shared[-1] or not first_too:  # one row, of no place, stands for the run from here on
                     open_run = open_run[:1]
-                    loc, kind = loc.copy(), kind.copy()
-                    loc[open_run] = -1
-                    kind[open_run] = ASK_SHARED if shared[-1] else ASK
-                carry = [x[open_run] for x in (key, low, doc, loc, kind)]
+                    place = place.copy()
+                    place[open_run] = (-1 << 32) | ((ASK_SHARED if shared[-1] else ASK) << 29)
+                carry = [x[open_run] for x in (doc, place, *key)]
             if len(done[0]):
                 yield record_batch(_HITS, *done)
 
     return run
 
 
-def _exchange(rows: DataFrame, first_too: bool) -> DataFrame:
-    """Places (doc, loc) that share their key with another document, grouped by document row."""
-    hits = rows.repartition("key").sortWithinPartitions("key", "low", "doc").mapInArrow(_find(first_too), _HITS_DDL)
-    hits = hits.select("doc", F.shiftrightunsigned("loc", 32).alias("tag"), F.col("loc").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos"))
+def _exchange(rows: DataFrame, keys: int, first_too: bool) -> DataFrame:
+    """Places that share their key with another document, grouped by document row."""
+    hits = rows.repartition("key0").sortWithinPartitions(*(f"key{k}" for k in range(keys)), "doc").mapInArrow(_find(keys, first_too), _HITS_DDL)
+    hits = hits.select("doc", F.col("place").bitwiseAND(_TAG).alias("tag"), F.shiftright("place", 32).cast("int").alias("pos"))
     return hits.groupBy("doc", "tag").agg(F.collect_list("pos").alias("places"))
 
 
@@ -120,9 +127,9 @@ def _batches(it: Iterator[pa.RecordBatch]):
 
 
 def _locate(words: Words, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and (tag, position in the document) of the words with indices ``at``."""
+    """Id and place of the words with indices ``at``."""
     own = words.doc[at]
-    return doc[own], (tag[own].astype(np.int64) << 32) | (at - words.bounds[own])
+    return doc[own], ((at - words.bounds[own]) << 32) | tag[own].astype(np.int64)
 
 
 def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +139,7 @@ def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.isin(position % PERIOD, COVER) & (words.counts[words.doc[at]] >= WINDOW)
         key, at = key[on].view(np.int64), at[on]
         if len(at):
-            yield _rows(key, np.zeros(len(at), np.int64), *_locate(words, doc, tag, at))
+            yield _rows([key], *_locate(words, doc, tag, at))
 
 
 def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +154,7 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = mark[np.minimum(at + PERIOD, len(mark) - 1)] > mark[at]
         low = words.windows(WINDOW, seed=0x5DEECE66D)[0]
         if on.any():
-            yield _rows(key[on].view(np.int64), low[on].view(np.int64), *_locate(words, doc, tag, at[on]))
+            yield _rows([key[on].view(np.int64), low[on].view(np.int64)], *_locate(words, doc, tag, at[on]))
 
 
 def _cut(words: Words, starts: np.ndarray) -> np.ndarray:
@@ -202,9 +209,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space).
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = materialize(_exchange(keyed.mapInArrow(_anchors, _ROWS_DDL), True), "substring-anchors")
+    anchors = materialize(_exchange(keyed.mapInArrow(_anchors, _schema(1)[1]), 1, True), "substring-anchors")
     near = keyed.join(anchors, ["doc", "tag"]).select("doc", "tag", "text", "places")
-    windows = materialize(_exchange(near.mapInArrow(_candidates, _ROWS_DDL), False), "substring-windows")
+    windows = materialize(_exchange(near.mapInArrow(_candidates, _schema(2)[1]), 2, False), "substring-windows")
     cut = keyed.join(windows, ["doc", "tag"], "left").select("doc", "tag", "text", "places")
     out = cut.mapInArrow(_remove, "doc long, n_words long, n_removed long, kept_text string")
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")
