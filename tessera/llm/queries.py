@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, ngram_join, substring_dedup
+from tessera.llm import exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_language_id": language_id.op2_language_id,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
