@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup
+from tessera.llm import bpe, chat, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_language_id": language_id.op2_language_id,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+    "op8_bpe": bpe.op8_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op3_chat_format": chat.ORACLE,
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
