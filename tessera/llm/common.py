@@ -24,17 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing."""
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing.
+
+    With ``large`` also let go of the shuffle files behind it before the next job starts: Spark drops them once
+    the driver's JVM has collected the finished plan, which queued listener events hold for a moment.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Spark drops a finished job's shuffle files once the driver's JVM has collected the job's plan, which the
-    # last listener events hold for a moment longer
-    gc.collect()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if large:
+        del df
+        for _ in range(2):
+            time.sleep(1)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(keyed.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), "rank"), "dedup-rows")
 
     texts = keyed.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("best"))
-    entries = materialize(texts.select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"), "dedup-entries")
+    entries = materialize(texts.select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"), "dedup-entries", large=True)
 
     directory = _directory(entries.select("h").distinct(), bucket_entries, max_depth)
     leaf = F.col("h").bitwiseAND((1 << max_depth) - 1)

@@ -209,9 +209,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space).
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = materialize(_exchange(keyed.mapInArrow(_anchors, _schema(1)[1]), 1, True), "substring-anchors")
+    anchors = materialize(_exchange(keyed.mapInArrow(_anchors, _schema(1)[1]), 1, True), "substring-anchors", large=True)
     near = keyed.join(anchors, ["doc", "tag"]).select("doc", "tag", "text", "places")
-    windows = materialize(_exchange(near.mapInArrow(_candidates, _schema(2)[1]), 2, False), "substring-windows")
+    windows = materialize(_exchange(near.mapInArrow(_candidates, _schema(2)[1]), 2, False), "substring-windows", large=True)
     cut = keyed.join(windows, ["doc", "tag"], "left").select("doc", "tag", "text", "places")
     out = cut.mapInArrow(_remove, "doc long, n_words long, n_removed long, kept_text string")
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")
