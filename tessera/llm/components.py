@@ -24,6 +24,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
         step = step.join(up, step["root"] == up["up"], "left").select("node", "old", F.least("root", F.coalesce("up_root", "root")).alias("root"))
         step = materialize(step, "components-labels")
-        if step.filter("old <> root").limit(1).count() == 0:
+        if not step.filter("old <> root").limit(1).count():
             return step.select("node", "root")
         labels = step.select("node", "root")

@@ -165,19 +165,18 @@ def _pairs_of_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from rows sorted by (sig, node).
 
     A group gives its pairs of fitting sizes. The group of a rare shingle is small by definition; that of a
-    combination may not be: over SMALL_GROUP nodes it gives the pairs of its first node with the others, and its
-    rows again (``sig`` set) for the second look. Only an unfinished small group is carried between batches.
+    combination may not be: over SMALL_GROUP nodes it gives its rows again, with ``sig`` set and no partner.
+    Only an unfinished small group is carried between batches.
     """
     carry = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool)]
-    hub = None  # (sig, node, n) of the large group met last
+    open_sig = None  # signature of a large group that has given rows already and goes on
 
     def emit(sig, node, n, rare, one):
-        nonlocal hub
         start = np.flatnonzero(first_of_runs(sig))
         size = np.diff(np.append(start, len(sig)))
         large = (size > SMALL_GROUP) & ~one[start]
-        if hub is not None:
-            large |= sig[start] == hub[0]
+        if open_sig is not None:
+            large |= sig[start] == open_sig
         out = []
         for k in np.unique(size[(size > 1) & ~large]):
             rows = start[(size == k) & ~large][:, None] + np.arange(k)
@@ -190,30 +189,24 @@ def _pairs_of_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the one whose prefix ends first has all that they share up to there in both prefixes
             least = np.maximum(1, np.minimum(rare[x] - (nx - overlap), rare[y] - (ny - overlap)))
             both = one[x] & one[y]
-            out.append((node[x], node[y], both.astype(np.int64), np.where(both, least, 0), np.full(len(x), -1), np.full(len(x), -1)))
-        for p, k in zip(start[large], size[large]):
-            g = slice(p, p + k)
-            if hub is None or hub[0] != sig[p]:
-                hub = (sig[p], node[p], n[p])
-            ok = _can_link(n[g], hub[2]) & (node[g] != hub[1])
-            m = int(ok.sum())
-            out.append((np.full(m, hub[1]), node[g][ok], np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, -1), np.full(m, -1)))
-            out.append((node[g], np.full(k, -1), np.zeros(k, np.int64), np.zeros(k, np.int64), sig[g], n[g].astype(np.int64)))
-        if out:
-            a, b, shared, least, sg, nn = (np.concatenate(c) for c in zip(*out))
-            member = nn >= 0
-            lo, hi = np.where(member, a, np.minimum(a, b)), np.where(member, b, np.maximum(a, b))
-            yield record_batch(_PAIRS, lo, hi, shared, least, sg, nn)
+            lo, hi = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            none = np.full(len(x), -1)
+            out.append((lo, hi, both.astype(np.int64), np.where(both, least, 0), none, none))
+        at = np.repeat(large, size)
+        k = int(at.sum())
+        out.append((node[at], np.full(k, -1), np.zeros(k, np.int64), np.zeros(k, np.int64), sig[at], n[at].astype(np.int64)))
+        yield record_batch(_PAIRS, *(np.concatenate(c) for c in zip(*out)))
 
     for batch in arrow_batches(it, _SIGS.names):
         rows = [np.concatenate([c, x]) for c, x in zip(carry, batch)]
         keep = first_of_runs(rows[0], rows[1])  # copies of one node come from different batches
         sig, node, n, rare, one = (x[keep] for x in rows)
         last = int(np.searchsorted(sig, sig[-1]))
-        goes_on = hub is not None and hub[0] == sig[-1] or len(sig) - last > SMALL_GROUP and not one[last]
+        goes_on = open_sig == sig[-1] or len(sig) - last > SMALL_GROUP and not one[last]
         ready = len(sig) if goes_on else last  # a large group's rows need not wait for its end
         if ready:
             yield from emit(sig[:ready], node[:ready], n[:ready], rare[:ready], one[:ready])
+        open_sig = sig[-1] if goes_on else None
         carry = [x[ready:] for x in (sig, node, n, rare, one)]
     if len(carry[0]):
         yield from emit(*carry)
@@ -237,16 +230,75 @@ def _frequent(counts: DataFrame) -> np.ndarray:
     return np.sort(top.column("h").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
 
 
-def _links(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(nodes: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, items): the whole sets of some nodes, from the texts of the documents that own them."""
+    needed = nodes.distinct().join(owners, "node")
+    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["owner"])).select("node", "text")
+    return materialize(texts.mapInArrow(_sets, _SETS_DDL), "ngram-sets", large=True)
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose similarity is high enough, from the whole sets of both."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(owners, "node")
-    sets = docs.join(needed, docs["doc_id"].eqNullSafe(needed["owner"])).select("node", "text")
-    sets = materialize(sets.mapInArrow(_sets, _SETS_DDL), "ngram-sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     link = F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))
-    return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links")
+    return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links", large=True)
+
+
+#: Shingles in a block of strays and in a block of members that a task compares.
+STRAY_BLOCK, MEMBER_BLOCK = 200_000, 1_000_000
+
+
+def _compare_blocks(strays: pa.Table, members: pa.Table) -> pa.Table:
+    """Links of one block of strays with one block of members: for each stray one per component it meets."""
+    found_a, found_b = [], []
+    if strays.num_rows and members.num_rows:
+        items = members.column("items").combine_chunks()
+        vocabulary, index = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        sizes = items.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        node, root = members.column("node").to_numpy(), members.column("root").to_numpy()
+        own_root = strays.column("root").to_numpy()
+        mark = np.zeros(len(vocabulary), np.int32)
+        for k, (x, own) in enumerate(zip(strays.column("node").to_numpy(), strays.column("items"))):
+            own = np.asarray(own.values)
+            at = np.searchsorted(vocabulary, own)
+            at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == own]
+            mark[at] = 1
+            common = np.add.reduceat(mark[index], starts)
+            mark[at] = 0
+            hit = (common * 100 >= PERCENT * (sizes + len(own) - common)) & (root != own_root[k])
+            _, first = np.unique(root[hit], return_index=True)
+            found_a += [x] * len(first)
+            found_b += node[hit][first].tolist()
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def _stray_links(canopies: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join a canopy's strays to other components of the canopy.
+
+    A canopy has all nodes that large groups chain together; its strays are those outside its most frequent
+    component. They are compared with all members, block by block.
+    """
+    placed = canopies.join(labels, "node", "left").select("node", "canopy", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("canopy", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("canopy").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    sized = placed.join(main, "canopy").join(sets, "node").select("node", "canopy", "root", "main", "items", F.size("items").alias("n"))
+    is_stray = F.col("root") != F.col("main")
+    blocks_of = sized.groupBy("canopy").agg(F.ceil(F.sum(F.when(is_stray, F.col("n")).otherwise(0)) / STRAY_BLOCK).alias("stray_blocks"), F.ceil(F.sum("n") / MEMBER_BLOCK).alias("member_blocks"))
+    sized = sized.join(blocks_of, "canopy")
+
+    def block(n):
+        return F.pmod(F.xxhash64("node"), n)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    strays = sized.filter(is_stray).select("canopy", block(F.col("stray_blocks")).alias("s"), every(F.col("member_blocks")).alias("m"), "node", "root", "items")
+    members = sized.filter("stray_blocks > 0").select("canopy", every(F.col("stray_blocks")).alias("s"), block(F.col("member_blocks")).alias("m"), "node", "root", "items")
+    key = ["canopy", "s", "m"]
+    return strays.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(_compare_blocks, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +309,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent. Nodes that share a signature are candidates, unless they share too few of their rare prefix
     shingles for the similarity to be reached; candidates are verified on their whole sets.
 
-    A combination that more than SMALL_GROUP nodes share mostly stands for a group of near copies. Its first
-    node is compared with all others; after that only pairs of members which the links found so far leave in
-    different components are compared. So such a group costs its size, and no link between components is lost.
+    A combination that more than SMALL_GROUP nodes share mostly stands for a family of near copies. Its members
+    are compared with the one among them that is in most large groups, the likely original. Members that no
+    link has joined to the family's main component are then compared with all its members in blocks. So a
+    family costs its size plus its strays, and no link between components is lost.
 
     Texts are lower-cased (A-Z), words are split at ASCII white space. Defined cases: null or blank text has an
     empty set, linked with nothing; with fewer than five words the whole sequence is the only element; repeated
@@ -280,22 +333,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = texts.mapInArrow(_signed(frequent), _SIGS_DDL)
     found = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_pairs_of_groups, _PAIRS_DDL)
     found = found.groupBy("a", "b", "sig", "n").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.min("least").alias("lowest"))
-    found = materialize(found.filter("sig <> -1 or n >= 0 or lowest = 0 or shared >= least").select("a", "b", "sig", "n"), "ngram-found")
-
-    pairs = found.filter("n < 0")
-    links = _links(pairs, owners, docs)
-    labels = connected_components(links)
-
-    members = found.filter("n >= 0").select(F.col("a").alias("node"), "sig", "n").join(labels, "node", "left")
-    members = materialize(members.withColumn("root", F.coalesce("root", "node")), "ngram-members")
-    split = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    left = members.join(split, "sig").select("sig", F.col("node").alias("a"), F.col("n").alias("n"), F.col("root").alias("ra"))
-    right = members.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))
-    rest = materialize(left.join(right, "sig").filter(fits).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
-    if rest.limit(1).count():
-        more = _links(rest, owners, docs)
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    found = materialize(found.filter("sig <> -1 or n >= 0 or lowest = 0 or shared >= least").select("a", "b", "sig", "n"), "ngram-found", large=True)
+
+    members = found.filter("n >= 0").select(F.col("a").alias("node"), "sig", "n")
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    centres = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", "degree").alias("centre"), F.max_by("n", "degree").alias("m"))
+    stars = members.join(centres, "sig").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), "n", "m").distinct()
+    stars = materialize(stars, "ngram-stars")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
+    pairs = found.filter("n < 0").select("a", "b").union(stars.filter(fits).select("a", "b"))
+    used = pairs.select("a").union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).withColumnRenamed("a", "node")
+    sets = _sets_of(used, owners, docs)
+    labels = connected_components(_links(pairs, sets))
+    if stars.limit(1).count():
+        canopies = connected_components(stars.select("a", "b")).withColumnRenamed("root", "canopy")
+        more = materialize(_stray_links(canopies, labels, sets), "ngram-stray-links")
+        if more.limit(1).count():
+            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     placed = nodes.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node"))
     names = placed.filter("n > 0").groupBy("part").agg(F.min("doc_id").alias("name"))
