@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact_dedup, language_id, media_tiff, mixing, ngram_join, quality, substring_dedup
+from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_media_tiff": media_tiff.op6_media_tiff,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_bpe": bpe.op8_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
