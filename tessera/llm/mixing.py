@@ -62,11 +62,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is a source of its own, after the others; ties of keys go by id, size and row; repeated rows count as
     separate documents; an empty table gives no rows; other columns are not read.
 
-    Returns row_id, doc_id, source, size, source_size, target, copies, taken.
+    Returns row_id, doc_id, text_hash, source, size, source_size, target, copies, taken.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), word_count(F.col(text_col)).alias("size"))
     u = stable_hash(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
-    base = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "size", (-F.log(u) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
+    base = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_hash"), "source", "size", (-F.log(u) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
     base = materialize(base, "mix-sizes")
 
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -95,10 +95,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     running = Window.partitionBy("source").orderBy("key", F.col("doc_id").isNull(), "doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("mid", F.col("edge_before") + F.sum("size").over(running) - F.col("size") / 2).withColumn("extra", (F.col("mid") <= F.col("budget")).cast("long"))
     outside = d.filter(~on_edge).withColumn("extra", F.coalesce((F.col("bucket") <= F.col("last_full")).cast("long"), F.lit(0)))
-    keep = ["row_id", "doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
+    keep = ["row_id", "doc_id", "text_hash", "source", "size", "source_size", "target", "epochs", "extra"]
     out = outside.select(*keep).unionByName(inside.select(*keep))
     out = out.withColumn("copies", F.col("epochs") + F.when(F.col("size") > 0, F.col("extra")).otherwise(F.lit(0)))
-    return out.select("row_id", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("row_id", "doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every row as often as ``mix`` takes it, all columns kept.
+
+    Rows are found again by id and text; repeated rows, which the mix may take differently often, are each taken
+    as often as the one taken most.
+    """
+    often = mix.filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies"))
+    out = docs.join(often, docs[id_col].eqNullSafe(often["__id"]) & (F.xxhash64(docs[text_col]) == often["__hash"]))
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__hash", "__copies", "__k")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
