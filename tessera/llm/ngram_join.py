@@ -295,8 +295,11 @@ def _stray_links(canopies: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
     def every(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    strays = sized.filter(is_stray).select("canopy", block(F.col("stray_blocks")).alias("s"), every(F.col("member_blocks")).alias("m"), "node", "root", "items")
-    members = sized.filter("stray_blocks > 0").select("canopy", every(F.col("stray_blocks")).alias("s"), block(F.col("member_blocks")).alias("m"), "node", "root", "items")
+    def side(rows, s, m):  # new columns, as both sides come from one frame
+        return rows.select(s.alias("s"), m.alias("m"), *(F.col(c).alias(c) for c in ("canopy", "node", "root", "items")))
+
+    strays = side(sized.filter(is_stray), block(F.col("stray_blocks")), every(F.col("member_blocks")))
+    members = side(sized.filter("stray_blocks > 0"), every(F.col("stray_blocks")), block(F.col("member_blocks")))
     key = ["canopy", "s", "m"]
     return strays.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(_compare_blocks, "a long, b long")
 
