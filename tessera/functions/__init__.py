@@ -1 +1 @@
-"""Functions of the library."""
+"""Column functions: text, predicates, intervals."""
