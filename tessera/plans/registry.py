@@ -30,10 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def both(template: str, **names) -> str:
-    return template.format(**names)
-
-
 # ---------------------------------------------------------------- time
 
 
@@ -425,7 +421,7 @@ def discover_links(spark, sf_dir):
 
 
 @query("""
-SELECT page_id AS request_id, CASE WHEN regexp_matches(url, '[13579]$') AND NOT regexp_matches(url, '1$') THEN false ELSE true END AS allowed FROM pages""")
+SELECT page_id AS request_id, NOT regexp_matches(regexp_replace(url, '#.*$', ''), '[3579]$') AS allowed FROM pages""")
 def robots_decision(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("FILE")).alias("path"))
     robots = "User-agent: *\nDisallow: /\n\nUser-agent: tessera\nUser-agent: other\nAllow: /\n" + "".join(f"Disallow: /*{d}$\n" for d in (1, 3, 5, 7, 9)) + "Allow: /*1$ # last digit one\n"
