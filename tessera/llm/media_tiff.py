@@ -327,7 +327,7 @@ def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> tuple:
         bright = now["columns"] * WIDTH > now["columns"].sum()
-        feature = f"{int(''.join('01'[b] for b in bright), 2):016x}"
+        feature = f"{int(''.join('01'[int(b)] for b in bright), 2):016x}"
         return (*now["head"][:2], now["size"], now["sha"].hexdigest(), zlib.crc32(now["tail"]), *now["head"][2:], feature)
 
     for batch in it:
