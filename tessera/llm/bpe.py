@@ -12,13 +12,14 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.common import documents, ragged
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose encodings a worker remembers at most.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
+#: Pairs of tokens whose fit a worker remembers at most.
+CACHED_PAIRS = 200_000
 #: How byte-level BPE cuts a text into words (fixed values: the published pattern of such vocabularies).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -93,7 +94,7 @@ class Vocabulary:
                 x_used, x = self.rank[x], self.parts[x][1]
             else:
                 y_used, y = self.rank[y], self.parts[y][0]
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > CACHED_PAIRS:
             self._fits.clear()
         self._fits[a, b] = ok
         return ok
@@ -212,68 +213,78 @@ def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` added: the token ids of the whole text, as the tokenizers library encodes it without
-    special tokens added, truncation or padding. Special tokens written in a text become their ids.
+def _strings(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces, drop: int = 0) -> pa.Array:
+    """ids[bounds[k]:bounds[k + 1]] written with ``pieces``, ``drop`` bytes less at the end of each that has any;
+    bytes that are not UTF-8 become U+FFFD."""
+    data, ends = pieces.join(ids, bounds)
+    data = data.tobytes()
+    return pa.array([data[i : max(i, j - drop)].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])], pa.string())
 
-    Defined cases: null counts as the empty text, which has no ids; ties and repeated rows are each encoded; an
-    empty table gives no rows; a column named ids is replaced. Memory is bounded by a batch of texts and
-    CACHED_WORDS words.
-    """
-    path = path or default_path()
 
-    @arrow_udf("array<int>")
-    def run(text: pa.Array) -> pa.Array:
+#: Columns that coding adds, and how each is made of a vocabulary, ids and their bounds.
+_CODED = {
+    "ids": ("array<int>", lambda v, ids, bounds: pa.ListArray.from_arrays(bounds.astype(np.int32), ids)),
+    "decoded": ("string", lambda v, ids, bounds: _strings(ids, bounds, v.pieces)),
+    "ids_text": ("string", lambda v, ids, bounds: _strings(ids, bounds, v.decimals, 1)),
+}
+
+
+def _adding(df: DataFrame, source: str, columns: tuple[str, ...], path: str, ids_of) -> DataFrame:
+    """``df`` with coded columns added; texts are worked on in portions of about 2 MB."""
+    keep = [f for f in df.schema.fields if f.name not in columns]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{c} {_CODED[c][0]}" for c in columns)])
+    names = [f.name for f in keep]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        parts = []
-        sizes = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
-        for i, j in _portions(sizes, 2 << 20):
-            parts += vocab.encode([t or "" for t in text[i:j].to_pylist()])
-        offsets = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-        return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), np.int32))
+        for batch in it:
+            for i, j, ids, bounds in ids_of(vocab, batch.column(source)):
+                made = [_CODED[c][1](vocab, ids, bounds) for c in columns]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n)[i:j] for n in names), *made], names=[*names, *columns])
 
-    return docs.withColumn("ids", run(F.col(text_col)))
+    return df.mapInArrow(run, ddl)
 
 
-def _joined(ids: pa.ListArray, pieces: Pieces, drop: int = 0) -> list[bytes]:
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for i, j in _portions(sizes, 1 << 20):
-        data, ends = pieces.join(flat[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-        data = data.tobytes()
-        out += [data[a : max(a, b - drop)] for a, b in zip(ends[:-1], ends[1:])]
-    return out
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``ids`` added: the token ids of the whole text, as the tokenizers library encodes it without
+    special tokens added, truncation or padding. Special tokens written in a text become their ids.
 
+    ``also`` may name ``decoded`` (the text that the ids decode to) and ``ids_text`` (the ids in decimal, joined
+    by commas), made from the ids in the same pass.
 
-def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with ``decoded`` added: the text of the ids, special tokens included; bytes that are not UTF-8
-    become U+FFFD. Null ids are the empty text."""
-    path = path or default_path()
+    Defined cases: null counts as the empty text, which has no ids; ties and repeated rows are each encoded; an
+    empty table gives no rows; columns with the new names are replaced. Memory is bounded by a batch of texts
+    and CACHED_WORDS words.
+    """
 
-    @arrow_udf("string")
-    def run(ids: pa.Array) -> pa.Array:
-        return pa.array([b.decode("utf-8", "replace") for b in _joined(ids, vocabulary(path).pieces)], pa.string())
+    def ids_of(vocab: Vocabulary, text: pa.Array):
+        sizes = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
+        for i, j in _portions(sizes, 2 << 20):
+            parts = vocab.encode([t or "" for t in text[i:j].to_pylist()])
+            bounds = np.zeros(len(parts) + 1, np.int64)
+            np.cumsum([len(p) // 4 for p in parts], out=bounds[1:])
+            yield i, j, np.frombuffer(b"".join(parts), np.int32), bounds
 
-    return docs.withColumn("decoded", run(F.col(ids_col)))
+    return _adding(docs, text_col, ("ids", *also), path or default_path(), ids_of)
 
 
-def ids_text(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids_text`` added: the ids in decimal, joined by commas."""
-    path = path or default_path()
+def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None, columns: tuple[str, ...] = ("decoded",)) -> DataFrame:
+    """``docs`` with ``decoded`` added: the text of the ids, special tokens included; bytes that are not UTF-8
+    become U+FFFD. Null ids are the empty text. ``columns`` may also name ``ids_text``."""
 
-    @arrow_udf("string")
-    def run(ids: pa.Array) -> pa.Array:
-        return pa.array([b.decode() for b in _joined(ids, vocabulary(path).decimals, drop=1)], pa.string())
+    def ids_of(vocab: Vocabulary, ids: pa.Array):
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        for i, j in _portions(sizes, 1 << 20):
+            yield i, j, flat[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
 
-    return docs.withColumn("ids_text", run(F.col(ids_col)))
+    return _adding(docs, ids_col, columns, path or default_path(), ids_of)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
-    coded = ids_text(decode(encode(docs.select("doc_id", "text"))))
+    coded = encode(docs.select("doc_id", "text"), also=("decoded", "ids_text"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

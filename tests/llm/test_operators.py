@@ -256,7 +256,7 @@ def test_bpe(spark, sample):
     t = Tokenizer.from_file(bpe.default_path())
     odd = ["<|endoftext|>", "a<|endoftext|> b", "  x  ", "\r\n\t", "don't WE'LL 12³½", "\x1c\x85 　", "aaaaaaaaaaaaaaaaaaaaaaaa", "👍🏽‍"]
     rows = [*sample, *((1000 + k, s, "o") for k, s in enumerate(odd))]
-    got = bpe.ids_text(bpe.decode(bpe.encode(frame(spark, rows)))).collect()
+    got = bpe.decode(bpe.encode(frame(spark, rows)), columns=("decoded", "ids_text")).collect()
     assert len(got) == len(rows)
     for r in got:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
