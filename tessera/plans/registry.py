@@ -415,7 +415,15 @@ def host_allow(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.extension_for(F.lit(None).cast("string"), F.col("url")).alias("ext"), host.alias("host"), checks.host_allowed(host, ["example.com", "example.org"]).alias("allowed"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT page_id, url AS base, regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"''#]+)["'']', 1) AS l FROM pages
+), u AS (SELECT page_id, base, unnest(l) AS link, unnest(range(1, len(l) + 1)) AS ord FROM a
+), o AS (SELECT *, regexp_extract(base, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(base, '^(https?://[^?#]*/)[^/?#]*', 1) AS f FROM u
+), r AS (SELECT page_id, base, ord, replace(link, '&amp;', '&') AS link, origin, CASE WHEN length(f) > length(origin) THEN f ELSE origin || '/' END AS folder FROM o
+), x AS (SELECT page_id, base, ord, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN link LIKE '//%' THEN regexp_extract(base, '^(https?):', 1) || ':' || link WHEN link LIKE '/%' THEN origin || link ELSE folder || regexp_replace(link, '^\\./', '') END AS url FROM r
+), g AS (SELECT page_id, url, min(ord) AS ord FROM x WHERE regexp_extract(url, '^https?://([^/:?#]+)', 1) = regexp_extract(base, '^https?://([^/:?#]+)', 1) GROUP BY 1, 2)
+SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS ord FROM g""")
 def discover_links(spark, sf_dir):
     return web.discover_links(table(spark, sf_dir, "pages"), "page_id", "url", "html").select("page_id", F.col("ord").cast("long").alias("ord"), "url")
 
