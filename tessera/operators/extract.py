@@ -130,24 +130,25 @@ def gazette_provisions(parts: DataFrame, documents: DataFrame, references: DataF
 
 
 def paragraphs(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, ord, role, class, text) of a page's classed paragraphs; a class that is not known counts as content
+    """(id, ord, role, class, source_id, text) of a page's classed paragraphs; a class that is not known counts as content
     further on and keeps the role unknown here."""
     found = F.regexp_extract_all(F.col(html_col), F.lit(r'(?s)(<p[^>]*class="[^"]*"[^>]*>.*?</p>)'), F.lit(1))
     t = pages.select(F.col(id_col), F.posexplode(found).alias("ord", "p"))
     name = F.regexp_extract("p", r'^<p[^>]*class="([^"]*)"', 1)
     role = F.when(name == "prov-article", "article").when(name.isin("prov-content", "prov-clause", "prov-item"), "content").when(name.isin("prov-chapter", "prov-section"), "structure").otherwise("unknown")
-    return t.select(id_col, "ord", role.alias("role"), name.alias("class"), html_to_text(F.regexp_replace("p", "(?s)^<p[^>]*>|</p>$", "")).alias("text"))
+    source = F.nullif(F.regexp_extract("p", r'^<p[^>]*\sid="([^"]*)"', 1), F.lit(""))
+    return t.select(id_col, "ord", role.alias("role"), name.alias("class"), source.alias("source_id"), html_to_text(F.regexp_replace("p", "(?s)^<p[^>]*>|</p>$", "")).alias("text"))
 
 
 def marked_provisions(paras: DataFrame, id_col: str) -> DataFrame:
-    """(id, no, heading, text) of pages' articles: content up to the next article or structural paragraph, joined
+    """(id, no, source_id, heading, text) of pages' articles: content up to the next article or structural paragraph, joined
     by newlines, without the heading unless there is no content."""
     t = section_fill(paras, id_col, "ord", F.col("role") == "article", F.col("role") == "structure").filter("section is not null")
     content = F.filter(F.sort_array(F.collect_list(F.struct("ord", "role", "text"))), lambda p: p["role"] != "article")
-    g = t.groupBy(id_col, "section").agg(F.max(F.when(F.col("role") == "article", F.col("text"))).alias("heading"), content.alias("c"))
+    g = t.groupBy(id_col, "section").agg(F.max(F.when(F.col("role") == "article", F.col("text"))).alias("heading"), F.max(F.when(F.col("role") == "article", F.col("source_id"))).alias("source_id"), content.alias("c"))
     text = F.when(F.size("c") > 0, F.array_join(F.col("c")["text"], "\n")).otherwise(F.col("heading"))
     no = F.row_number().over(Window.partitionBy(id_col).orderBy("section"))
-    return g.select(id_col, no.alias("no"), "heading", text.alias("text"))
+    return g.select(id_col, no.alias("no"), "source_id", "heading", text.alias("text"))
 
 
 def read_detail_page(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -176,3 +177,32 @@ def propose_applicability(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     subject = F.array_join(F.slice(F.split(F.regexp_replace("condition", "[.;]$", ""), WS + "+"), 1, 8), " ")
     conditions = hit.select(F.concat(F.lit("cond_"), "version_id", F.lit("_k"), "no").alias("condition_id"), "provision_id", subject.alias("subject"), "condition", F.lit(True).alias("applies"), F.lit("under_review").alias("status"))
     return conditions, scope.join(hit.select("version_id").distinct(), "version_id", "left_anti").select("provision_id", "version_id")
+
+
+def draft_from_payloads(payloads: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Draft provisions of streamed page payloads, and what was refused or skipped: (id, locator, reason).
+
+    A payload without metadata, id or effective date is refused as a whole (METADATA_NOT_FOUND,
+    EFFECTIVE_DATE_MISSING); an article without an id or heading is skipped. Drafts await review.
+    """
+    from tessera.sources.web import read_flight
+
+    parts = read_flight(payloads, id_col, text_col).join(payloads.select(id_col, F.col(text_col).alias("__all")), id_col)
+    meta = F.from_json("metadata", "docNum string, effFrom string, effTo string, id string, title string")
+    body = F.coalesce(F.filter("chunks", lambda c: c.contains("prov-article"))[0], F.col("__all"))
+    t = parts.withColumn("m", meta).withColumn("body", body)
+    day = lambda c: F.when(F.length(c) >= 10, F.substring(c, 1, 10))
+    refusal = F.when(F.col("m.docNum").isNull() | F.col("m.id").isNull(), "METADATA_NOT_FOUND").when(day(F.col("m.effFrom")).isNull(), "EFFECTIVE_DATE_MISSING")
+    t = t.withColumn("refusal", refusal)
+    good = t.filter("refusal is null")
+    found = marked_provisions(paragraphs(good.select(id_col, "body"), id_col, "body"), id_col).join(good.select(id_col, "m"), id_col)
+    skip = F.when(F.col("source_id").isNull(), "NO_ID").when(F.col("heading") == "", "EMPTY_HEADING")
+    found = found.withColumn("skip", skip)
+    start = day(F.col("m.effFrom"))
+    drafts = found.filter("skip is null").select(
+        id_col, F.concat(F.lit("doc_vbpl_"), "m.id").alias("document_id"), F.col("m.docNum").alias("document_number"), F.concat(F.lit("prov_vbpl_"), "source_id").alias("provision_id"),
+        F.concat(F.lit("pv_vbpl_"), "source_id", F.lit("_e"), F.regexp_replace(start, "-", "")).alias("version_id"), "heading", "text", F.sha2("text", 256).alias("text_sha256"),
+        start.alias("valid_from"), day(F.col("m.effTo")).alias("valid_to"), F.lit("under_review").alias("status"),
+    )
+    issues = t.filter("refusal is not null").select(id_col, F.lit("document").alias("locator"), F.col("refusal").alias("reason"))
+    return drafts, issues.union(found.filter("skip is not null").select(id_col, F.concat(F.lit("article "), "no"), "skip"))

@@ -166,3 +166,27 @@ def publish_issues(versions: DataFrame, amendments: DataFrame, applicability: Da
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def review_queue(records: DataFrame, rate: float = 0.05, seed: int = 1, ord_col: str = "ord") -> DataFrame:
+    """Records that a person has to read (must_read) and a sample of the machine-checked ones (sampled).
+
+    The k-th machine-checked record in load order is sampled if the k-th draw is under ``rate``; verified
+    records are not listed. ``k`` is counted per range of 100,000 places, so no task ranks all records.
+    """
+    from tessera.operators.sets import seeded_draws
+
+    must = records.filter(F.col("status").isin("under_review", "unverified")).withColumn("queue", F.lit("must_read"))
+    part = F.floor(F.col(ord_col) / 100_000)
+    checked = records.filter("status = 'machine_checked'").withColumn("__part", part)
+    sizes = checked.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before).drop("__n")
+    k = F.row_number().over(Window.partitionBy("__part").orderBy(ord_col)) + F.col("__before")
+    drawn = checked.join(sizes, "__part").withColumn("__k", k).filter(seeded_draws(F.col("__k"), seed) < rate)
+    return must.unionByName(drawn.drop("__part", "__before", "__k").withColumn("queue", F.lit("sampled")))
+
+
+def review_list(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(status, version_id, heading) of all records, and how many still await review."""
+    return records.select("status", "version_id", "heading"), records.agg(F.count_if(~servable(F.col("status"))).alias("awaiting_review"))

@@ -192,3 +192,9 @@ def verify_chain(versions: DataFrame, archives: DataFrame, derived: DataFrame, r
     vouchers = check_vouchers(versions.select(F.col("version_id").alias("target"), "status"), reviews).filter("voucher <> 'ok'").select("target", "voucher")
     orphan = archives.select("sha256").join(versions.select(F.col("source_sha256").alias("sha256")), "sha256", "left_anti").select("sha256", F.lit("ORPHAN_ARCHIVE"))
     return out.union(vouchers).union(orphan)
+
+
+def archived_sources(store: DataFrame, versions: DataFrame) -> DataFrame:
+    """Files of the store (path, sha256 ...) that some record's evidence names: found by digest, not by name."""
+    wanted = versions.select(F.explode("evidence.sourceSha256").alias("sha256")).distinct()
+    return store.join(wanted, "sha256", "left_semi")

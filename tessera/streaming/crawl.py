@@ -65,6 +65,24 @@ def latest_outcomes(documents: DataFrame, ledger: DataFrame, max_documents: int,
     return w, kept
 
 
+def rounds_until_idle(run_round, is_transient, pause=lambda: None) -> int:
+    """Run rounds until one does nothing; a round with passing failures only is tried once more after a pause.
+
+    ``run_round`` gives a round's counts of done and failed; ``is_transient`` tells whether its failures pass.
+    """
+    rounds, grace = 0, True
+    while True:
+        done, failed = run_round()
+        rounds += 1
+        if done:
+            grace = True
+        elif failed and grace and is_transient():
+            grace = False
+            pause()
+        else:
+            return rounds
+
+
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], size: str, late: str = "1 hour") -> DataFrame:
     """Extension: counts per tumbling window; on a stream, state is dropped ``late`` after the newest event."""
     e = events.withWatermark(ts, late) if events.isStreaming else events

@@ -174,6 +174,26 @@ def test_cross_checks(spark):
     assert 1 not in [r["ord"] for r in left.collect()] and 3 in [r["ord"] for r in left.collect()]
 
 
+def test_drafts_from_payloads(spark):
+    html = '<p class="prov-article" id="a1">Điều 1. A</p><p class="prov-content">một</p><p class="prov-clause">hai &gt; ba</p><p class="prov-article">Điều 2. không id</p><p class="prov-article" id="a3">Điều 3. C</p>'
+    meta = '1:{"docNum":"1/2020","effFrom":"2020-03-01T00:00:00","effTo":null,"id":"77","title":"t"}'
+    body = "2:T%x,%s" % (len(html.encode()), html)
+    df = spark.createDataFrame([(1, f"0:x\n{meta}\n{body}"), (2, body), (3, meta.replace("2020-03-01T00:00:00", "x") + "\n" + body)], "id int, text string")
+    drafts, issues = extract.draft_from_payloads(df, "id", "text")
+    got = [(r["provision_id"], r["version_id"], r["document_id"], r["text"]) for r in drafts.orderBy("provision_id").collect()]
+    assert got == [("prov_vbpl_a1", "pv_vbpl_a1_e20200301", "doc_vbpl_77", "một\nhai > ba"), ("prov_vbpl_a3", "pv_vbpl_a3_e20200301", "doc_vbpl_77", "Điều 3. C")]
+    assert {tuple(r) for r in issues.collect()} == {(2, "document", "METADATA_NOT_FOUND"), (3, "document", "EFFECTIVE_DATE_MISSING"), (1, "article 2", "NO_ID")}
+
+
+def test_review_queue(spark):
+    rows = [(k, f"v{k}", ("verified", "machine_checked", "under_review")[k % 3]) for k in range(300)]
+    q = quality.review_queue(spark.createDataFrame(rows, "ord int, version_id string, status string"), 0.3, 9)
+    got = q.groupBy("queue", "status").count().collect()
+    counts = {(r["queue"], r["status"]): r["count"] for r in got}
+    assert counts[("must_read", "under_review")] == 100 and set(counts) == {("must_read", "under_review"), ("sampled", "machine_checked")}
+    assert 15 < counts[("sampled", "machine_checked")] < 45
+
+
 def test_promotion(spark):
     r = spark.createDataFrame([("v1", "under_review"), ("v2", "verified")], "version_id string, status string")
     out, audit = quality.promote(r, "v1", "someone", "t")
