@@ -125,6 +125,7 @@ def gazette_provisions(parts: DataFrame, documents: DataFrame, references: DataF
     """
     kept = parts.filter("part = 'article'").join(documents.filter("refusal is null").select("doc_id"), "doc_id").join(references, "doc_id")
     g = kept.groupBy("doc_id", "document_number", "effective_from", "article").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("l"))
+    # fixed values: how ids are made
     base = F.concat(F.lit("congbao_"), slug(F.col("document_number")), F.lit("_d"), F.col("article"))
     return g.select("doc_id", "article", F.concat(F.lit("prov_"), base).alias("provision_id"), F.concat(F.lit("pv_"), base, F.lit("_e"), F.regexp_replace("effective_from", "-", "")).alias("version_id"), F.col("l")[0]["text"].alias("heading"), F.array_join(F.col("l")["text"], "\n").alias("text"), F.col("effective_from").alias("valid_from"))
 
@@ -199,6 +200,7 @@ def draft_from_payloads(payloads: DataFrame, id_col: str, text_col: str) -> tupl
     skip = F.when(F.col("source_id").isNull(), "NO_ID").when(F.col("heading") == "", "EMPTY_HEADING")
     found = found.withColumn("skip", skip)
     start = day(F.col("m.effFrom"))
+    # fixed values: how ids are made
     drafts = found.filter("skip is null").select(
         id_col, F.concat(F.lit("doc_vbpl_"), "m.id").alias("document_id"), F.col("m.docNum").alias("document_number"), F.concat(F.lit("prov_vbpl_"), "source_id").alias("provision_id"),
         F.concat(F.lit("pv_vbpl_"), "source_id", F.lit("_e"), F.regexp_replace(start, "-", "")).alias("version_id"), "heading", "text", F.sha2("text", 256).alias("text_sha256"),
