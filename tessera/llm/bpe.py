@@ -17,9 +17,11 @@ from tessera.llm.common import documents, ragged
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose encodings a worker remembers at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+#: Bytes of text, and a quarter as many ids, that are worked on at once.
+PORTION = 1 << 19
 #: Pairs of tokens whose fit a worker remembers at most.
-CACHED_PAIRS = 200_000
+CACHED_PAIRS = 100_000
 #: How byte-level BPE cuts a text into words (fixed values: the published pattern of such vocabularies).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -230,7 +232,7 @@ _CODED = {
 
 
 def _adding(df: DataFrame, source: str, columns: tuple[str, ...], path: str, ids_of) -> DataFrame:
-    """``df`` with coded columns added; texts are worked on in portions of about 2 MB."""
+    """``df`` with coded columns added; texts are worked on in portions of about PORTION bytes."""
     keep = [f for f in df.schema.fields if f.name not in columns]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{c} {_CODED[c][0]}" for c in columns)])
     names = [f.name for f in keep]
@@ -259,7 +261,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, als
 
     def ids_of(vocab: Vocabulary, text: pa.Array):
         sizes = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
-        for i, j in _portions(sizes, 2 << 20):
+        for i, j in _portions(sizes, PORTION):
             parts = vocab.encode([t or "" for t in text[i:j].to_pylist()])
             bounds = np.zeros(len(parts) + 1, np.int64)
             np.cumsum([len(p) // 4 for p in parts], out=bounds[1:])
@@ -276,7 +278,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None, colum
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        for i, j in _portions(sizes, 1 << 20):
+        for i, j in _portions(sizes, PORTION // 4):
             yield i, j, flat[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
 
     return _adding(docs, ids_col, columns, path or default_path(), ids_of)

@@ -186,11 +186,11 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i], starts[i] + 1, ..., lengths[i] of them, for all i in turn."""
     total = int(lengths.sum())
-    out = np.ones(total, np.int64)
+    out = np.ones(total, np.int64 if max(total, int(starts.max(initial=0))) > 1 << 30 else np.int32)
     full = lengths > 0
     starts, lengths = starts[full], lengths[full]
     if total:
         ends = np.cumsum(lengths)
         out[0] = starts[0]
         out[ends[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
-    return np.cumsum(out)
+    return np.cumsum(out, out=out)
