@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.common import documents, record_batch
 
@@ -20,6 +19,9 @@ WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_ROWS = 64, 1024, 256, 64
 #: Payloads up to these sizes are stored with LZW and PackBits, larger ones with deflate.
 LZW_BYTES, PACKBITS_BYTES = 512, 2048
 
+#: Texts that a task turns into files at once.
+ROWS_AT_ONCE = 256
+
 # Fixed values of the TIFF 6.0 specification: tags, compression schemes, predictors, field types.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR = 273, 277, 278, 279, 317
@@ -262,17 +264,20 @@ def write_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
     no rows; columns named n_bytes or media are replaced.
     """
 
-    @arrow_udf("struct<n_bytes: long, media: binary>")
-    def run(text: pa.Array) -> pa.Array:
-        sizes, files = [], []
-        for t in text.cast(pa.binary()).to_pylist():
-            t = t or b""
-            sizes.append(len(t))
-            files.append(encode_tiff(t + b"\0" * (max(WIDTH, -(-len(t) // WIDTH) * WIDTH) - len(t))))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["n_bytes", "media"])
+    keep = [f for f in docs.schema.fields if f.name not in ("n_bytes", "media")]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_bytes long", "media binary"])
+    names = [f.name for f in keep]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = [t or b"" for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+                files = [encode_tiff(t + b"\0" * (max(WIDTH, -(-len(t) // WIDTH) * WIDTH) - len(t))) for t in texts]
+                made = pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "n_bytes", "media"])
 
-    out = docs.withColumn("__m", run(F.col(text_col)))
-    return out.withColumn("n_bytes", F.col("__m.n_bytes")).withColumn("media", F.col("__m.media")).drop("__m")
+    return docs.mapInArrow(run, ddl)
 
 
 def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -284,7 +289,7 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
     keep = [f for f in media.schema.fields if f.name not in (media_col, "page", "width", "height", "samples", "error")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "page int", "width int", "height int", "samples binary", "error string"])
     names = [f.name for f in keep]
-    limit = 8 << 20
+    limit = 2 << 20
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
