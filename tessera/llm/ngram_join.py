@@ -26,27 +26,36 @@ COUNTED = np.uint64(int(0.4 * 2**64))
 SMALL_GROUP = 64
 
 
+#: Bytes of text whose sets are held at once.
+HELD_BYTES = 4 << 20
+
+
 def shingle_sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Each batch with its documents' sets of shingle hashes, sorted.
+    """Parts of the batches with their documents' sets of shingle hashes, sorted.
 
     A document with fewer words than a shingle has its whole sequence as the only element.
     """
     for batch in it:
         raw, offsets = text_bytes(batch.column("text"))
-        sets: list[np.ndarray] = []
-        for i, j in blocks(offsets):
-            words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-            hashes, at = words.windows(SHINGLE)
-            bounds = np.searchsorted(at, words.bounds)
-            short = {}
-            for size in range(1, SHINGLE):
-                if (words.counts == size).any():
-                    whole, first = words.windows(size, seed=size)
-                    lone = words.counts[words.doc[first]] == size
-                    short |= dict(zip(words.doc[first[lone]].tolist(), whole[lone]))
-            for k in range(j - i):
-                sets.append(np.array([short[k]], np.uint64) if k in short else np.unique(hashes[bounds[k] : bounds[k + 1]]))
-        yield batch, sets
+        for i, j in blocks(offsets, HELD_BYTES):
+            yield batch.slice(i, j - i), _sets_of_texts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def _sets_of_texts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    sets: list[np.ndarray] = []
+    for i, j in blocks(offsets):
+        words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
+        hashes, at = words.windows(SHINGLE)
+        bounds = np.searchsorted(at, words.bounds)
+        short = {}
+        for size in range(1, SHINGLE):
+            if (words.counts == size).any():
+                whole, first = words.windows(size, seed=size)
+                lone = words.counts[words.doc[first]] == size
+                short |= dict(zip(words.doc[first[lone]].tolist(), whole[lone]))
+        for k in range(j - i):
+            sets.append(np.array([short[k]], np.uint64) if k in short else np.unique(hashes[bounds[k] : bounds[k + 1]]))
+    return sets
 
 
 def set_digest(s: np.ndarray) -> np.uint64:

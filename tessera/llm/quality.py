@@ -71,7 +71,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for name, lut in _LUT.items():
         total = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(lut[raw], out=total[1:])
-        sums[name] = total
+        if name == "symbol":
+            sums[name] = total
         shares.append(np.log((total[offsets[1:]] - total[offsets[:-1]]) / size + 1e-3))
     lines = np.exp(shares[list(_CLASSES).index("newline")]) - 1e-3
 
