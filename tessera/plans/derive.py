@@ -50,6 +50,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("status", status)
 
 
+def referring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and a sentence for each that refers to an article or a document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 50 + 1).alias("a"))
+    same = F.concat(F.lit("theo khoản 2 Điều "), "a", F.lit(" của Nghị định này."))
+    numbered = F.concat(F.lit("theo Nghị định số "), "doc_id", F.lit("/2019/NĐ-CP của Chính phủ"))
+    named = F.concat(F.lit("điểm a khoản 1 Điều "), "a", F.lit(" Luật An ninh mạng và các luật khác"))
+    return d.withColumn("sentence", F.when(F.col("doc_id") % 3 == 0, same).when(F.col("doc_id") % 3 == 1, numbered).otherwise(named)).drop("a")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order to part edges of line items, both ends in one id space (parts from a thousand million on)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()

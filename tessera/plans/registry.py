@@ -280,12 +280,20 @@ def citation_locate(spark, sf_dir):
 SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'named_document' WHEN doc_id % 3 = 1 THEN 'numbered_document' ELSE 'same_document' END AS kind,
   CASE WHEN doc_id % 3 = 1 THEN NULL ELSE CAST(doc_id % 50 + 1 AS INTEGER) END AS article, CASE WHEN doc_id % 3 = 1 THEN doc_id || '/2019/NĐ-CP' END AS number FROM documents""")
 def reference_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50 + 1).alias("a"))
-    sentence = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("theo khoản 2 Điều "), "a", F.lit(" của Nghị định này."))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("theo Nghị định số "), "doc_id", F.lit("/2019/NĐ-CP của Chính phủ"))).otherwise(F.concat(F.lit("điểm a khoản 1 Điều "), "a", F.lit(" Luật An ninh mạng và các luật khác")))
-    spans = references.extract_references(d.withColumn("text", sentence), "doc_id", "text")
+    d = derive.referring(spark, sf_dir)
+    spans = references.extract_references(d.withColumn("text", F.concat_ws("\n", "text", "sentence")), "doc_id", "text")
     return spans.select("doc_id", "kind", "article", "number")
 
 
+@query()
+def reference_spans_whole(spark, sf_dir):
+    """Positions too, with the sentence in the middle of the text and at its end."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    middle = F.concat_ws("\n", F.expr("left(text, cast(floor(length(text) / 2) as int))"), "sentence", F.col("text").substr(half + 1, F.length("text")), "sentence")
+    spans = references.extract_references(derive.referring(spark, sf_dir).withColumn("text", middle), "doc_id", "text")
+    return spans.select("doc_id", "ord", "kind", "span", "start", "end", "article", "clause", "point", "title", "type", "number")
+
+
 @query("""
 SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM (
   SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS t FROM pages)""")

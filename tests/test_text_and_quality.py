@@ -209,3 +209,25 @@ def test_compare_versions(spark):
     got = {r["question_id"]: (r["error"], r["changed"]) for r in service.compare_versions(q, v).collect()}
     assert {k: x[0] for k, x in got.items()} == {1: None, 2: "DIFFERENT_PROVISIONS", 3: "VERSION_NOT_SERVABLE", 4: "VERSION_NOT_FOUND", 5: None}
     assert got[1][1] is True and got[5][1] is False
+
+
+def test_reference_spans_read_whole_texts(spark, tmp_path):
+    """References in the text itself are found, at the places where a search by hand has them."""
+    from tessera.plans import registry
+
+    long = "từ " * 30_000
+    texts = {0: None, 1: "", 2: "xem Điều 5 của Luật này, Điều 7 của Luật này.", 3: long + "khoản 3 Điều này" + long}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["reference_spans"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["article"] or 0) for r in rows) == [(0, 1), (1, 0), (2, 3), (2, 5), (2, 7), (3, 0), (3, 4)]
+    have = registry.QUERIES["reference_spans_whole"](spark, str(tmp_path)).collect()
+    sentences = {0: "khoản 2 Điều 1 của Nghị định này", 1: "Nghị định số 1/2019/NĐ-CP", 2: "điểm a khoản 1 Điều 3 Luật An ninh mạng", 3: "khoản 2 Điều 4 của Nghị định này"}
+    tails = {0: ("theo ", "."), 1: ("theo ", " của Chính phủ"), 2: ("", " và các luật khác"), 3: ("theo ", ".")}
+    for i, t in texts.items():
+        sentence, half = sentences[i].join(tails[i]), len(t or "") // 2
+        whole = sentence if t is None else "\n".join((t[:half], sentence, t[half:], sentence))
+        if t is None:
+            whole += "\n" + sentence
+        wanted = [sentences[i], "Điều 5 của Luật này", "Điều 7 của Luật này", "khoản 3 Điều này"]
+        brute = sorted((k, k + len(w), w) for w in wanted for k in range(len(whole)) if whole.startswith(w, k))
+        assert [(r["start"], r["end"], r["span"]) for r in sorted((r for r in have if r["doc_id"] == i), key=lambda r: r["ord"])] == brute
