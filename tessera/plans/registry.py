@@ -237,6 +237,13 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(q, docs, "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(ORACLES["bm25_topk"].replace(" JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1", ""))
+def bm25_topk_all(spark, sf_dir):
+    """All documents, whatever their review state."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25(q, table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS no FROM documents
 ), h AS (SELECT doc_id, line, no, len(list_filter(['the', 'der', 'que', 'les'], lambda w: contains({FOLD_SQL.format("line")}, w))) AS hits FROM l

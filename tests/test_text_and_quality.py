@@ -231,3 +231,15 @@ def test_reference_spans_read_whole_texts(spark, tmp_path):
         wanted = [sentences[i], "Điều 5 của Luật này", "Điều 7 của Luật này", "khoản 3 Điều này"]
         brute = sorted((k, k + len(w), w) for w in wanted for k in range(len(whole)) if whole.startswith(w, k))
         assert [(r["start"], r["end"], r["span"]) for r in sorted((r for r in have if r["doc_id"] == i), key=lambda r: r["ord"])] == brute
+
+
+def test_search_covers_unlabelled_documents(spark, tmp_path):
+    """The search of all documents finds an unlabelled one; review states decide where they are asked for."""
+    from tessera.plans import registry
+
+    spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(["harbour crane", "harbour wall", "river crane", "none"])], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, "harbour crane")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {name: [r["doc_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).orderBy("rank").collect()] for name in ("bm25_topk_all", "bm25_topk")}
+    assert found["bm25_topk_all"] == [0]
+    assert found["bm25_topk"] == [1]
