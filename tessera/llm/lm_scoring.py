@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import _LOWER, _SPACE, Words, blocks, crc_mod, documents, first_of_runs, materialize, record_batch, text_bytes
 
-#: Contexts: the last 0 to 4 bytes, and the current word so far (its last WORD_BYTES bytes). Each context's
-#: predictions lie in a hashed table of 2**bits slots.
+#: Contexts: the last 0 to 4 bytes, and the current word so far (its last WORD_BYTES bytes). Those of less than
+#: two bytes (orders 0 and 1, short words) have plain tables of 2**bits cells, which the byte alphabet fixes; all
+#: longer ones are counted exactly in the tasks that own them.
 CONTEXTS, WORD_BYTES = 6, 6
-TABLE_BITS = (8, 16, 18, 20, 21, 22)
-#: Byte sequences (a uniform sample by hash) and lessons drawn from them, by frequency, that the mixer is taught
-#: with; lessons per batch and first step size.
-MAX_SEQUENCES, LESSONS, LESSON_BATCH, RATE = 600_000, 400_000, 256, 0.02
-#: Added to both counts of a bit, and the largest logit of a prediction.
-DELTA, CLIP = 0.1, 8.0
+TABLE_BITS = (8, 16, 16)
+#: Sequences of 32 portions that tasks work on, and rounds of teaching.
+LESSONS, ROUNDS = 400_000, 5
+#: Added to both counts of a bit, and the largest logit of a prediction; weight of the first weights, in bits seen.
+DELTA, CLIP, PRIOR = 0.1, 8.0, 4.0
 BUCKETS = 24
-#: Words whose counts go to every executor: the most frequent ones, a fixed number. All others are joined.
-HEAD_WORDS = 1 << 17
-_MEMO_BITS = 20
+#: Words and byte sequences that go to every executor: the most frequent ones, a fixed number. All others are joined.
+HEAD_WORDS, HEAD_CODES = 1 << 17, 1 << 20
 
 _TABLE_START = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
+_TABLE_OF = {0: 0, 1: 1, 5: 2}
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -63,11 +63,8 @@ def contexts(code: np.ndarray) -> list[np.ndarray]:
 
 
 def slots(context: np.ndarray, which: int, node: np.ndarray) -> np.ndarray:
-    """Table slot of a context at a node of the current byte's bit tree."""
-    key = (context << np.uint64(8)) | node
-    if which > 1:
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS[which])
-    return key.astype(np.int64) + _TABLE_START[which]
+    """Cell of a context of less than two bytes at a node of the current byte's bit tree."""
+    return ((context << np.uint64(8)) | node).astype(np.int64) + _TABLE_START[_TABLE_OF[which]]
 
 
 def bits_of(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,6 +74,27 @@ def bits_of(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (byte | np.uint64(256)) >> np.uint64(k + 1), ((byte >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
 
 
+class Runs:
+    """Exact counts of contexts of two bytes and more, among sequences that hold all occurrences of them."""
+
+    def __init__(self, context: list[np.ndarray], code: np.ndarray, n: np.ndarray):
+        self.sorted = []
+        for which in range(2, CONTEXTS):
+            key = (context[which] << np.uint64(8)) | (code & np.uint64(255))
+            order = np.argsort(key, kind="stable")
+            self.sorted.append((order, key[order], n[order]))
+
+    def totals(self, depth: int) -> list[np.ndarray]:
+        """How often each sequence's contexts were followed by the first ``depth`` bits of its byte."""
+        out = []
+        for order, key, n in self.sorted:
+            first = np.flatnonzero(first_of_runs(key >> np.uint64(8 - depth)))
+            total = np.empty(len(n))
+            total[order] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+            out.append(total)
+        return out
+
+
 def _squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -87,10 +105,11 @@ def stretch_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """Frozen state: predictions of all tables, gated weights, and the final adaptive map.
+    """Frozen state: predictions of the short contexts, gated weights, and the final adaptive map.
 
     Two sets of weights are chosen for each bit: by the node of the bit tree, and by how well the longer contexts
     are known. Their logits are averaged; the map then refines the probability by node and bucket of the logit.
+    Predictions of longer contexts come with the sequences to score, as counts.
     """
 
     table: np.ndarray
@@ -98,60 +117,89 @@ class Mixer:
     by_known: np.ndarray
     refine: np.ndarray
 
-    def inputs(self, context: list[np.ndarray], node: np.ndarray, counts=None, bit=None) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions of all contexts, and which weights they choose. With the tables' ``counts``, predictions
-        are as if the lesson with outcome ``bit`` had not been counted."""
-        x = np.empty((len(node), CONTEXTS + 1), np.float32)
-        for which in range(CONTEXTS):
-            at = slots(context[which], which, node)
-            if counts is None:
-                x[:, which] = self.table[at]
-            else:
-                x[:, which] = stretch_counts(np.maximum(counts[0][at] - (1 - bit), 0), np.maximum(counts[1][at] - bit, 0))
-        x[:, CONTEXTS] = 0.3
-        known = np.zeros(len(node), np.int64)
-        for which in range(2, CONTEXTS):
-            sure = np.abs(x[:, which])
-            known = known * 3 + (sure > 0) + (sure > 3)
-        return x, known
+    def inputs(self, code: np.ndarray, n: np.ndarray | None = None, counts=None) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each bit: node, bit, predictions of all contexts, and which weights they choose.
+
+        ``n`` says how often each sequence was seen; without it longer contexts count as new. With the short
+        contexts' ``counts``, predictions are as if one occurrence of the sequence had not been counted.
+        """
+        context = contexts(code)
+        runs = None if n is None else Runs(context, code, n.astype(np.float64))
+        less, short = int(counts is not None), np.flatnonzero(context[5] < 256)
+        before = runs and runs.totals(0)
+        for depth, (node, bit) in enumerate(bits_of(code)):
+            x = np.zeros((len(code), CONTEXTS + 1), np.float32)
+            if runs:
+                after, sign = runs.totals(depth + 1), 2 * bit - 1
+                for k in range(CONTEXTS - 2):
+                    x[:, k + 2] = sign * stretch_counts(before[k] - after[k], np.maximum(after[k] - less, 0))
+                before = after
+            for which, rows in ((0, slice(None)), (1, slice(None)), (5, short)):
+                at = slots(context[which][rows], which, node[rows])
+                if counts is None:
+                    x[rows, which] = self.table[at]
+                else:
+                    x[rows, which] = stretch_counts(np.maximum(counts[0][at] - (1 - bit[rows]), 0), np.maximum(counts[1][at] - bit[rows], 0))
+            x[:, CONTEXTS] = 0.3
+            known = np.zeros(len(code), np.int64)
+            for which in range(2, CONTEXTS):
+                sure = np.abs(x[:, which])
+                known = known * 3 + (sure > 0) + (sure > 3)
+            yield node.astype(np.int64), bit, x, known
 
     def logit(self, x, known, node):
-        return 0.5 * ((x * self.by_node[node.astype(np.int64)]).sum(axis=1) + (x * self.by_known[known]).sum(axis=1))
+        return 0.5 * ((x * self.by_node[node]).sum(axis=1) + (x * self.by_known[known]).sum(axis=1))
 
     def cell(self, logit):
         return np.clip(((logit + 12) * (BUCKETS / 24)).astype(np.int64), 0, BUCKETS - 1)
 
-    def cost(self, code: np.ndarray) -> np.ndarray:
+    def cost(self, code: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
         """Bits that each byte takes after its context."""
-        total, context = np.zeros(len(code)), contexts(code)
-        for node, bit in bits_of(code):
-            x, known = self.inputs(context, node)
+        total = np.zeros(len(code))
+        for node, bit, x, known in self.inputs(code, n):
             logit = self.logit(x, known, node)
-            p = 0.5 * (_squash(logit) + self.refine[node.astype(np.int64), self.cell(logit)])
+            p = 0.5 * (_squash(logit) + self.refine[node, self.cell(logit)])
             p = np.clip(p, 1e-5, 1 - 1e-5)
             total -= np.log2(np.where(bit == 1, p, 1 - p))
         return total
 
-    def teach(self, lessons: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> None:
-        """One online pass: weights follow the coding error; then the map counts outcomes."""
-        for start in range(0, len(lessons), LESSON_BATCH):
-            code = lessons[start : start + LESSON_BATCH]
-            context = contexts(code)
-            step = RATE * (1 - 0.9 * start / len(lessons))
-            for node, bit in bits_of(code):
-                x, known = self.inputs(context, node, counts, bit)
-                error = ((bit - _squash(self.logit(x, known, node))) * step).astype(np.float32)
-                np.add.at(self.by_node, node.astype(np.int64), x * error[:, None])
-                np.add.at(self.by_known, known, x * error[:, None])
-        context = contexts(lessons)
-        ones, every = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
-        for node, bit in bits_of(lessons):
-            x, known = self.inputs(context, node, counts, bit)
-            cell = self.cell(self.logit(x, known, node))
-            np.add.at(ones, (node.astype(np.int64), cell), bit)
-            np.add.at(every, (node.astype(np.int64), cell), 1)
-        middle = _squash((np.arange(BUCKETS) + 0.5) * 24 / BUCKETS - 12)
-        self.refine = ((ones + 30 * middle) / (every + 30)).astype(np.float32)
+    def slopes(self, code: np.ndarray, n: np.ndarray, counts) -> np.ndarray:
+        """What one step of teaching adds up: for every row of weights the slope and curvature of the coding cost
+        (a row of 7 and the upper half of 7 x 7), and the cost itself at the end."""
+        out = np.zeros((256 + len(self.by_known), len(_PAIRS) + CONTEXTS + 1))
+        cost = 0.0
+        for node, bit, x, known in self.inputs(code, n, counts):
+            p = _squash(self.logit(x, known, node).astype(np.float64))
+            cost -= (n * np.log(np.where(bit == 1, p, 1 - p))).sum()
+            error, curve = n * (bit - p) * 0.5, n * p * (1 - p) * 0.25
+            columns = [x[:, i] * error for i in range(CONTEXTS + 1)]
+            columns += [x[:, i] * x[:, j] * curve for i, j in _PAIRS]
+            for k, column in enumerate(columns):
+                out[:256, k] += np.bincount(node, column, 256)
+                out[256:, k] += np.bincount(known, column, len(self.by_known))
+        return np.append(out.ravel(), cost)
+
+    def outcomes(self, code: np.ndarray, n: np.ndarray, counts) -> np.ndarray:
+        """Zeros and ones seen at every cell of the map."""
+        out = np.zeros((2, 256 * BUCKETS))
+        for node, bit, x, known in self.inputs(code, n, counts):
+            cell = node * BUCKETS + self.cell(self.logit(x, known, node))
+            for value in (0, 1):
+                out[value] += np.bincount(cell, n * (bit == value), 256 * BUCKETS)
+        return out.ravel()
+
+
+_PAIRS = [(i, j) for i in range(CONTEXTS + 1) for j in range(i, CONTEXTS + 1)]
+
+
+def step_of(sums: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Newton step of every row of weights; half of it, as the two sets answer for one error together."""
+    k = CONTEXTS + 1
+    curve = np.zeros((len(weights), k, k))
+    for at, (i, j) in enumerate(_PAIRS):
+        curve[:, i, j] = curve[:, j, i] = sums[:, k + at]
+    slope = sums[:, :k] - PRIOR * 0.25 * (weights - first)
+    return np.clip(0.5 * np.linalg.solve(curve + PRIOR * 0.25 * np.eye(k), slope[:, :, None])[:, :, 0], -0.5, 0.5)
 
 
 # ---------------------------------------------------------------- learning
@@ -160,94 +208,170 @@ _GRAMS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of byte sequences per batch."""
+    """Counts of byte sequences per batch, or less where it has many."""
+
+    def added(found):
+        code, n = (np.concatenate(c) for c in zip(*found))
+        code, where = np.unique(code, return_inverse=True)
+        return record_batch(_GRAMS, code.view(np.int64), np.bincount(where, weights=n).astype(np.int64))
+
     for batch in it:
         raw, offsets = text_bytes(batch.column("text"))
-        found = []
+        found, held = [], 0
         for i, j in blocks(offsets):
             code = np.sort(gram_codes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             at = np.flatnonzero(first_of_runs(code))
             found.append((code[at], np.diff(np.append(at, len(code)))))
-        if found:
-            code, n = (np.concatenate(c) for c in zip(*found))
-            code, where = np.unique(code, return_inverse=True)
-            if len(code):
-                yield record_batch(_GRAMS, code.view(np.int64), np.bincount(where, weights=n).astype(np.int64))
+            held += len(at)
+            if held > 1 << 20:
+                yield added(found)
+                found, held = [], 0
+        if held:
+            yield added(found)
+
 
+_OWNED = pa.schema([("code", pa.binary()), ("n", pa.binary()), ("m", pa.binary())])
 
-_SLOTS = pa.schema([("slot", pa.int32()), ("n0", pa.float32()), ("n1", pa.float32())])
 
+def _owned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their last two context bytes, packed: a row holds whole groups that agree in these."""
+    held = np.zeros((3, 0), np.int64)
+
+    def row(part):
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in part], schema=_OWNED)
 
-def _slot_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Zeros and ones seen at every table slot."""
-    sums = np.zeros((2, int(_TABLE_START[-1])), np.float32)
     for batch in it:
-        code, n = batch.column("code").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(np.float32)
-        context = contexts(code)
-        for node, bit in bits_of(code):
-            for which in range(CONTEXTS):
-                at = slots(context[which], which, node)
-                for value in (0, 1):
-                    np.add.at(sums[value], at[bit == value], n[bit == value])
-    at = np.flatnonzero(sums[0] + sums[1])
-    for k in range(0, len(at), 200_000):
-        yield record_batch(_SLOTS, at[k : k + 200_000], *sums[:, at[k : k + 200_000]])
-
-
-def learn(docs: DataFrame, text_col: str = "text") -> Mixer:
-    """A mixer whose tables count every byte of ``docs``.
-
-    Byte sequences are counted in tasks and added up by Spark, then turned into counts of the hashed slots,
-    which are a fixed number (about 7.6 million at most): the driver gets these and a bounded sample of
-    sequences, from which the mixer draws its lessons.
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("code", "n", "m")])], axis=1)
+        if held.shape[1] >= LESSONS // 32:
+            key = (held[0] >> 8) & 65535
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if cut:
+                yield row(held[:, :cut])
+                held = held[:, cut:]
+    if held.shape[1]:
+        yield row(held)
+
+
+def _portions(it: Iterator[pa.RecordBatch], taught: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Packed rows as (code, n, m); with ``taught`` only what was seen in training."""
+    for batch in it:
+        for k in range(batch.num_rows):
+            code, n, m = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("code", np.uint64), ("n", np.int64), ("m", np.int64)))
+            if taught:
+                code, n, m = code[n > 0], n[n > 0], m[n > 0]
+            if len(code):
+                yield code, n, m
+
+
+_SUMS = pa.schema([("cell", pa.int32()), ("v", pa.float64())])
+
+
+def _added(owned: DataFrame, f, size: int) -> np.ndarray:
+    """Sum of ``f(code, n)``, an array of a fixed size, over all training text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size)
+        for code, n, _ in _portions(it, True):
+            sums += f(code, n)
+        at = np.flatnonzero(sums)
+        yield record_batch(_SUMS, at.astype(np.int32), sums[at])
+
+    got = owned.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got.column("cell").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def _short_counts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Zeros and ones seen at every cell of the short contexts."""
+    context = contexts(code)
+    out = np.zeros((2, int(_TABLE_START[-1])))
+    for node, bit in bits_of(code):
+        for which in _TABLE_OF:
+            on = context[which] < 256
+            at = slots(context[which][on], which, node[on])
+            for value in (0, 1):
+                out[value] += np.bincount(at, n[on] * (bit[on] == value), out.shape[1])
+    return out.ravel()
+
+
+def count_sequences(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """Every byte sequence of the two, how often it stands in ``train`` (n) and in ``docs`` (m), packed by owner.
+
+    Sequences that agree in the last two context bytes have one owner, so all occurrences of a context of two
+    bytes or more lie in one row. The table grows with the text; nothing is hashed or left out.
+    """
+    seen = train.mapInArrow(_grams, "code long, n long").withColumn("m", F.lit(0).cast("long"))
+    asked = docs.mapInArrow(_grams, "code long, n long").select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    grams = seen.unionByName(asked).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    near = grams.withColumn("key", F.expr("shiftright(code, 8) & 65535")).repartition("key").sortWithinPartitions("key", "code").drop("key")
+    return materialize(near.mapInArrow(_owned, "code binary, n binary, m binary"), "lm-grams", large=True)
+
+
+def learn(owned: DataFrame) -> Mixer:
+    """A mixer taught with every byte of the training text in ``owned``.
+
+    Each round adds up slope and curvature of the cost of all training text in tasks, every byte left out of the
+    counts that predict it; the driver solves for the weights of each gate, a fixed number. A round that made
+    the cost worse is taken back by half. The adaptive map counts all training text likewise.
     """
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grams = rows.mapInArrow(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "lm-grams", large=True)
-    # sequences that agree in the last two context bytes meet in one task, so longer contexts' slots do too
-    near = grams.repartition(F.expr("shiftright(code, 8) & 65535"))
-    counts = near.mapInArrow(_slot_counts, "slot int, n0 float, n1 float").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
-    got = materialize(counts, "lm-slots", large=True).toArrow()
-    slot = got.column("slot").to_numpy()
-    n0, n1 = np.zeros(_TABLE_START[-1], np.float32), np.zeros(_TABLE_START[-1], np.float32)
-    n0[slot], n1[slot] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
-    del got, slot
-    weight = np.full(CONTEXTS + 1, 0.3, np.float32)
+    bc = owned.sparkSession.sparkContext.broadcast
+    n0, n1 = _added(owned, _short_counts, 2 * int(_TABLE_START[-1])).reshape(2, -1)
+    weight = np.full(CONTEXTS + 1, 0.3)
     weight[CONTEXTS] = 0
-    model = Mixer(stretch_counts(n0, n1).astype(np.float16), np.tile(weight, (256, 1)), np.tile(weight, (3 ** (CONTEXTS - 2), 1)), np.full((256, BUCKETS), 0.5, np.float32))
-    total = grams.count()
-    if total:
-        share = int((1 << 20) * min(1.0, 0.95 * MAX_SEQUENCES / total)) + 1
-        picked = grams.filter(F.pmod(F.xxhash64("code"), F.lit(1 << 20)) < share).limit(2 * MAX_SEQUENCES).toArrow()
-        code, n = picked.column("code").to_numpy().view(np.uint64), picked.column("n").to_numpy().astype(np.float64)
-        order = np.argsort(code)
-        rng = np.random.default_rng(7)
-        model.teach(rng.choice(code[order], LESSONS, p=n[order] / n.sum()), (n0, n1))
-    return model
+    first = np.tile(weight, (256 + 3 ** (CONTEXTS - 2), 1))
+
+    def mixer(weights, refine=None):
+        w = np.round(weights, 6).astype(np.float32)
+        return Mixer(stretch_counts(n0, n1).astype(np.float32), w[:256], w[256:], np.full((256, BUCKETS), 0.5, np.float32) if refine is None else refine)
+
+    if not n0.any() and not n1.any():
+        return mixer(first)
+    weights, best, least = first, first, np.inf
+    step, size = np.zeros_like(first), len(first) * (len(_PAIRS) + CONTEXTS + 1) + 1
+    for _ in range(ROUNDS):
+        frozen = bc((mixer(weights), (n0, n1)))
+        sums = _added(owned, lambda code, n, frozen=frozen: frozen.value[0].slopes(code, n, frozen.value[1]), size)
+        if sums[-1] <= least:
+            best, least = weights, sums[-1]
+            step = step_of(sums[:-1].reshape(len(first), -1), weights, first)
+        else:
+            step = step / 2
+        weights = best + step
+    frozen = bc((mixer(best), (n0, n1)))
+    zeros, ones = _added(owned, lambda code, n: frozen.value[0].outcomes(code, n, frozen.value[1]), 2 * 256 * BUCKETS).reshape(2, 256, BUCKETS)
+    middle = _squash((np.arange(BUCKETS) + 0.5) * 24 / BUCKETS - 12)
+    return mixer(best, ((ones + 30 * middle) / (zeros + ones + 30)).astype(np.float32))
 
 
 # ---------------------------------------------------------------- scoring
 
+_COSTS = pa.schema([("code", pa.int64()), ("m", pa.int64()), ("cost", pa.float32())])
+
+
+def sequence_costs(owned: DataFrame, model: Mixer) -> DataFrame:
+    """Bits of every byte sequence of the documents to score: each is mixed once."""
+    frozen = owned.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, m in _portions(it, False):
+            cost, on = frozen.value.cost(code, n), m > 0
+            yield record_batch(_COSTS, code[on].view(np.int64), m[on], cost[on].astype(np.float32))
+
+    return owned.mapInArrow(run, "code long, m long, cost float")
 
-class Memo:
-    """Costs by sequence in a direct-mapped table, so that a frequent sequence is mixed once per worker."""
-
-    def __init__(self, model: Mixer):
-        self.model = model
-        self.key = np.full(1 << _MEMO_BITS, (1 << 64) - 1, np.uint64)
-        self.cost = np.zeros(1 << _MEMO_BITS, np.float32)
-
-    def costs(self, code: np.ndarray) -> np.ndarray:
-        at = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-        out = self.cost[at]
-        miss = np.flatnonzero(self.key[at] != code)
-        if len(miss):
-            new, where = np.unique(code[miss], return_inverse=True)
-            cost = np.concatenate([self.model.cost(new[k : k + 65_536]) for k in range(0, len(new), 65_536)]).astype(np.float32)
-            out[miss] = cost[where]
-            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-            self.cost[at], self.key[at] = cost, new  # of sequences with one place the last stays, in both arrays
-        return out
+
+def head_costs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent sequences, HEAD_CODES at most, and their costs."""
+    level = F.floor(F.log2("m") * 16).cast("int")
+    sizes = sorted(((r["level"], r["count"]) for r in costs.groupBy(level.alias("level")).count().collect()), reverse=True)
+    total = np.cumsum([k for _, k in sizes])
+    fit = int((total <= HEAD_CODES).sum())
+    least = sizes[fit - 1][0] if fit else 1 << 30
+    got = costs.filter(level >= least).select("code", "cost").toArrow()
+    code, cost = got.column("code").to_numpy().view(np.uint64), got.column("cost").to_numpy()
+    order = np.argsort(code)
+    return code[order], cost[order]
 
 
 _WORDS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
@@ -263,36 +387,46 @@ def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield record_batch(_WORDS, h.view(np.int64), n)
 
 
-def _scored(frozen, head, total: float, vocabulary: float, end_count: float):
-    """Per document: tokens, known tokens and base score as far as the head words tell, the rare words' hashes,
-    and the mixer's log10 probability."""
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether the wanted ones are there."""
+    where = np.searchsorted(keys, wanted)
+    return where, keys[np.minimum(where, len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def _lists(owner: np.ndarray, docs: int, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32), pa.array(values.view(np.int64)))
+
+
+def _scored(head, total: float, vocabulary: float, end_count: float):
+    """Per document: tokens, known tokens and base score as far as the head words tell, bits as far as the head
+    sequences tell, and the other words' hashes and the other sequences."""
     floor = total + 0.1 * (vocabulary + 1)
 
     def log_share(c):
         return np.log10((c + 0.1) / floor)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = frozen.value  # a worker keeps it from task to task, and the memo with it
-        memo = model.__dict__.setdefault("memo", None) or Memo(model)
-        model.memo = memo
-        hashes, counts = head.value
+        hashes, counts, codes, costs = head.value
         for batch in it:
             raw, offsets = text_bytes(batch.column("text"))
             for i, j in blocks(offsets):
                 own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words = Words(own, at, lower=True)
-                where = np.searchsorted(hashes, words.hash)
-                hit = hashes[np.minimum(where, len(hashes) - 1)] == words.hash if len(hashes) else np.zeros(len(words.hash), bool)
+                where, hit = _found(hashes, words.hash)
                 value = np.zeros(len(words.hash))
                 value[hit] = log_share(counts[where[hit]])
                 base = np.bincount(words.doc, weights=value, minlength=j - i) + log_share(end_count)
                 known = np.bincount(words.doc[hit], minlength=j - i) + (end_count > 0)
                 rare = np.flatnonzero(~hit)
-                lists = pa.ListArray.from_arrays(np.searchsorted(words.doc[rare], np.arange(j - i + 1)).astype(np.int32), pa.array(words.hash[rare].view(np.int64)))
-                cost = np.zeros(len(own) + 1)
-                np.cumsum(memo.costs(gram_codes(own, at)), dtype=np.float64, out=cost[1:])
-                score = -(cost[at[1:]] - cost[at[:-1]]) * np.log10(2)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(score), lists], names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
+                code, back = np.unique(gram_codes(own, at), return_inverse=True)
+                place, hit = _found(codes, code)
+                cost = np.zeros(len(code))
+                cost[hit] = costs[place[hit]]
+                sums = np.zeros(len(own) + 1)
+                np.cumsum(cost[back], out=sums[1:])
+                other = np.flatnonzero(~hit[back])
+                owner = np.searchsorted(at, other, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(sums[at[1:]] - sums[at[:-1]]), _lists(words.doc[rare], j - i, words.hash[rare]), _lists(owner, j - i, code[back[other]])], names=["doc_id", "n_tokens", "known", "base", "bits", "rare", "codes"])
 
     return run
 
@@ -300,12 +434,13 @@ def _scored(frozen, head, total: float, vocabulary: float, end_count: float):
 def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Unigram base score and the context mixer's score of every document of ``docs``, learned from ``train``.
 
-    The mixer predicts each bit of the text's bytes from hashed contexts: the last 0 to 4 bytes and the word so far. The contexts'
-    bit counts cover all of ``train``. Weights, chosen by two gates, are taught online on lessons drawn from it,
-    each left out of the counts that predict it, as is the adaptive map behind them. For scoring all state is frozen, so a document's
+    The mixer predicts each bit of the text's bytes from six contexts: the last 0 to 4 bytes and the word so far. The contexts'
+    bit counts, the weights, chosen by two gates, and the adaptive map behind them all cover all of ``train``;
+    each byte is left out of the counts that teach weights and map. For scoring all state is frozen, so a document's
     score depends on its text and the model alone: total bits, given as log10 probability.
 
-    Word counts: the HEAD_WORDS most frequent words go to the executors, all others are looked up by a join.
+    The HEAD_WORDS most frequent words and HEAD_CODES most frequent sequences go to the executors, all others are
+    looked up by a join.
 
     Defined cases: null counts as the empty text, whose only token is the end, score 0 (no bytes); if nothing
     was trained on, every bit has probability one half and no token is known; repeated rows are scored each; an
@@ -322,17 +457,20 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     top = counts.orderBy(F.desc("n"), "h").limit(HEAD_WORDS).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.float64)
     order = np.argsort(h)
-    head = spark.sparkContext.broadcast((h[order], n[order]))
-    model = spark.sparkContext.broadcast(learn(train, text_col))
-
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(_scored(model, head, float(total), float(vocabulary), float(n_train)), "doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
+    owned = count_sequences(rows.select("text"), texts)
+    costs = materialize(sequence_costs(owned, learn(owned)), "lm-costs")
+    head = spark.sparkContext.broadcast((h[order], n[order], *head_costs(costs)))
+
+    scored = rows.mapInArrow(_scored(head, float(total), float(vocabulary), float(n_train)), "doc_id long, n_tokens long, known long, base double, bits double, rare array<long>, codes array<long>")
     scored = materialize(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scored")
     floor = float(total) + 0.1 * (float(vocabulary) + 1)
     words = scored.select("row_id", F.explode("rare").alias("h")).join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = words.groupBy("row_id").agg(F.sum(F.log10((F.col("n") + 0.1) / floor)).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("more_known"))
-    out = scored.drop("rare").join(rest, "row_id", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    tail = scored.select("row_id", F.explode("codes").alias("code")).join(costs.select("code", "cost"), "code").groupBy("row_id").agg(F.sum("cost").alias("more_bits"))
+    out = scored.drop("rare", "codes").join(rest, "row_id", "left").join(tail, "row_id", "left")
+    score = -(F.col("bits") + F.coalesce("more_bits", F.lit(0.0))) * float(np.log10(2))
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

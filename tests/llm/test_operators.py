@@ -387,3 +387,46 @@ def test_mixer_is_a_distribution():
     model = lm_scoring.Mixer(table, rng.normal(size=(256, k + 1)).astype(np.float32) / 3, rng.normal(size=(3 ** (k - 2), k + 1)).astype(np.float32) / 3, rng.uniform(0.1, 0.9, (256, lm_scoring.BUCKETS)).astype(np.float32))
     code = (np.uint64(0x656874) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert np.exp2(-model.cost(code)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_contexts_are_counted_exactly(spark, sample, monkeypatch):
+    """Every context has counts of its own, whatever their number, and joined sequences score as broadcast ones do."""
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring, "LESSONS", 3200)
+    rows = frame(spark, [r for r in sample if r[0] is not None])
+    texts = rows.selectExpr("coalesce(text, '') text")
+    owned = lm_scoring.count_sequences(texts, texts)
+    parts = [[np.frombuffer(r[c], t) for c, t in (("code", np.uint64), ("n", np.int64))] for r in owned.collect()]
+    assert len(parts) > 1
+    owners = Counter(int(k) for code, _ in parts for k in np.unique((code >> np.uint64(8)) & np.uint64(65535)))
+    assert set(owners.values()) == {1}
+    seen, size = Counter(), 0
+    for t in (r["text"].encode() for r in texts.collect()):
+        code = lm_scoring.gram_codes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        size += len(t)
+        for which, context in enumerate(lm_scoring.contexts(code)):
+            seen.update((which, int(c), int(b)) for c, b in zip(context, code & np.uint64(255)))
+    for code, n in parts:
+        context = lm_scoring.contexts(code)
+        for which, total in enumerate(lm_scoring.Runs(context, code, n.astype(float)).totals(8), 2):
+            for c, b, k in zip(context[which], code & np.uint64(255), total):
+                assert (which == 5 and c < 256) or seen[which, int(c), int(b)] == k
+    assert sum(int(n.sum()) for _, n in parts) == size
+    scores = []
+    for head in (1 << 20, 50):
+        monkeypatch.setattr(lm_scoring, "HEAD_CODES", head)
+        scores.append(sorted(collect(lm_scoring.score_documents(rows, rows), "doc_id", "score")))
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-4) for a, b in zip(*scores))
+
+
+def test_lm_is_taught_by_all_text(spark, monkeypatch):
+    """Every bit of the training text teaches weights and map, and rounds of teaching lessen its cost."""
+    texts = frame(spark, [(k, LONG[k:], None) for k in range(3)]).select("text")
+    size, sums, added = sum(len(LONG) - k for k in range(3)), [], lm_scoring._added
+    assert size > 1_000_000
+    monkeypatch.setattr(lm_scoring, "_added", lambda *a: sums.append(added(*a)) or sums[-1])
+    lm_scoring.learn(lm_scoring.count_sequences(texts, texts))
+    assert sums[0].sum() >= 8 * size and sums[-1].sum() == 8 * size
+    costs = [s[-1] for s in sums[1:-1]]
+    assert len(costs) == lm_scoring.ROUNDS and min(costs) < 0.95 * costs[0]
