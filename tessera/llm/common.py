@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,23 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+#: Spark's own setting by which an execution removes its shuffle files as soon as it has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing.
 
-    With ``large`` also let go of the shuffle files behind it before the next job starts: Spark drops them once
-    the driver's JVM has collected the finished plan, which queued listener events hold for a moment.
+    The shuffle files of the write go as soon as it has ended; nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if large:
-        del df
-        for _ in range(2):
-            time.sleep(1)
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,7 +305,7 @@ def count_sequences(docs: DataFrame, train: DataFrame) -> DataFrame:
     asked = docs.mapInArrow(_grams, "code long, n long").select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
     grams = seen.unionByName(asked).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     near = grams.withColumn("key", F.expr("shiftright(code, 8) & 65535")).repartition("key").sortWithinPartitions("key", "code").drop("key")
-    return materialize(near.mapInArrow(_owned, "code binary, n binary, m binary"), "lm-grams", large=True)
+    return materialize(near.mapInArrow(_owned, "code binary, n binary, m binary"), "lm-grams")
 
 
 def learn(owned: DataFrame) -> Mixer:
@@ -450,7 +450,7 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     texts = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = materialize(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words", large=True)
+    counts = materialize(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     n_train = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"] + n_train, sums["v"] + (n_train > 0)

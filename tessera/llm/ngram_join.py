@@ -17,13 +17,13 @@ from tessera.llm.components import connected_components
 SHINGLE, PERCENT = 5, 75
 #: Shingles that more documents than this have are frequent: they only count in combinations.
 RARE = 32
-#: Frequent shingles that are told apart, the most frequent first: 8 MB at most go to the executors. Which
-#: shingles are frequent steers the work and never the result, so the bound drops no case.
+#: Frequent shingles that are told apart, the most frequent first: 8 MB at most go to the executors. All others
+#: count as rare. This steers the work and never the result: groups of either kind are compared through hubs.
 MAX_FREQUENT = 1_000_000
-#: Part of the hash range whose shingles are counted and preferred in prefixes.
-COUNTED = np.uint64(int(0.4 * 2**64))
-#: Groups of a combination up to this size are compared pair by pair at once, larger ones through a hub first.
-SMALL_GROUP = 64
+#: Shingles that one range of the counting holds on average.
+RANGE_SHINGLES = 2_000_000
+#: Hubs that a group gets in the second round; each further round has this many times more.
+HUBS = 4
 
 
 #: Bytes of text whose sets are held at once.
@@ -64,9 +64,10 @@ def set_digest(s: np.ndarray) -> np.uint64:
     return mix64(both[:1] + both[1:] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))[0]
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
-_SIGS = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("one", pa.bool_())])
-_SIGS_DDL = "sig long, node long, n int, rare int, one boolean"
+_COUNTS = pa.schema([("part", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
+_COUNTS_DDL = "part int, h binary, c binary"
+_SIGS = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("rank", pa.int32()), ("one", pa.bool_())])
+_SIGS_DDL = "sig long, node long, n int, r int, rank int, one boolean"
 
 
 def _nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,13 +85,48 @@ def _distinct(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
             yield d, s
 
 
-def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of the batch have each shingle of the counted range."""
-    for _, sets in shingle_sets(it):
-        low = [s[: np.searchsorted(s, COUNTED)] for _, s in _distinct(sets)]
-        if low:
-            h, c = np.unique(np.concatenate(low), return_counts=True)
-            yield record_batch(_COUNTS, h.view(np.int64), c)
+def _counted(parts: int):
+    """Counts of the shingles of a portion of documents, packed by range of the hash: a row is (range, hashes, counts)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        for _, sets in shingle_sets(it):
+            own = [s for _, s in _distinct(sets)]
+            if own:
+                h, c = np.unique(np.concatenate(own), return_counts=True)
+                c = c.astype(np.int64)
+                ends = np.concatenate([[0], np.searchsorted(h, borders), [len(h)]])
+                full = np.flatnonzero(np.diff(ends))
+                yield record_batch(_COUNTS, full, *(pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary()) for x in (h, c)))
+
+    return run
+
+
+def _frequent_of_ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range: adds up the counts of one range at a time and gives the frequent shingles."""
+    part, h, c = None, [], []
+
+    def added():
+        both, where = np.unique(np.concatenate(h), return_inverse=True)
+        return [both], [np.bincount(where, weights=np.concatenate(c)).astype(np.int64)]
+
+    def frequent():
+        (both,), (count,) = added()
+        on = count > RARE
+        return pa.RecordBatch.from_arrays([pa.array(both[on].view(np.int64)), pa.array(count[on])], names=["h", "c"])
+
+    for batch in it:
+        for k, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if k != part:
+                if h:
+                    yield frequent()
+                part, h, c = k, [], []
+            h.append(np.frombuffer(x, np.uint64))
+            c.append(np.frombuffer(y, np.int64))
+            if sum(map(len, h[1:])) > max(len(h[0]), 1 << 18):
+                h, c = added()
+    if h:
+        yield frequent()
 
 
 def classes_of_band(band: int) -> int:
@@ -104,24 +140,26 @@ def bands_of(n: int) -> tuple[int, int]:
     return level, level + 1
 
 
+def among(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which elements of ``s`` are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s if len(table) else np.zeros(len(s), bool)
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set's signatures: its rare prefix shingles, and hashes of pairs of its frequent prefix shingles.
 
-    Prefixes follow one order over all shingles: counted and rare, counted and frequent, not counted; then by
-    hash. Of n shingles at most n - ceil(0.75 n) can be missing in a partner. Frequent shingles fall into
-    classes; a class of m of them still has two in common with the partner unless m - 1 are missing. So a
-    prefix is long enough once (rare ones) + sum of (m - 1) over its classes exceeds what can be missing:
-    then any partner shares a rare shingle of the prefix, or two of one class.
+    Prefixes follow one order over all shingles: rare ones before frequent ones, then by hash. Of n shingles at
+    most n - ceil(0.75 n) can be missing in a partner. Frequent shingles fall into classes; a class of m of them
+    still has two in common with the partner unless m - 1 are missing. So a prefix is long enough once (rare
+    ones) + sum of (m - 1) over its classes exceeds what can be missing: then any partner shares a rare shingle
+    of the prefix, or two of one class.
     """
     n = len(s)
     need = n - -(-PERCENT * n // 100) + 1
-    cut = int(np.searchsorted(s, COUNTED))
-    at = np.searchsorted(frequent, s[:cut])
-    common = frequent[np.minimum(at, len(frequent) - 1)] == s[:cut] if len(frequent) else np.zeros(cut, bool)
-    rare = s[:cut][~common]
+    common = among(frequent, s)
+    rare, rest = s[~common], s[common]
     if len(rare) >= need:
         return rare[:need], np.empty(0, np.uint64)
-    rest = np.concatenate([s[:cut][common], s[cut:]])
     combos = []
     for band in bands_of(n):
         classes = np.uint64(classes_of_band(band))
@@ -146,7 +184,8 @@ def _signed(frequent):
             parts = []
             for node, s in _distinct(sets):
                 one, two = signatures(s, table)
-                parts.append((np.concatenate([one, two]), node, len(s), len(one), len(one) + len(two)))
+                r = len(s) - int(among(table, s).sum()) if len(two) else len(s)
+                parts.append((np.concatenate([one, two]), node, len(s), r, len(one), len(one) + len(two)))
                 if len(parts) >= 2000:
                     yield _pack(parts)
                     parts = []
@@ -157,68 +196,51 @@ def _signed(frequent):
 
 
 def _pack(parts: list) -> pa.RecordBatch:
-    total = [p[4] for p in parts]
-    one = np.concatenate([np.arange(p[4]) < p[3] for p in parts])
-    return record_batch(_SIGS, np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat([p[1] for p in parts], total), np.repeat([p[2] for p in parts], total), np.repeat([p[3] for p in parts], total), one)
+    """Signatures as rows. ``r`` is the number of rare shingles where combinations are among the signatures (all
+    of them are signatures then), else the set's size; ``rank`` is low for sets of mostly frequent shingles."""
+    total = [p[5] for p in parts]
+    one = np.concatenate([np.arange(p[5]) < p[4] for p in parts])
+    each = (np.repeat(np.array([f(p) for p in parts], np.int64), total) for f in (lambda p: p[1], lambda p: p[2], lambda p: p[3], lambda p: 1000 * p[3] // p[2]))
+    return record_batch(_SIGS, np.concatenate([p[0] for p in parts]).view(np.int64), *each, one)
 
 
-def _can_link(n, m):
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+_GROUPS = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("one", pa.bool_()), ("hub", pa.int64()), ("hub_n", pa.int32()), ("hub_r", pa.int32())])
+_GROUPS_DDL = "sig long, node long, n int, r int, one boolean, hub long, hub_n int, hub_r int"
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("least", pa.int32()), ("sig", pa.int64()), ("n", pa.int32())])
-_PAIRS_DDL = "a long, b long, shared int, least int, sig long, n int"
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (sig, rank, node): the groups of two nodes or more, each row with its group's first node.
 
-
-def _pairs_of_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by (sig, node).
-
-    A group gives its pairs of fitting sizes. The group of a rare shingle is small by definition; that of a
-    combination may not be: over SMALL_GROUP nodes it gives its rows again, with ``sig`` set and no partner.
-    Only an unfinished small group is carried between batches.
+    Only that first row is carried from batch to batch, however large a group is.
     """
-    carry = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool)]
-    open_sig = None  # signature of a large group that has given rows already and goes on
-
-    def emit(sig, node, n, rare, one):
+    head, last, told = None, None, False  # first row of the open group, its last node, whether the first row was given
+    for batch in arrow_batches(it, ["sig", "node", "n", "r", "one"]):
+        keep = first_of_runs(batch[0], batch[1])  # copies of one node come from different batches
+        keep[0] &= head is None or (batch[0][0], batch[1][0]) != (head[0][0], last)
+        rows = [x[keep] for x in batch]
+        if head is not None:
+            rows = [np.concatenate([h, x]) for h, x in zip(head, rows)]
+        sig, node, n, r, one = rows
         start = np.flatnonzero(first_of_runs(sig))
         size = np.diff(np.append(start, len(sig)))
-        large = (size > SMALL_GROUP) & ~one[start]
-        if open_sig is not None:
-            large |= sig[start] == open_sig
-        out = []
-        for k in np.unique(size[(size > 1) & ~large]):
-            rows = start[(size == k) & ~large][:, None] + np.arange(k)
-            i, j = np.triu_indices(k, 1)
-            x, y = rows[:, i].ravel(), rows[:, j].ravel()
-            ok = _can_link(n[x], n[y])
-            x, y = x[ok], y[ok]
-            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-            overlap = -(-PERCENT * (nx + ny) // (100 + PERCENT))
-            # the one whose prefix ends first has all that they share up to there in both prefixes
-            least = np.maximum(1, np.minimum(rare[x] - (nx - overlap), rare[y] - (ny - overlap)))
-            both = one[x] & one[y]
-            lo, hi = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            none = np.full(len(x), -1)
-            out.append((lo, hi, both.astype(np.int64), np.where(both, least, 0), none, none))
-        at = np.repeat(large, size)
-        k = int(at.sum())
-        out.append((node[at], np.full(k, -1), np.zeros(k, np.int64), np.zeros(k, np.int64), sig[at], n[at].astype(np.int64)))
-        yield record_batch(_PAIRS, *(np.concatenate(c) for c in zip(*out)))
-
-    for batch in arrow_batches(it, _SIGS.names):
-        rows = [np.concatenate([c, x]) for c, x in zip(carry, batch)]
-        keep = first_of_runs(rows[0], rows[1])  # copies of one node come from different batches
-        sig, node, n, rare, one = (x[keep] for x in rows)
-        last = int(np.searchsorted(sig, sig[-1]))
-        goes_on = open_sig == sig[-1] or len(sig) - last > SMALL_GROUP and not one[last]
-        ready = len(sig) if goes_on else last  # a large group's rows need not wait for its end
-        if ready:
-            yield from emit(sig[:ready], node[:ready], n[:ready], rare[:ready], one[:ready])
-        open_sig = sig[-1] if goes_on else None
-        carry = [x[ready:] for x in (sig, node, n, rare, one)]
-    if len(carry[0]):
-        yield from emit(*carry)
+        out = np.repeat(size > 1, size)
+        if told:
+            out[0] = False
+        hub = np.repeat(start, size)
+        yield record_batch(_GROUPS, *(x[out] for x in rows), node[hub][out], n[hub][out], r[hub][out])
+        told = bool(size[-1] > 1) or told and len(start) == 1
+        head, last = [x[start[-1] :][:1] for x in rows], node[-1]
+
+
+def _may_link(n, r, m, q, one):
+    """Whether sets of n and m shingles, r and q of them rare, can reach the similarity.
+
+    Two sets that share a combination and no rare shingle have at most their frequent ones in common; if they
+    share a rare one too, they also meet in that one's group.
+    """
+    overlap = F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT) - 1e-9)
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return sizes & (one | (F.least(n - r, m - q) >= overlap))
 
 
 _SETS_DDL = "node long, items array<long>"
@@ -233,9 +255,11 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([digests, items], names=["node", "items"]).filter(same)
 
 
-def _frequent(counts: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most MAX_FREQUENT shingles with the highest counts over RARE."""
-    top = counts.filter(F.col("c") > RARE).orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+def _frequent(texts: DataFrame, shingles: int) -> np.ndarray:
+    """Sorted hashes of at most MAX_FREQUENT shingles with the highest counts over RARE; counts cover all texts."""
+    parts = max(16, -(-shingles // RANGE_SHINGLES))
+    counts = texts.mapInArrow(_counted(parts), _COUNTS_DDL).repartition("part").sortWithinPartitions("part")
+    top = counts.mapInArrow(_frequent_of_ranges, "h long, c long").orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(top.column("h").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
 
 
@@ -243,7 +267,7 @@ def _sets_of(nodes: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, items): the whole sets of some nodes, from the texts of the documents that own them."""
     needed = nodes.distinct().join(owners, "node")
     texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["owner"])).select("node", "text")
-    return materialize(texts.mapInArrow(_sets, _SETS_DDL), "ngram-sets", large=True)
+    return materialize(texts.mapInArrow(_sets, _SETS_DDL), "ngram-sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,65 +276,45 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     link = F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))
-    return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links", large=True)
-
-
-#: Shingles in a block of strays and in a block of members that a task compares.
-STRAY_BLOCK, MEMBER_BLOCK = 200_000, 1_000_000
-
-
-def _compare_blocks(strays: pa.Table, members: pa.Table) -> pa.Table:
-    """Links of one block of strays with one block of members: for each stray one per component it meets."""
-    found_a, found_b = [], []
-    if strays.num_rows and members.num_rows:
-        items = members.column("items").combine_chunks()
-        vocabulary, index = np.unique(items.flatten().to_numpy(), return_inverse=True)
-        sizes = items.value_lengths().to_numpy().astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        node, root = members.column("node").to_numpy(), members.column("root").to_numpy()
-        own_root = strays.column("root").to_numpy()
-        mark = np.zeros(len(vocabulary), np.int32)
-        for k, (x, own) in enumerate(zip(strays.column("node").to_numpy(), strays.column("items"))):
-            own = np.asarray(own.values)
-            at = np.searchsorted(vocabulary, own)
-            at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == own]
-            mark[at] = 1
-            common = np.add.reduceat(mark[index], starts)
-            mark[at] = 0
-            hit = (common * 100 >= PERCENT * (sizes + len(own) - common)) & (root != own_root[k])
-            _, first = np.unique(root[hit], return_index=True)
-            found_a += [x] * len(first)
-            found_b += node[hit][first].tolist()
-    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-
-def _stray_links(canopies: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join a canopy's strays to other components of the canopy.
-
-    A canopy has all nodes that large groups chain together; its strays are those outside its most frequent
-    component. They are compared with all members, block by block.
-    """
-    placed = canopies.join(labels, "node", "left").select("node", "canopy", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("canopy", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("canopy").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    sized = placed.join(main, "canopy").join(sets, "node").select("node", "canopy", "root", "main", "items", F.size("items").alias("n"))
-    is_stray = F.col("root") != F.col("main")
-    blocks_of = sized.groupBy("canopy").agg(F.ceil(F.sum(F.when(is_stray, F.col("n")).otherwise(0)) / STRAY_BLOCK).alias("stray_blocks"), F.ceil(F.sum("n") / MEMBER_BLOCK).alias("member_blocks"))
-    sized = sized.join(blocks_of, "canopy")
+    return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links")
+
 
-    def block(n):
-        return F.pmod(F.xxhash64("node"), n)
+def _unordered(a: str, b: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    def side(rows, s, m):  # new columns, as both sides come from one frame
-        return rows.select(s.alias("s"), m.alias("m"), *(F.col(c).alias(c) for c in ("canopy", "node", "root", "items")))
+def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that have a link.
 
-    strays = side(sized.filter(is_stray), block(F.col("stray_blocks")), every(F.col("member_blocks")))
-    members = side(sized.filter("stray_blocks > 0"), every(F.col("stray_blocks")), block(F.col("member_blocks")))
-    key = ["canopy", "s", "m"]
-    return strays.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(_compare_blocks, "a long, b long")
+    Rounds of hubs: a group's hub is compared with the group's other nodes, nodes that turn out linked are one
+    component from then on, and the hub leaves the group, as all its pairs are known. Pairs are only made between
+    different components that can still reach the similarity. A group is done once it lies within one component.
+    The first hub is the node whose shingles are the most frequent, the likely original of a family of copies;
+    later ones are nodes of the smallest components.
+    """
+    sets = _sets_of(groups.select("node"), owners, docs)
+    first = groups.filter("node <> hub").filter(_may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
+    pairs = _unordered("hub", "node", first)
+    links = _links(pairs, sets)
+    open_rows, hubs = groups.filter("node <> hub").select("sig", "node", "n", "r", "one"), HUBS
+    while True:
+        labels = connected_components(links)
+        sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
+        placed = open_rows.join(labels.join(sizes, "root"), "node", "left")
+        placed = placed.select("sig", "node", "n", "r", "one", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+        spans = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
+        placed = materialize(placed.join(spans, "sig", "left_semi"), "ngram-open")
+        if placed.isEmpty():
+            return labels
+        chosen = placed.withColumn("k", F.expr("row_number() over (partition by sig order by size, node)")).filter(F.col("k") <= hubs)
+        chosen = materialize(chosen, "ngram-hubs")
+        hub = chosen.select("sig", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "r", "root")))
+        met = placed.join(hub, "sig").filter((F.col("root") != F.col("hub_root")) & _may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
+        fresh = _unordered("hub_node", "node", met)
+        new = _links(fresh, sets)
+        links = labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
+        open_rows = placed.join(chosen, ["sig", "node"], "left_anti").select("sig", "node", "n", "r", "one")
+        hubs *= HUBS
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,13 +322,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents with equal sets are one node, so copies are not compared with one another. Each node indexes its
     signatures (see ``signatures``): rare shingles of its prefix, combinations of two where shingles are
-    frequent. Nodes that share a signature are candidates, unless they share too few of their rare prefix
-    shingles for the similarity to be reached; candidates are verified on their whole sets.
-
-    A combination that more than SMALL_GROUP nodes share mostly stands for a family of near copies. Its members
-    are compared with the one among them that is in most large groups, the likely original. Members that no
-    link has joined to the family's main component are then compared with all its members in blocks. So a
-    family costs its size plus its strays, and no link between components is lost.
+    frequent. Nodes that share a signature are a group; groups are compared through hubs (see
+    ``_components_of_groups``) and every pair is verified on the whole sets, so no link between components is lost
+    and a family of copies makes pairs in proportion to its members.
 
     Texts are lower-cased (A-Z), words are split at ASCII white space. Defined cases: null or blank text has an
     empty set, linked with nothing; with fewer than five words the whole sequence is the only element; repeated
@@ -339,29 +339,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owners = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
 
     texts = docs.select("text")
-    counts = texts.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    frequent = spark.sparkContext.broadcast(_frequent(counts))
-
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = spark.sparkContext.broadcast(_frequent(texts, shingles))
     signed = texts.mapInArrow(_signed(frequent), _SIGS_DDL)
-    found = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_pairs_of_groups, _PAIRS_DDL)
-    found = found.groupBy("a", "b", "sig", "n").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.min("least").alias("lowest"))
-    found = materialize(found.filter("sig <> -1 or n >= 0 or lowest = 0 or shared >= least").select("a", "b", "sig", "n"), "ngram-found", large=True)
-
-    members = found.filter("n >= 0").select(F.col("a").alias("node"), "sig", "n")
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    centres = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", "degree").alias("centre"), F.max_by("n", "degree").alias("m"))
-    stars = members.join(centres, "sig").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), "n", "m").distinct()
-    stars = materialize(stars, "ngram-stars")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
-    pairs = found.filter("n < 0").select("a", "b").union(stars.filter(fits).select("a", "b"))
-    used = pairs.select("a").union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).withColumnRenamed("a", "node")
-    sets = _sets_of(used, owners, docs)
-    labels = connected_components(_links(pairs, sets))
-    if stars.limit(1).count():
-        canopies = connected_components(stars.select("a", "b")).withColumnRenamed("root", "canopy")
-        more = materialize(_stray_links(canopies, labels, sets), "ngram-stray-links")
-        if more.limit(1).count():
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    groups = materialize(signed.repartition("sig").sortWithinPartitions("sig", "rank", "node").mapInArrow(_groups, _GROUPS_DDL), "ngram-groups")
+    labels = _components_of_groups(groups, owners, docs)
 
     placed = nodes.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node"))
     names = placed.filter("n > 0").groupBy("part").agg(F.min("doc_id").alias("name"))

@@ -178,7 +178,7 @@ def test_ngram_components(spark, sample):
 def test_families_of_near_copies(spark, monkeypatch):
     """Large groups: copies of two texts with edits of very different extent, and a frequent passage."""
     monkeypatch.setattr(ngram_join, "RARE", 4)
-    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 8)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
     rng = random.Random(5)
     rows = []
     passage = " ".join(f"p{k}" for k in range(30))
