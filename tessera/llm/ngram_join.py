@@ -70,10 +70,23 @@ _SIGS = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()),
 _SIGS_DDL = "sig long, node long, n int, r int, rank int, one boolean"
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the set, 2 to 4 bits a shingle: how often, modulo 2, each value of the hash's low bits occurs.
+
+    Two bitmaps differ in at most as many bits as the sets differ in shingles. The bitmap of half the size is the
+    two halves of the larger one added up.
+    """
+    size = 64 << max(0, int(2 * len(s) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in shingle_sets(it):
         digests = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests)], names=["doc_id", "n", "node"])
+        bits = [parities(s) for s in sets]
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in bits])]).astype(np.int32), np.concatenate(bits))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests), lists], names=["doc_id", "n", "node", "bits"])
 
 
 def _distinct(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,9 +251,8 @@ def _may_link(n, r, m, q, one):
     Two sets that share a combination and no rare shingle have at most their frequent ones in common; if they
     share a rare one too, they also meet in that one's group.
     """
-    overlap = F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT) - 1e-9)
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    return sizes & (one | (F.least(n - r, m - q) >= overlap))
+    return sizes & (one | (F.least(n - r, m - q) >= _least_overlap(n, m)))
 
 
 _SETS_DDL = "node long, items array<long>"
@@ -259,22 +271,47 @@ def _frequent(texts: DataFrame, shingles: int) -> np.ndarray:
     """Sorted hashes of at most MAX_FREQUENT shingles with the highest counts over RARE; counts cover all texts."""
     parts = max(16, -(-shingles // RANGE_SHINGLES))
     counts = texts.mapInArrow(_counted(parts), _COUNTS_DDL).repartition("part").sortWithinPartitions("part")
-    top = counts.mapInArrow(_frequent_of_ranges, "h long, c long").orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    often = materialize(counts.mapInArrow(_frequent_of_ranges, "h long, c long"), "ngram-frequent")
+    top = often.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(top.column("h").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
 
 
-def _sets_of(nodes: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, items): the whole sets of some nodes, from the texts of the documents that own them."""
-    needed = nodes.distinct().join(owners, "node")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["owner"])).select("node", "text")
-    return materialize(texts.mapInArrow(_sets, _SETS_DDL), "ngram-sets")
+def _differing(x, y):
+    """Bits in which two bitmaps differ, the larger one cut to the other's size."""
+
+    def half(v):
+        n = (F.size(v) / 2).cast("int")
+        return F.zip_with(F.slice(v, 1, n), F.slice(v, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+
+    def same(v, w):
+        return F.when(F.size(v) > F.size(w), half(v)).otherwise(v)
 
+    each = F.zip_with(same(x, y), same(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(each, F.lit(0), lambda total, k: total + k)
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is high enough, from the whole sets of both."""
+
+def _least_overlap(n, m):
+    return F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT) - 1e-9)
+
+
+def _links(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose similarity is high enough.
+
+    Bitmaps rule out pairs that differ in too many shingles; the whole sets of the others are compared, made
+    from the texts of the documents that own the nodes.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(owners.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    n, m = F.col("n_a"), F.col("n_b")
+    near = pairs.filter(_differing(F.col("bits_a"), F.col("bits_b")) <= n + m - 2 * _least_overlap(n, m))
+    near = materialize(near.select("a", "b"), "ngram-near")
+    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(owners.select("node", "owner"), "node")
+    needed = materialize(needed, "ngram-needed")
+    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["owner"])).select("node", "text")
+    sets = materialize(texts.mapInArrow(_sets, _SETS_DDL), "ngram-sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     link = F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))
     return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links")
 
@@ -292,10 +329,9 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
     The first hub is the node whose shingles are the most frequent, the likely original of a family of copies;
     later ones are nodes of the smallest components.
     """
-    sets = _sets_of(groups.select("node"), owners, docs)
     first = groups.filter("node <> hub").filter(_may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
     pairs = _unordered("hub", "node", first)
-    links = _links(pairs, sets)
+    links = _links(pairs, owners, docs)
     open_rows, hubs = groups.filter("node <> hub").select("sig", "node", "n", "r", "one"), HUBS
     while True:
         labels = connected_components(links)
@@ -311,7 +347,7 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
         hub = chosen.select("sig", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "r", "root")))
         met = placed.join(hub, "sig").filter((F.col("root") != F.col("hub_root")) & _may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
         fresh = _unordered("hub_node", "node", met)
-        new = _links(fresh, sets)
+        new = _links(fresh, owners, docs)
         links = labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
         open_rows = placed.join(chosen, ["sig", "node"], "left_anti").select("sig", "node", "n", "r", "one")
         hubs *= HUBS
@@ -335,8 +371,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    nodes = materialize(docs.mapInArrow(_nodes, "doc_id long, n int, node long"), "ngram-nodes")
-    owners = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
+    nodes = materialize(docs.mapInArrow(_nodes, "doc_id long, n int, node long, bits array<long>"), "ngram-nodes")
+    owners = materialize(nodes.filter("n > 0").groupBy("node", "n", "bits").agg(F.min("doc_id").alias("owner")), "ngram-owners")
 
     texts = docs.select("text")
     shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
