@@ -21,7 +21,7 @@ RARE = 32
 #: count as rare. This steers the work and never the result: groups of either kind are compared through hubs.
 MAX_FREQUENT = 1_000_000
 #: Shingles that one range of the counting holds on average.
-RANGE_SHINGLES = 2_000_000
+RANGE_SHINGLES = 500_000
 #: Hubs that a group gets in the second round; each further round has this many times more.
 HUBS = 4
 
@@ -332,7 +332,9 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
     first = groups.filter("node <> hub").filter(_may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
     pairs = _unordered("hub", "node", first)
     links = _links(pairs, owners, docs)
-    open_rows, hubs = groups.filter("node <> hub").select("sig", "node", "n", "r", "one"), HUBS
+    # all groups of one hub are one group from here on: its pairs include theirs, and a family is there only once
+    merged = groups.filter("node <> hub").select(F.xxhash64("hub", "one").alias("sig"), "node", "n", "r", "one").distinct()
+    open_rows, hubs = materialize(merged, "ngram-merged"), HUBS
     while True:
         labels = connected_components(links)
         sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
