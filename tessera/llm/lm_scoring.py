@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import _LOWER, _SPACE, Words, blocks, crc_mod, documents, first_of_runs, materialize, record_batch, text_bytes
 
 #: Contexts: the last 0 to 4 bytes, and the current word so far (its last WORD_BYTES bytes). Those of less than
-#: two bytes (orders 0 and 1, short words) have plain tables of 2**bits cells, which the byte alphabet fixes; all
-#: longer ones are counted exactly in the tasks that own them.
+#: two bytes (orders 0 and 1, short words) have plain tables of 2**bits cells, which the byte alphabet fixes, those
+#: of two bytes a sparse table; all longer ones are counted exactly in the tasks that own them.
 CONTEXTS, WORD_BYTES = 6, 6
 TABLE_BITS = (8, 16, 16)
-#: Sequences of 32 portions that tasks work on, and rounds of teaching.
-LESSONS, ROUNDS = 400_000, 5
+#: Ends every text; no UTF-8 text has this byte.
+END = 255
+#: Sequences that a task works on at once, unless one owner has more, and rounds of teaching.
+PORTION, ROUNDS = 12_500, 5
 #: Added to both counts of a bit, and the largest logit of a prediction; weight of the first weights, in bits seen.
 DELTA, CLIP, PRIOR = 0.1, 8.0, 4.0
 BUCKETS = 24
@@ -27,6 +29,16 @@ HEAD_WORDS, HEAD_CODES = 1 << 17, 1 << 20
 
 _TABLE_START = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 _TABLE_OF = {0: 0, 1: 1, 5: 2}
+#: Part of a code that holds a byte and the two before it.
+TWO = (1 << 24) - 1
+
+
+def ended(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with END after each."""
+    docs = np.arange(len(offsets))
+    out = np.full(len(raw) + len(docs) - 1, END, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(docs[:-1], np.diff(offsets))] = raw
+    return out, offsets + docs
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,7 +63,8 @@ def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def contexts(code: np.ndarray) -> list[np.ndarray]:
-    """The contexts of each code, as numbers."""
+    """The contexts of each code, as numbers. A word of two bytes has the byte before it in its context, so that
+    every context of more than two bytes lies with one owner."""
     past = code >> np.uint64(8)
     out = [past & np.uint64((1 << 8 * k) - 1) for k in range(5)]
     word, alive = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
@@ -59,7 +72,8 @@ def contexts(code: np.ndarray) -> list[np.ndarray]:
         byte = (past >> np.uint64(8 * k)) & np.uint64(255)
         alive &= (byte != 0) & ~_SPACE[byte.astype(np.int64)]
         word |= np.where(alive, byte, 0).astype(np.uint64) << np.uint64(8 * k)
-    return [*out, word]
+    two = (word >> np.uint64(8) > 0) & (word >> np.uint64(16) == 0)
+    return [*out, np.where(two, past & np.uint64(TWO), word)]
 
 
 def slots(context: np.ndarray, which: int, node: np.ndarray) -> np.ndarray:
@@ -75,18 +89,23 @@ def bits_of(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Runs:
-    """Exact counts of contexts of two bytes and more, among sequences that hold all occurrences of them."""
+    """Exact counts of contexts of two bytes, from ``pairs``, and of longer ones, among sequences that hold all
+    occurrences of them."""
 
-    def __init__(self, context: list[np.ndarray], code: np.ndarray, n: np.ndarray):
+    def __init__(self, context: list[np.ndarray], code: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.upto = pairs
+        self.two, self.where = np.unique(code & np.uint64(TWO), return_inverse=True)
         self.sorted = []
-        for which in range(2, CONTEXTS):
+        for which in range(3, CONTEXTS):
             key = (context[which] << np.uint64(8)) | (code & np.uint64(255))
             order = np.argsort(key, kind="stable")
             self.sorted.append((order, key[order], n[order]))
 
     def totals(self, depth: int) -> list[np.ndarray]:
         """How often each sequence's contexts were followed by the first ``depth`` bits of its byte."""
-        out = []
+        low = self.two >> np.uint64(8 - depth) << np.uint64(8 - depth)
+        ends = (self.upto[np.searchsorted(self.keys, x)] for x in (low, low + np.uint64(1 << 8 - depth)))
+        out = [-np.subtract(*ends)[self.where]]
         for order, key, n in self.sorted:
             first = np.flatnonzero(first_of_runs(key >> np.uint64(8 - depth)))
             total = np.empty(len(n))
@@ -116,6 +135,7 @@ class Mixer:
     by_node: np.ndarray
     by_known: np.ndarray
     refine: np.ndarray
+    pairs: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.zeros(1))
 
     def inputs(self, code: np.ndarray, n: np.ndarray | None = None, counts=None) -> Iterator[tuple[np.ndarray, ...]]:
         """For each bit: node, bit, predictions of all contexts, and which weights they choose.
@@ -124,7 +144,7 @@ class Mixer:
         contexts' ``counts``, predictions are as if one occurrence of the sequence had not been counted.
         """
         context = contexts(code)
-        runs = None if n is None else Runs(context, code, n.astype(np.float64))
+        runs = None if n is None else Runs(context, code, n.astype(np.float64), self.pairs)
         less, short = int(counts is not None), np.flatnonzero(context[5] < 256)
         before = runs and runs.totals(0)
         for depth, (node, bit) in enumerate(bits_of(code)):
@@ -219,7 +239,7 @@ def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = text_bytes(batch.column("text"))
         found, held = [], 0
         for i, j in blocks(offsets):
-            code = np.sort(gram_codes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            code = np.sort(gram_codes(*ended(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
             at = np.flatnonzero(first_of_runs(code))
             found.append((code[at], np.diff(np.append(at, len(code)))))
             held += len(at)
@@ -234,7 +254,7 @@ _OWNED = pa.schema([("code", pa.binary()), ("n", pa.binary()), ("m", pa.binary()
 
 
 def _owned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their last two context bytes, packed: a row holds whole groups that agree in these."""
+    """Rows sorted by their last three context bytes, packed: a row holds whole groups that agree in these."""
     held = np.zeros((3, 0), np.int64)
 
     def row(part):
@@ -242,8 +262,8 @@ def _owned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("code", "n", "m")])], axis=1)
-        if held.shape[1] >= LESSONS // 32:
-            key = (held[0] >> 8) & 65535
+        if held.shape[1] >= PORTION:
+            key = (held[0] >> 8) & TWO
             cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
             if cut:
                 yield row(held[:, :cut])
@@ -282,6 +302,24 @@ def _added(owned: DataFrame, f, size: int) -> np.ndarray:
     return out
 
 
+_PAIR = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+
+def _pair_counts(owned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (two bytes of context, byte) of the training text and their running counts: a row for each that
+    occurs, 2**24 at most."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, _ in _portions(it, True):
+            key, where = np.unique(code & np.uint64(TWO), return_inverse=True)
+            yield record_batch(_PAIR, key.view(np.int64), np.bincount(where, weights=n).astype(np.int64))
+
+    got = owned.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(key)
+    return key[order], np.concatenate([[0.0], np.cumsum(n[order])])
+
+
 def _short_counts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Zeros and ones seen at every cell of the short contexts."""
     context = contexts(code)
@@ -298,13 +336,13 @@ def _short_counts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
 def count_sequences(docs: DataFrame, train: DataFrame) -> DataFrame:
     """Every byte sequence of the two, how often it stands in ``train`` (n) and in ``docs`` (m), packed by owner.
 
-    Sequences that agree in the last two context bytes have one owner, so all occurrences of a context of two
+    Sequences that agree in the last three context bytes have one owner, so all occurrences of a context of three
     bytes or more lie in one row. The table grows with the text; nothing is hashed or left out.
     """
     seen = train.mapInArrow(_grams, "code long, n long").withColumn("m", F.lit(0).cast("long"))
     asked = docs.mapInArrow(_grams, "code long, n long").select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
     grams = seen.unionByName(asked).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    near = grams.withColumn("key", F.expr("shiftright(code, 8) & 65535")).repartition("key").sortWithinPartitions("key", "code").drop("key")
+    near = grams.withColumn("key", F.expr(f"shiftright(code, 8) & {TWO}")).repartition("key").sortWithinPartitions("key", "code").drop("key")
     return materialize(near.mapInArrow(_owned, "code binary, n binary, m binary"), "lm-grams")
 
 
@@ -316,6 +354,7 @@ def learn(owned: DataFrame) -> Mixer:
     the cost worse is taken back by half. The adaptive map counts all training text likewise.
     """
     bc = owned.sparkSession.sparkContext.broadcast
+    pairs = _pair_counts(owned)
     n0, n1 = _added(owned, _short_counts, 2 * int(_TABLE_START[-1])).reshape(2, -1)
     weight = np.full(CONTEXTS + 1, 0.3)
     weight[CONTEXTS] = 0
@@ -323,7 +362,7 @@ def learn(owned: DataFrame) -> Mixer:
 
     def mixer(weights, refine=None):
         w = np.round(weights, 6).astype(np.float32)
-        return Mixer(stretch_counts(n0, n1).astype(np.float32), w[:256], w[256:], np.full((256, BUCKETS), 0.5, np.float32) if refine is None else refine)
+        return Mixer(stretch_counts(n0, n1).astype(np.float32), w[:256], w[256:], np.full((256, BUCKETS), 0.5, np.float32) if refine is None else refine, pairs)
 
     if not n0.any() and not n1.any():
         return mixer(first)
@@ -418,6 +457,8 @@ def _scored(head, total: float, vocabulary: float, end_count: float):
                 base = np.bincount(words.doc, weights=value, minlength=j - i) + log_share(end_count)
                 known = np.bincount(words.doc[hit], minlength=j - i) + (end_count > 0)
                 rare = np.flatnonzero(~hit)
+                size = np.diff(at)
+                own, at = ended(own, at)
                 code, back = np.unique(gram_codes(own, at), return_inverse=True)
                 place, hit = _found(codes, code)
                 cost = np.zeros(len(code))
@@ -426,7 +467,7 @@ def _scored(head, total: float, vocabulary: float, end_count: float):
                 np.cumsum(cost[back], out=sums[1:])
                 other = np.flatnonzero(~hit[back])
                 owner = np.searchsorted(at, other, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(sums[at[1:]] - sums[at[:-1]]), _lists(words.doc[rare], j - i, words.hash[rare]), _lists(owner, j - i, code[back[other]])], names=["doc_id", "n_tokens", "known", "base", "bits", "rare", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(size), _lists(words.doc[rare], j - i, words.hash[rare]), _lists(owner, j - i, code[back[other]])], names=["doc_id", "n_tokens", "known", "base", "bits", "n_bytes", "rare", "codes"])
 
     return run
 
@@ -437,16 +478,17 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     The mixer predicts each bit of the text's bytes from six contexts: the last 0 to 4 bytes and the word so far. The contexts'
     bit counts, the weights, chosen by two gates, and the adaptive map behind them all cover all of ``train``;
     each byte is left out of the counts that teach weights and map. For scoring all state is frozen, so a document's
-    score depends on its text and the model alone: total bits, given as log10 probability.
+    score depends on its text and the model alone: total bits of its bytes and of the end after them, given as
+    log10 probability.
 
     The HEAD_WORDS most frequent words and HEAD_CODES most frequent sequences go to the executors, all others are
     looked up by a join.
 
-    Defined cases: null counts as the empty text, whose only token is the end, score 0 (no bytes); if nothing
+    Defined cases: null counts as the empty text, whose only token is the end and whose score is that of the end; if nothing
     was trained on, every bit has probability one half and no token is known; repeated rows are scored each; an
     empty table gives no rows; other columns are not read.
 
-    Returns doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of an empty text: its bits).
     """
     spark = docs.sparkSession
     texts = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -462,19 +504,20 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     costs = materialize(sequence_costs(owned, learn(owned)), "lm-costs")
     head = spark.sparkContext.broadcast((h[order], n[order], *head_costs(costs)))
 
-    scored = rows.mapInArrow(_scored(head, float(total), float(vocabulary), float(n_train)), "doc_id long, n_tokens long, known long, base double, bits double, rare array<long>, codes array<long>")
+    scored = rows.mapInArrow(_scored(head, float(total), float(vocabulary), float(n_train)), "doc_id long, n_tokens long, known long, base double, bits double, n_bytes long, rare array<long>, codes array<long>")
     scored = materialize(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scored")
     floor = float(total) + 0.1 * (float(vocabulary) + 1)
     words = scored.select("row_id", F.explode("rare").alias("h")).join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = words.groupBy("row_id").agg(F.sum(F.log10((F.col("n") + 0.1) / floor)).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("more_known"))
     tail = scored.select("row_id", F.explode("codes").alias("code")).join(costs.select("code", "cost"), "code").groupBy("row_id").agg(F.sum("cost").alias("more_bits"))
     out = scored.drop("rare", "codes").join(rest, "row_id", "left").join(tail, "row_id", "left")
-    score = -(F.col("bits") + F.coalesce("more_bits", F.lit(0.0))) * float(np.log10(2))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
+    score = -bits * float(np.log10(2))
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     train = docs.filter(crc_mod("doc_id", 10) != 0)
     held = crc_mod("doc_id", 10) == 0
-    return score_documents(docs, train).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_documents(docs, train).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -358,7 +358,7 @@ def test_lm_scoring(spark, sample, monkeypatch):
     from collections import Counter
 
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 20)
-    monkeypatch.setattr(lm_scoring, "LESSONS", 4000)
+    monkeypatch.setattr(lm_scoring, "PORTION", 125)
     rows = [r for r in sample if r[0] is not None]
     docs = frame(spark, rows)
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
@@ -370,8 +370,7 @@ def test_lm_scoring(spark, sample, monkeypatch):
     assert [w[:3] for w in want] == [h[:3] for h in have]
     assert all(w[3] == pytest.approx(h[3]) for w, h in zip(want, have))
     assert all(r["train_tokens"] == n and r["score"] <= 0 for r in got)
-    empty = {r["doc_id"]: r["score"] for r in got}
-    assert all(empty[i] == 0 for i, t, _ in rows if not t)
+    assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
     same = {}
     for r, (i, t, _) in ((r, next(x for x in rows if x[0] == r["doc_id"])) for r in got):
         assert same.setdefault(t, r["score"]) == pytest.approx(r["score"])
@@ -393,23 +392,24 @@ def test_lm_contexts_are_counted_exactly(spark, sample, monkeypatch):
     """Every context has counts of its own, whatever their number, and joined sequences score as broadcast ones do."""
     from collections import Counter
 
-    monkeypatch.setattr(lm_scoring, "LESSONS", 3200)
-    rows = frame(spark, [r for r in sample if r[0] is not None])
+    monkeypatch.setattr(lm_scoring, "PORTION", 100)
+    rows = frame(spark, [*(r for r in sample if r[0] is not None), (900, "ab\nab abc\tab", None)])
     texts = rows.selectExpr("coalesce(text, '') text")
     owned = lm_scoring.count_sequences(texts, texts)
     parts = [[np.frombuffer(r[c], t) for c, t in (("code", np.uint64), ("n", np.int64))] for r in owned.collect()]
     assert len(parts) > 1
-    owners = Counter(int(k) for code, _ in parts for k in np.unique((code >> np.uint64(8)) & np.uint64(65535)))
+    owners = Counter(int(k) for code, _ in parts for k in np.unique((code >> np.uint64(8)) & np.uint64(lm_scoring.TWO)))
     assert set(owners.values()) == {1}
     seen, size = Counter(), 0
     for t in (r["text"].encode() for r in texts.collect()):
-        code = lm_scoring.gram_codes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        size += len(t)
+        code = lm_scoring.gram_codes(*lm_scoring.ended(np.frombuffer(t, np.uint8), np.array([0, len(t)])))
+        size += len(t) + 1
         for which, context in enumerate(lm_scoring.contexts(code)):
             seen.update((which, int(c), int(b)) for c, b in zip(context, code & np.uint64(255)))
+    pairs = lm_scoring._pair_counts(owned)
     for code, n in parts:
         context = lm_scoring.contexts(code)
-        for which, total in enumerate(lm_scoring.Runs(context, code, n.astype(float)).totals(8), 2):
+        for which, total in enumerate(lm_scoring.Runs(context, code, n.astype(float), pairs).totals(8), 2):
             for c, b, k in zip(context[which], code & np.uint64(255), total):
                 assert (which == 5 and c < 256) or seen[which, int(c), int(b)] == k
     assert sum(int(n.sum()) for _, n in parts) == size
@@ -423,7 +423,7 @@ def test_lm_contexts_are_counted_exactly(spark, sample, monkeypatch):
 def test_lm_is_taught_by_all_text(spark, monkeypatch):
     """Every bit of the training text teaches weights and map, and rounds of teaching lessen its cost."""
     texts = frame(spark, [(k, LONG[k:], None) for k in range(3)]).select("text")
-    size, sums, added = sum(len(LONG) - k for k in range(3)), [], lm_scoring._added
+    size, sums, added = sum(len(LONG) - k + 1 for k in range(3)), [], lm_scoring._added
     assert size > 1_000_000
     monkeypatch.setattr(lm_scoring, "_added", lambda *a: sums.append(added(*a)) or sums[-1])
     lm_scoring.learn(lm_scoring.count_sequences(texts, texts))
