@@ -57,7 +57,7 @@ def crc_mod(column: str, n: int) -> Column:
 # ---------------------------------------------------------------- text as byte arrays
 
 #: Documents are joined into blocks of about this many bytes before numpy works on them.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

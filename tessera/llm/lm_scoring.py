@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import _LOWER, _SPACE, Words, blocks, crc_mod, documents, first_of_runs, materialize, record_batch, text_bytes
@@ -224,28 +225,35 @@ def step_of(sums: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndar
 
 # ---------------------------------------------------------------- learning
 
-_GRAMS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+_GRAMS = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+#: Sequences that a task adds up before it passes them on.
+HELD = 1 << 19
 
 
 def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of byte sequences per batch, or less where it has many."""
+    """How often byte sequences stand in texts that teach (n) and in texts to score (m), for some texts at a time."""
 
     def added(found):
-        code, n = (np.concatenate(c) for c in zip(*found))
+        code, n, m = (np.concatenate(c) for c in zip(*found))
         code, where = np.unique(code, return_inverse=True)
-        return record_batch(_GRAMS, code.view(np.int64), np.bincount(where, weights=n).astype(np.int64))
+        return record_batch(_GRAMS, code.view(np.int64), *(np.bincount(where, weights=x).astype(np.int64) for x in (n, m)))
 
     for batch in it:
-        raw, offsets = text_bytes(batch.column("text"))
         found, held = [], 0
-        for i, j in blocks(offsets):
-            code = np.sort(gram_codes(*ended(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-            at = np.flatnonzero(first_of_runs(code))
-            found.append((code[at], np.diff(np.append(at, len(code)))))
-            held += len(at)
-            if held > 1 << 20:
-                yield added(found)
-                found, held = [], 0
+        taught, asked = batch.column("taught"), batch.column("asked")
+        for teaches in (True, False):
+            for asks in (True, False) if teaches else (True,):
+                on = pa.compute.and_(pa.compute.equal(taught, teaches), pa.compute.equal(asked, asks))
+                raw, offsets = text_bytes(batch.column("text").filter(on))
+                for i, j in blocks(offsets):
+                    code = np.sort(gram_codes(*ended(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+                    at = np.flatnonzero(first_of_runs(code))
+                    count = np.diff(np.append(at, len(code)))
+                    found.append((code[at], count * teaches, count * asks))
+                    held += len(at)
+                    if held > HELD:
+                        yield added(found)
+                        found, held = [], 0
         if held:
             yield added(found)
 
@@ -333,15 +341,14 @@ def _short_counts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def count_sequences(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Every byte sequence of the two, how often it stands in ``train`` (n) and in ``docs`` (m), packed by owner.
+def count_sequences(texts: DataFrame) -> DataFrame:
+    """Every byte sequence of (text, taught, asked), how often it stands in texts that teach (n) and in texts to
+    score (m), packed by owner.
 
     Sequences that agree in the last three context bytes have one owner, so all occurrences of a context of three
     bytes or more lie in one row. The table grows with the text; nothing is hashed or left out.
     """
-    seen = train.mapInArrow(_grams, "code long, n long").withColumn("m", F.lit(0).cast("long"))
-    asked = docs.mapInArrow(_grams, "code long, n long").select("code", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
-    grams = seen.unionByName(asked).groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    grams = texts.mapInArrow(_grams, "code long, n long, m long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     near = grams.withColumn("key", F.expr(f"shiftright(code, 8) & {TWO}")).repartition("key").sortWithinPartitions("key", "code").drop("key")
     return materialize(near.mapInArrow(_owned, "code binary, n binary, m binary"), "lm-grams")
 
@@ -472,8 +479,9 @@ def _scored(head, total: float, vocabulary: float, end_count: float):
     return run
 
 
-def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Unigram base score and the context mixer's score of every document of ``docs``, learned from ``train``.
+def score_documents(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Unigram base score and the context mixer's score of every document of ``docs``, learned from ``train``:
+    a table of its own, or a condition that the rows of ``docs`` meet which teach (each text is then read for both).
 
     The mixer predicts each bit of the text's bytes from six contexts: the last 0 to 4 bytes and the word so far. The contexts'
     bit counts, the weights, chosen by two gates, and the adaptive map behind them all cover all of ``train``;
@@ -491,7 +499,13 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of an empty text: its bits).
     """
     spark = docs.sparkSession
-    texts = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text, yes, no = F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(True), F.lit(False)
+    if isinstance(train, DataFrame):
+        both = docs.select(text, no.alias("taught"), yes.alias("asked")).unionByName(train.select(text, yes.alias("taught"), no.alias("asked")))
+    else:
+        both = docs.select(text, F.coalesce(train, no).alias("taught"), yes.alias("asked"))
+        train = docs.filter(train)
+    texts = train.select(text)
     counts = materialize(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     n_train = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -500,7 +514,7 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.float64)
     order = np.argsort(h)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    owned = count_sequences(rows.select("text"), texts)
+    owned = count_sequences(both)
     costs = materialize(sequence_costs(owned, learn(owned)), "lm-costs")
     head = spark.sparkContext.broadcast((h[order], n[order], *head_costs(costs)))
 
@@ -518,6 +532,5 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    train = docs.filter(crc_mod("doc_id", 10) != 0)
     held = crc_mod("doc_id", 10) == 0
-    return score_documents(docs, train).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return score_documents(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -27,7 +27,7 @@ HUBS = 4
 
 
 #: Bytes of text whose sets are held at once.
-HELD_BYTES = 4 << 20
+HELD_BYTES = 2 << 20
 
 
 def shingle_sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

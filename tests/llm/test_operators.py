@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, quality, substring_dedup
 from tessera.llm.common import Words, blocks, text_bytes
@@ -374,6 +375,9 @@ def test_lm_scoring(spark, sample, monkeypatch):
     same = {}
     for r, (i, t, _) in ((r, next(x for x in rows if x[0] == r["doc_id"])) for r in got):
         assert same.setdefault(t, r["score"]) == pytest.approx(r["score"])
+    again = lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).collect()
+    order = lambda rs: sorted(rs, key=lambda r: (r["doc_id"], r["n_tokens"], r["score"]))
+    assert all(a["score"] == pytest.approx(b["score"]) and a["n_known"] == b["n_known"] for a, b in zip(order(got), order(again)))
     none = lm_scoring.score_documents(docs, frame(spark, [])).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
 
@@ -395,7 +399,7 @@ def test_lm_contexts_are_counted_exactly(spark, sample, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PORTION", 100)
     rows = frame(spark, [*(r for r in sample if r[0] is not None), (900, "ab\nab abc\tab", None)])
     texts = rows.selectExpr("coalesce(text, '') text")
-    owned = lm_scoring.count_sequences(texts, texts)
+    owned = lm_scoring.count_sequences(texts.selectExpr("text", "true taught", "true asked"))
     parts = [[np.frombuffer(r[c], t) for c, t in (("code", np.uint64), ("n", np.int64))] for r in owned.collect()]
     assert len(parts) > 1
     owners = Counter(int(k) for code, _ in parts for k in np.unique((code >> np.uint64(8)) & np.uint64(lm_scoring.TWO)))
@@ -426,7 +430,7 @@ def test_lm_is_taught_by_all_text(spark, monkeypatch):
     size, sums, added = sum(len(LONG) - k + 1 for k in range(3)), [], lm_scoring._added
     assert size > 1_000_000
     monkeypatch.setattr(lm_scoring, "_added", lambda *a: sums.append(added(*a)) or sums[-1])
-    lm_scoring.learn(lm_scoring.count_sequences(texts, texts))
+    lm_scoring.learn(lm_scoring.count_sequences(texts.selectExpr("text", "true taught", "false asked")))
     assert sums[0].sum() >= 8 * size and sums[-1].sum() == 8 * size
     costs = [s[-1] for s in sums[1:-1]]
     assert len(costs) == lm_scoring.ROUNDS and min(costs) < 0.95 * costs[0]
