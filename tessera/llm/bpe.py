@@ -39,12 +39,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _refuse_others(spec: dict, path: str) -> None:
+    """Files that ask for more than byte-level words and merges would be encoded wrongly: they are refused."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    flags = ("lstrip", "rstrip", "single_word")
+    plain = {
+        "a normalizer": spec.get("normalizer"),
+        "another pre-tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True),
+        "another model": model.get("type") != "BPE",
+        "a part of the BPE model": any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "an added token's flags": any(t.get(k) for t in spec["added_tokens"] for k in flags),
+    }
+    for what, there in plain.items():
+        if there:
+            raise ValueError(f"{path} has {what}, which is not supported")
+
+
 class Vocabulary:
     """Tokens and merges of a byte-level BPE, read from a tokenizers JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec, path)
         letters = _byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -126,10 +143,11 @@ class Vocabulary:
 
         Sorted words are the depth-first order of their trie. Each node holds one state, the last token of its
         prefix's encoding: the one token that ends there and fits the state of the node where it begins. States
-        of the path are kept on a stack, so a prefix that many words share is encoded once.
+        of the path are kept on a stack, so a prefix that many words share is encoded once. A word's encoding is
+        read backwards from its last state, so a word of any length takes memory in proportion to it.
         """
         ids, fits, known, cache, four = self.ids.get, self.fits, self._fits.get, self._cache, self._four
-        path, last, begin, coded = b"", [-1], [0], [b""]
+        path, last, begin = b"", [-1], [0]
         longest = self.longest
         for text in sorted(words, key=str.encode):
             word = text.encode()
@@ -137,7 +155,7 @@ class Vocabulary:
             share = 0
             while share < n and word[share] == path[share]:
                 share += 1
-            del last[share + 1 :], begin[share + 1 :], coded[share + 1 :]
+            del last[share + 1 :], begin[share + 1 :]
             for i in range(share + 1, len(word) + 1):
                 # only one start fits, so they are tried in the order of how likely they are: where the token
                 # before this byte began, after that, before that
@@ -156,10 +174,17 @@ class Vocabulary:
                     if ok:
                         last.append(t)
                         begin.append(j)
-                        coded.append(coded[j] + four[t])
                         break
             path = word
-            cache[text] = coded[-1]
+            i = len(word)
+            if begin[i]:
+                tokens = []
+                while i:
+                    tokens.append(four[last[i]])
+                    i = begin[i]
+                cache[text] = b"".join(reversed(tokens))
+            else:
+                cache[text] = four[last[i]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, as int32 bytes."""
