@@ -37,12 +37,12 @@ def unescape(texts: pa.Array) -> pa.Array:
 
 
 def escape_role(roles: pa.Array) -> pa.Array:
-    """Roles end at a newline in the template, so theirs are written as backslash n."""
-    return escape(pc.replace_substring(pc.replace_substring(roles, "\\", "\\\\"), "\n", "\\n"))
+    """Roles end at a newline in the template, so theirs are written as backslash n, and a backslash as backslash b."""
+    return escape(pc.replace_substring(pc.replace_substring(roles, "\\", "\\b"), "\n", "\\n"))
 
 
 def unescape_role(roles: pa.Array) -> pa.Array:
-    return pc.replace_substring(pc.replace_substring(pc.replace_substring(unescape(roles), "\\\\", "\x00"), "\\n", "\n"), "\x00", "\\")
+    return pc.replace_substring(pc.replace_substring(unescape(roles), "\\n", "\n"), "\\b", "\\")
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -175,8 +175,9 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_chats(parts: DataFrame) -> DataFrame:
     """Read ``format_chats``' rows back, a row per conversation: turns and digests of what the text says.
 
-    Only a running digest per conversation is kept.
+    Parts may come in any order, as they do once they were stored. Only a running digest per conversation is kept.
     """
+    parts = parts.select("conv_id", "part", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part")
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return parts.mapInArrow(_read, ddl)
 
