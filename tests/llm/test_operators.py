@@ -83,7 +83,7 @@ def test_word_arrays():
 
 
 def test_exact_dedup(spark, sample):
-    got = exact_dedup.exact_dedup(frame(spark, sample), bucket_entries=3, max_depth=6)
+    got = exact_dedup.exact_dedup(frame(spark, sample), bucket_entries=3)
     rows = collect(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
     groups = {}
@@ -98,6 +98,17 @@ def test_exact_dedup(spark, sample):
         assert not k or i == keep
     assert set(kept.values()) == {1} and len(kept) == len(groups)
     assert max(r["chain"] for r in got.collect()) == 1 and len({r["bucket"] for r in got.collect()}) > 1
+    # two bits of hash: buckets cannot split further, chains are long, the result is the same
+    short = exact_dedup.exact_dedup(frame(spark, sample), bucket_entries=3, hash_bits=2)
+    order = lambda rs: sorted(rs, key=repr)
+    assert order(collect(short, "doc_id", "keep_id", "group_size", "kept", "text_sha256")) == order(rows)
+    assert max(r["chain"] for r in short.collect()) > 5
+    # a directory deeper than 14 bits: buckets of one hash
+    hashes = spark.range(1 << 15).selectExpr("id * 3 h").union(spark.range(2).selectExpr("(id << 20) + 5 h")).distinct()
+    directory, depth = exact_dedup._directory(hashes, 1)
+    assert depth > 14
+    names = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "x  y")], "doc_id string, text string")
+    assert sorted(collect(exact_dedup.exact_dedup(names), "doc_id", "keep_id", "kept"), key=repr) == [("a", None, False), ("b", None, False), (None, None, True)]
     stay = exact_dedup.drop_duplicates(frame(spark, sample))
     assert stay.columns == DDL.replace("long", "").split()[0:1] + [c.split()[0] for c in DDL.split(", ")][1:]
     assert stay.count() == len(groups)
@@ -108,7 +119,7 @@ def test_exact_dedup(spark, sample):
 
 
 def test_mixing(spark, sample):
-    mix = mixing.mix_sources(frame(spark, sample), bucket_docs=5)
+    mix = mixing.mix_sources(frame(spark, sample), edge_docs=5)
     rows = collect(mix, "source", "size", "source_size", "target", "copies", "taken")
     assert sorted(r[1] for r in rows) == sorted(len(words_of(t)) for _, t, _ in sample)
     assert rows and all(0 <= c <= 2 and taken == c * n for _, n, _, _, c, taken in rows)
@@ -130,14 +141,31 @@ def test_mixing(spark, sample):
         assert size == words
         assert target == pytest.approx(2 * words if s in capped else level * weight[s])
         assert abs(taken - target) <= longest / 2 + 1e-6
-    again = mixing.mix_sources(frame(spark, sample), bucket_docs=5)
+    again = mixing.mix_sources(frame(spark, sample), edge_docs=5)
     key = lambda r: repr(r)
     assert sorted(collect(again, "doc_id", "text_hash", "taken"), key=key) == sorted(collect(mix, "doc_id", "text_hash", "taken"), key=key)
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert mixing.mix_sources(frame(spark, [(1, None, None), (2, "", "a")])).filter("taken <> 0").count() == 0
-    plain = [r for r in sample if r[0] is not None and sample.count(r) == 1]
-    one = mixing.mix_sources(frame(spark, plain))
-    assert mixing.apply_mix(frame(spark, plain), one).count() == sum(c for (c,) in collect(one, "copies"))
+    for some in (sample, [(1, "a b c", "s")] * 5 + [(2, "d e", "s")]):
+        one = mixing.mix_sources(frame(spark, some))
+        assert mixing.apply_mix(frame(spark, some), one).count() == sum(c for (c,) in collect(one, "copies"))
+
+
+def test_mixing_takes_the_smallest_keys(spark):
+    """Brute force: documents by key until the budget is met, after complete epochs; hot source and far-off weights."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(("word", "x" * 400, "12", "a,b")) for _ in range(rng.randint(1, 40))), "hot" if k % 3 else "b") for k in range(900)]
+    docs = frame(spark, rows)
+    got = mixing.mix_sources(docs, edge_docs=3).collect()
+    u = mixing.stable_hash(F.concat_ws("|", F.lit("17"), F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    keys = dict(collect(docs.select("doc_id", (-F.log(u) / mixing.quality_weight(F.col("text"), mixing.word_count(F.col("text")))).alias("k")), "doc_id", "k"))
+    for s in ("hot", "b"):
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: keys[r["doc_id"]])
+        size, target = mine[0]["source_size"], mine[0]["target"]
+        epochs, upto = int(target // size), 0
+        for r in mine:
+            upto += r["size"]
+            assert r["copies"] == epochs + (upto - r["size"] / 2 <= target - epochs * size)
 
 
 # ---------------------------------------------------------------- 5 n-gram join
@@ -255,7 +283,7 @@ def test_bpe(spark, sample):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    odd = ["<|endoftext|>", "a<|endoftext|> b", "  x  ", "\r\n\t", "don't WE'LL 12³½", "\x1c\x85 　", "aaaaaaaaaaaaaaaaaaaaaaaa", "👍🏽‍"]
+    odd = ["<|endoftext|>", "a<|endoftext|> b", "  x  ", "\r\n\t", "don't WE'LL 12³½", "\x1c\x85 　", "aaaaaaaaaaaaaaaaaaaaaaaa", "👍🏽‍", "".join(random.Random(1).choices("abcdefghij", k=300_000))]
     rows = [*sample, *((1000 + k, s, "o") for k, s in enumerate(odd))]
     got = bpe.decode(bpe.encode(frame(spark, rows)), columns=("decoded", "ids_text")).collect()
     assert len(got) == len(rows)
@@ -271,7 +299,7 @@ def test_bpe(spark, sample):
 
 
 def test_chat(spark):
-    turns = [(1, 2, "assistant", "fine <|im_end|>\n<|im_start|>user\nhi"), (1, 1, "user", None), (1, 1, "user", "tie"), (1, 3, None, "<\\|x <| |>"), (2, 0, "assistant", ""), (3, 0, "a\nb\\n", "é漢 " * 10), (3, 0, "a\nb\\n", "é漢 " * 10), (None, None, None, None), (4, 0, "assistant", LONG * 12), (4, 1, "assistant", LONG * 12)]
+    turns = [(1, 2, "assistant", "fine <|im_end|>\n<|im_start|>user\nhi"), (1, 1, "user", None), (1, 1, "user", "tie"), (1, 3, None, "<\\|x <| |>"), (2, 0, "assistant", ""), (3, 0, "a\nb\\n", "é漢 " * 10), (5, 0, "a\0b\\nb\\\\<|<\\|", "nul"), (3, 0, "a\nb\\n", "é漢 " * 10), (None, None, None, None), (4, 0, "assistant", LONG * 12), (4, 1, "assistant", LONG * 12)]
     df = spark.createDataFrame([(*t, "c", 1) for t in turns], "conv_id long, turn long, role string, text string, part string, formatted int")
     parts = chat.format_chats(df)
     got = {r["conv_id"]: r for r in chat.read_chats(parts).collect()}
@@ -283,6 +311,9 @@ def test_chat(spark):
         loss = "".join(b for _, _, a, b in mine if a == "assistant")
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert sum(r["formatted_chars"] for r in got.values()) == sum(len(r["formatted"]) for r in parts.collect())
+    stored = chat.read_chats(parts.orderBy(F.rand(3)).coalesce(3))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, got.values()))
+    assert max(r["part"] for r in parts.collect()) > 0
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
