@@ -22,14 +22,14 @@ def quality_weight(text: Column, size: Column) -> Column:
     """Weight in (0, 1] from statistics of the whole text; 1 where it has no words.
 
     Three factors, each 1 for usual prose and less the further a text is from it: mean word length of 3 to 9
-    characters, at least 0.6 letters a character that is not a space, and at least size ** 0.7 different words.
+    characters, at most 0.4 characters in one that are neither letter nor space, and at least size ** 0.7 different words.
     """
     n = F.greatest(size, F.lit(1))
     mean = F.length(text) / n
     off = F.greatest(F.lit(4.0) - mean, mean - F.lit(10.0), F.lit(0.0))
-    solid = F.greatest(F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]")), F.lit(1))
-    letters = F.regexp_count(text, F.lit(r"\p{L}")) / solid
-    words = F.size(F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+")))
+    other = F.length(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", ""))
+    letters = 1 - other / F.length(text)
+    words = F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+")))
     weight = F.least(F.lit(1.0), letters / 0.6) * F.least(F.lit(1.0), words / F.pow(n.cast("double"), 0.7)) / (1.0 + off * off / 4.0)
     return F.when(size > 0, F.greatest(weight, F.lit(1e-6))).otherwise(F.lit(1.0))
 
@@ -109,9 +109,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns row_id, doc_id, text_hash, source, size, source_size, target, copies, taken.
     """
-    size = word_count(F.col(text_col))
-    weight = quality_weight(F.col(text_col), size) if weight is None else weight
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), size.alias("size"), weight.alias("weight"))
+    weight = F.lit(None).cast("double") if weight is None else weight
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"))
+    base = base.withColumn("weight", F.coalesce("weight", quality_weight(F.col("text"), F.col("size"))))
     u = stable_hash(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
     base = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_hash"), "source", "size", (-F.log(u) / F.col("weight")).alias("key"))
     base = materialize(base, "mix-sizes")
