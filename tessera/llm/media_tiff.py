@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, record_batch
 
-#: Pixels of a row, rows of a page, of a strip and of a tile that ``write_tiff`` uses.
-WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_ROWS = 64, 1024, 256, 64
-#: Payloads up to these sizes are stored with LZW and PackBits, larger ones with deflate.
-LZW_BYTES, PACKBITS_BYTES = 512, 2048
+#: Pixels of a row, rows of a page, of a strip, and rows and pixels of a tile that ``write_tiff`` uses.
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_ROWS, TILE_PIXELS = 64, 1024, 256, 64, 32
 
 #: Texts that a task turns into files at once.
 ROWS_AT_ONCE = 256
@@ -34,34 +32,46 @@ TYPE_SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 # ---------------------------------------------------------------- codecs
 
 
+def _packed_row(line: bytes) -> bytes:
+    out, i, literal = bytearray(), 0, 0
+    while i < len(line):
+        j = i + 1
+        while j < len(line) and line[j] == line[i] and j - i < 128:
+            j += 1
+        if j - i >= 3:
+            for k in range(literal, i, 128):
+                piece = line[k : min(k + 128, i)]
+                out.append(len(piece) - 1)
+                out += piece
+            out += bytes((257 - (j - i), line[i]))
+            literal = j
+        i = j
+    for k in range(literal, len(line), 128):
+        piece = line[k : k + 128]
+        out.append(len(piece) - 1)
+        out += piece
+    return bytes(out)
+
+
 def packbits_encode(data: bytes, row: int) -> bytes:
     """Rows are packed one by one: runs of three or more equal bytes as runs, all else as literals."""
-    out = bytearray()
-    for at in range(0, len(data), row):
-        line = data[at : at + row]
-        i = literal = 0
-        while i < len(line):
-            j = i + 1
-            while j < len(line) and line[j] == line[i] and j - i < 128:
-                j += 1
-            if j - i >= 3:
-                for k in range(literal, i, 128):
-                    piece = line[k : min(k + 128, i)]
-                    out.append(len(piece) - 1)
-                    out += piece
-                out += bytes((257 - (j - i), line[i]))
-                literal = j
-            i = j
-        for k in range(literal, len(line), 128):
-            piece = line[k : k + 128]
-            out.append(len(piece) - 1)
-            out += piece
-    return bytes(out)
+    whole = len(data) // row if row <= 128 else 0
+    x = np.frombuffer(data, np.uint8, whole * row).reshape(whole, row)
+    runs = ((x[:, 2:] == x[:, 1:-1]) & (x[:, 1:-1] == x[:, :-2])).any(axis=1)
+    plain = np.concatenate([np.full((whole, 1), row - 1, np.uint8), x], axis=1)  # rows without runs: one literal each
+    out, done = [], 0
+    for k in np.flatnonzero(runs):
+        out += [plain[done:k].tobytes(), _packed_row(x[k].tobytes())]
+        done = k + 1
+    out.append(plain[done:].tobytes())
+    out += [_packed_row(data[at : at + row]) for at in range(whole * row, len(data), row)]
+    return b"".join(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, limit: int) -> bytes:
+    """The unpacked bytes, ``limit`` or a little more at most."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < limit:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -73,49 +83,63 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _pack_codes(codes: list[int], widths: list[int]) -> bytes:
+    """Codes of 9 to 12 bits one after the other, highest bit first."""
+    width = np.array(widths)
+    bits = (np.array(codes)[:, None] >> (width[:, None] - 1 - np.arange(12))) & 1
+    return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8)).tobytes()
+
+
 def lzw_encode(data: bytes) -> bytes:
     """LZW with codes of 9 to 12 bits, highest bit first; the width grows one code early, as TIFF has it."""
-    table = {bytes((b,)): b for b in range(256)}
-    out, bits, width, following = CLEAR, 9, 9, 258
-    word = b""
+    codes, widths, width, following = [CLEAR], [9], 9, 258
+    table: dict[int, int] = {}  # code of a word << 8 | next byte -> code of the longer word
+    word = -1
     for b in data:
-        longer = word + bytes((b,))
-        if longer in table:
+        if word < 0:
+            word = b
+            continue
+        longer = table.get(word << 8 | b)
+        if longer is not None:
             word = longer
             continue
-        out, bits = out << width | table[word], bits + width
-        table[longer] = following
+        codes.append(word)
+        widths.append(width)
+        table[word << 8 | b] = following
         following += 1
         if following == 4094:
-            out, bits = out << width | CLEAR, bits + width
-            table = {bytes((c,)): c for c in range(256)}
+            codes.append(CLEAR)
+            widths.append(width)
+            table = {}
             width, following = 9, 258
         elif following + 1 > 1 << width:
             width += 1
-        word = bytes((b,))
-    if word:
-        out, bits = out << width | table[word], bits + width
+        word = b
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         if following + 2 > 1 << width and width < 12:
             width += 1
-    out, bits = out << width | STOP, bits + width
-    return (out << -bits % 8).to_bytes((bits + 7) // 8, "big")
+    return _pack_codes([*codes, STOP], [*widths, width])
+
 
+_BYTES = [bytes((b,)) for b in range(256)] + [b"", b""]
 
-def lzw_decode(data: bytes) -> bytes:
+
+def lzw_decode(data: bytes, limit: int) -> bytes:
+    """The unpacked bytes, ``limit`` or a little more at most."""
     table: list[bytes] = []
-    out, width, buffer, have, last = [], 9, 0, 0, b""
-    for byte in data:
-        buffer, have = buffer << 8 | byte, have + 8
-        if have < width:
-            continue
-        have -= width
-        code = buffer >> have
-        buffer &= (1 << have) - 1
+    out, size, width, at, last = [], 0, 9, 0, b""
+    end = len(data) * 8
+    data += b"\0\0\0"
+    while at + width <= end and size < limit:
+        byte = at >> 3
+        code = (data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> (24 - width - (at & 7)) & ((1 << width) - 1)
+        at += width
         if code == STOP:
             break
         if code == CLEAR:
-            table = [bytes((b,)) for b in range(256)] + [b"", b""]
-            width, last = 9, b""
+            table, width, last = _BYTES.copy(), 9, b""
             continue
         if code < len(table):
             entry = table[code]
@@ -126,22 +150,28 @@ def lzw_decode(data: bytes) -> bytes:
         if last:
             table.append(last + entry[:1])
         out.append(entry)
+        size += len(entry)
         last = entry
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
     return b"".join(out)
 
 
-def _unpacked(data: bytes, scheme: int) -> bytes:
+def _unpacked(data: bytes, scheme: int, size: int) -> bytes:
+    """``size`` bytes of a strip or tile."""
     if scheme == NONE:
-        return data
-    if scheme == LZW:
-        return lzw_decode(data)
-    if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if scheme == PACKBITS:
-        return packbits_decode(data)
-    raise ValueError(f"compression {scheme} is not supported")
+        out = data
+    elif scheme == LZW:
+        out = lzw_decode(data, size)
+    elif scheme in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, size)
+    elif scheme == PACKBITS:
+        out = packbits_decode(data, size)
+    else:
+        raise ValueError(f"compression {scheme} is not supported")
+    if len(out) < size:
+        raise ValueError("a strip or tile is too short")
+    return out[:size]
 
 
 # ---------------------------------------------------------------- files
@@ -150,10 +180,12 @@ def _unpacked(data: bytes, scheme: int) -> bytes:
 def encode_tiff(payload: bytes) -> bytes:
     """Samples of 8 bits, WIDTH a row, as a little-endian TIFF of one or more pages.
 
-    Pages alternate between strips and tiles; small payloads use LZW or PackBits, larger ones deflate with
-    horizontal differencing. The bytes depend on the payload alone.
+    Pages alternate between strips and tiles. Which comes first and whether LZW, PackBits or deflate packs them is
+    drawn by a hash of the payload, alike at all sizes; LZW and deflate come after horizontal differencing. The
+    bytes depend on the payload alone.
     """
-    scheme = LZW if len(payload) <= LZW_BYTES else PACKBITS if len(payload) <= PACKBITS_BYTES else DEFLATE
+    drawn = zlib.crc32(payload)
+    scheme = (LZW, PACKBITS, DEFLATE)[drawn % 3]
     predictor = 1 if scheme == PACKBITS else 2
     rows = len(payload) // WIDTH
     out = bytearray(b"II*\0\0\0\0\0")
@@ -161,23 +193,24 @@ def encode_tiff(payload: bytes) -> bytes:
     for page, top in enumerate(range(0, rows, PAGE_ROWS)):
         image = np.frombuffer(payload, np.uint8, min(PAGE_ROWS, rows - top) * WIDTH, top * WIDTH).reshape(-1, WIDTH)
         height = len(image)
-        if predictor == 2:
-            image = np.diff(image, axis=1, prepend=np.uint8(0))
-        tiled = page % 2 == 1
-        step = TILE_ROWS if tiled else STRIP_ROWS
+        tiled = (page + (drawn >> 16)) % 2 == 1
+        down, across = (TILE_ROWS, TILE_PIXELS) if tiled else (STRIP_ROWS, WIDTH)
         offsets, counts = [], []
-        for y in range(0, height, step):
-            piece = image[y : y + step]
-            if tiled and len(piece) < step:
-                piece = np.pad(piece, ((0, step - len(piece)), (0, 0)))
-            raw = piece.tobytes()
-            packed = lzw_encode(raw) if scheme == LZW else packbits_encode(raw, WIDTH) if scheme == PACKBITS else zlib.compress(raw, 1)
-            offsets.append(len(out))
-            counts.append(len(packed))
-            out += packed + b"\0" * (len(packed) % 2)
+        for y in range(0, height, down):
+            for x in range(0, WIDTH, across):
+                piece = image[y : y + down, x : x + across]
+                if tiled and len(piece) < down:
+                    piece = np.pad(piece, ((0, down - len(piece)), (0, 0)))
+                if predictor == 2:
+                    piece = np.diff(piece, axis=1, prepend=np.uint8(0))
+                raw = piece.tobytes()
+                packed = lzw_encode(raw) if scheme == LZW else packbits_encode(raw, across) if scheme == PACKBITS else zlib.compress(raw, 1)
+                offsets.append(len(out))
+                counts.append(len(packed))
+                out += packed + b"\0" * (len(packed) % 2)
         fields = {IMAGE_WIDTH: [WIDTH], IMAGE_LENGTH: [height], BITS: [8], COMPRESSION: [scheme], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
         if tiled:
-            fields |= {TILE_WIDTH: [WIDTH], TILE_LENGTH: [TILE_ROWS], TILE_OFFSETS: offsets, TILE_COUNTS: counts}
+            fields |= {TILE_WIDTH: [TILE_PIXELS], TILE_LENGTH: [TILE_ROWS], TILE_OFFSETS: offsets, TILE_COUNTS: counts}
         else:
             fields |= {STRIP_OFFSETS: offsets, ROWS_PER_STRIP: [STRIP_ROWS], STRIP_COUNTS: counts}
         entries = b""
@@ -194,6 +227,10 @@ def encode_tiff(payload: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bytes that one byte of a strip or tile can unpack to at most.
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
+
+
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     (n,) = struct.unpack_from(order + "H", data, at)
     fields = {}
@@ -203,6 +240,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         if kind in TYPE_SIZES:
             code, size = TYPE_SIZES[kind]
             where = entry + 8 if count * size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
+            if not 0 < count * size <= len(data):
+                raise ValueError(f"tag {tag} has {count} values")
             fields[tag] = struct.unpack_from(f"{order}{count}{code}", data, where)
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
@@ -210,7 +249,9 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
 def decode_tiff(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(width, height, samples per pixel, samples) of each page: 8-bit samples, pixel by pixel, row by row.
 
-    Walks the chain of image directories of either byte order; a chain that comes back to itself is an error.
+    Walks the chain of image directories of either byte order. ValueError tells what is wrong with a malformed
+    file: a chain that comes back to itself, missing or impossible values, and more pixels than the bytes that
+    are there can hold (EXPANSION times as many), so a small file never takes much memory.
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -234,15 +275,22 @@ def decode_tiff(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
             raise ValueError("samples are not of 8 bits")
         scheme, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
         if TILE_OFFSETS in fields:
-            across, down, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), fields[TILE_OFFSETS], fields[TILE_COUNTS]
+            across, down, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), fields[TILE_OFFSETS], fields.get(TILE_COUNTS, ())
         else:
-            across, down, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), fields[STRIP_OFFSETS], fields[STRIP_COUNTS]
-        per_row = -(-width // across)
-        image = np.zeros((-(-height // down) * down, per_row * across, samples), np.uint8)
-        for k, (offset, count) in enumerate(zip(offsets, counts)):
+            across, down, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), fields.get(STRIP_OFFSETS, ()), fields.get(STRIP_COUNTS, ())
+        if min(width, height, samples, across, down) < 1:
+            raise ValueError("a size is 0")
+        per_row, per_column = -(-width // across), -(-height // down)
+        if len(offsets) < per_row * per_column or len(counts) < per_row * per_column:
+            raise ValueError("strips or tiles are missing")
+        pixels, padded = width * height * samples, per_column * down * per_row * across * samples
+        if pixels > EXPANSION.get(scheme, 1) * len(data) or padded > 4 * pixels + (4 << 20):
+            raise ValueError("more pixels than the file can hold")
+        image = np.zeros((per_column * down, per_row * across, samples), np.uint8)
+        for k, (offset, count) in enumerate(zip(offsets[: per_row * per_column], counts)):
             y, x = k // per_row * down, k % per_row * across
             rows = down if TILE_OFFSETS in fields else min(down, height - y)
-            raw = _unpacked(data[offset : offset + count], scheme)
+            raw = _unpacked(data[offset : offset + count], scheme, rows * across * samples)
             piece = np.frombuffer(raw, np.uint8, rows * across * samples).reshape(rows, across, samples)
             if predictor == 2:
                 piece = np.cumsum(piece, axis=1, dtype=np.uint8)
@@ -311,7 +359,7 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
                         rows.append(k)
                         pages.append((page, width, height, samples, None))
                         size += len(samples)
-                except (ValueError, KeyError, struct.error, zlib.error) as error:
+                except (ValueError, struct.error, zlib.error) as error:
                     rows.append(k)
                     pages.append((None, None, None, None, str(error)))
                 if size > limit:
@@ -338,10 +386,12 @@ def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = []
         for doc_id, n_bytes, media_bytes, media_sha, page, samples in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "samples"))):
-            if page == 0:
+            if page == 0 or not now:
                 if now:
                     out.append(done())
                 now.update(head=(doc_id, n_bytes, media_bytes, media_sha), size=0, sha=sha256(), tail=b"", columns=np.zeros(WIDTH, np.int64))
+            if samples is None:  # what cannot be read adds nothing
+                continue
             now["size"] += len(samples)
             now["sha"].update(samples)
             now["tail"] = samples[-64:]
@@ -352,7 +402,13 @@ def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_DIGEST, *zip(done()))
 
 
-def op6_media_tiff(spark, sf_dir: str) -> DataFrame:
-    media = write_tiff(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+def digests(media: DataFrame) -> DataFrame:
+    """Size and digests of the samples that are read back from doc_id, n_bytes, media, and a feature: which of the
+    WIDTH columns of all pages are brighter than the mean, as 64 bits in hex."""
+    media = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return read_tiff(media).mapInArrow(_digest, ddl)
+
+
+def op6_media_tiff(spark, sf_dir: str) -> DataFrame:
+    return digests(write_tiff(documents(spark, sf_dir).select("doc_id", "text")))

@@ -324,8 +324,84 @@ def test_tiff_codecs():
     rng = random.Random(4)
     for n in (0, 1, 2, 63, 300, 5000, 20_000):
         for data in (rng.randbytes(n), bytes(rng.choice(b"ab") for _ in range(n)), b"z" * n):
-            assert media_tiff.lzw_decode(media_tiff.lzw_encode(data)) == data
-            assert media_tiff.packbits_decode(media_tiff.packbits_encode(data, 64)) == data
+            assert media_tiff.lzw_decode(media_tiff.lzw_encode(data), len(data) + 1) == data
+            assert media_tiff.packbits_decode(media_tiff.packbits_encode(data, 64), len(data) + 1) == data
+
+
+def test_tiff_of_other_writers():
+    """A big-endian file of 16-bit fields with three samples a pixel, deflate and differencing, written by hand."""
+    import struct
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    packed = [zlib.compress(np.diff(image[y : y + 2], axis=1, prepend=np.uint8(0)).tobytes()) for y in (0, 2, 4)]
+    body, places = b"", []
+    for p in packed:
+        places.append(8 + len(body))
+        body += p + b"\0" * (len(p) % 2)
+    at = 8 + len(body)
+    extra = struct.pack(">3H", 8, 8, 8) + b"\0\0" + struct.pack(">3I", *places) + struct.pack(">3I", *map(len, packed))
+    entries = [(256, 3, 1, struct.pack(">HH", 7, 0)), (257, 3, 1, struct.pack(">HH", 5, 0)), (258, 3, 3, struct.pack(">I", at)), (259, 3, 1, struct.pack(">HH", 8, 0)), (273, 4, 3, struct.pack(">I", at + 8)), (277, 3, 1, struct.pack(">HH", 3, 0)), (278, 3, 1, struct.pack(">HH", 2, 0)), (279, 4, 3, struct.pack(">I", at + 20)), (317, 3, 1, struct.pack(">HH", 2, 0))]
+    ifd = struct.pack(">H", len(entries)) + b"".join(struct.pack(">HHI", *e[:3]) + e[3] for e in entries) + b"\0\0\0\0"
+    data = b"MM\0*" + struct.pack(">I", at + len(extra)) + body + extra + ifd
+    assert list(media_tiff.decode_tiff(data)) == [(7, 5, 3, image.tobytes())]
+
+
+def test_malformed_tiffs():
+    """Whatever is cut off or overwritten, reading ends in a ValueError of some kind, soon and in little memory."""
+    import struct
+    import tracemalloc
+
+    rng = random.Random(6)
+    whole = [media_tiff.encode_tiff(rng.randbytes(64) * n) for n in (1, 5, 300, 2000)]
+    tracemalloc.start()
+    for data in whole:
+        for _ in range(400):
+            bad = bytearray(data)
+            for _ in range(rng.randint(1, 4)):
+                bad[rng.randrange(len(bad))] = rng.choice((0, 255, rng.randrange(256)))
+            at = len(bad) - rng.choice((0, 0, 1, 40)) if len(bad) > 50 else len(bad)
+            try:
+                list(media_tiff.decode_tiff(bytes(bad[:at])))
+            except (ValueError, struct.error, zlib.error):
+                pass
+    # sizes of 0 and of billions in every field of the directory
+    data = whole[0]
+    (at,) = struct.unpack_from("<I", data, 4)
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        for value in (0, 1 << 31, (1 << 32) - 1):
+            for where in (4, 8):
+                bad = bytearray(data)
+                struct.pack_into("<I", bad, at + 2 + 12 * k + where, value)
+                try:
+                    list(media_tiff.decode_tiff(bytes(bad)))
+                except (ValueError, struct.error, zlib.error):
+                    pass
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_tiff_query(spark, sample):
+    """The query's columns against the texts themselves; repeated rows and equal texts have equal values."""
+    got = {}
+    media = media_tiff.write_tiff(frame(spark, sample).select("doc_id", "text"))
+    for r in media_tiff.digests(media).collect():
+        assert got.setdefault(r["doc_id"], r) == r or r["doc_id"] is None
+    files = {}
+    for r in media.collect():
+        files.setdefault(r["text"] or "", set()).add(bytes(r["media"]))
+    assert all(len(x) == 1 for x in files.values())
+    for i, t, _ in sample:
+        if i is None:
+            continue
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        (file,) = files[t or ""]
+        columns = np.frombuffer(payload, np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        feature = f"{int(''.join('01'[int(64 * c > columns.sum())] for c in columns), 2):016x}"
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(file), hashlib.sha256(file).hexdigest(), feature)
 
 
 def test_tiff_columns(spark, sample):
