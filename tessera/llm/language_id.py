@@ -14,16 +14,15 @@ from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.common import blocks, crc_mod, documents, stable_hash, text_bytes
 
-#: Bytes of context at most, and distinct symbols: the most frequent bytes and one symbol for all others.
-ORDER, SYMBOLS = 3, 64
-#: Rows that are learned from per language at most (chosen by a hash of the id), and context nodes per language.
-MAX_ROWS, MAX_NODES = 20_000, 16_384
+#: Bytes of context at most.
+ORDER = 3
+#: Rows that are learned from per language at most (chosen by a hash of id and text).
+MAX_ROWS = 20_000
+#: Bytes of text whose code lengths are computed at once.
+PORTION = 1 << 20
 UNKNOWN = "und"
 
 _SPACE = 32
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[9:14] = _SPACE
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -32,10 +31,19 @@ def _padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """All documents of a block with ORDER spaces before each, and the positions of the real bytes."""
     at = np.arange(len(raw)) + ORDER * (1 + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
     out = np.full(len(raw) + ORDER * len(offsets), _SPACE, np.uint8)
-    out[at] = _FOLD[raw]
+    out[at] = raw
     return out, at
 
 
+def _codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte the ORDER bytes before it and itself, the latest lowest."""
+    text, at = _padded(raw, offsets)
+    code = np.zeros(len(at), np.uint32)
+    for k in range(ORDER, -1, -1):
+        code = (code << np.uint32(8)) | text[at - k]
+    return code
+
+
 def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (ORDER + 1)-byte sequences, most recent byte lowest, per language and batch."""
     for batch in it:
@@ -43,101 +51,99 @@ def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in lang.unique().to_pylist():
             raw, offsets = text_bytes(batch.column("text").filter(pa.compute.equal(lang, name)))
             for i, j in blocks(offsets):
-                text, at = _padded(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                code = np.zeros(len(at), np.uint32)
-                for k in range(ORDER, -1, -1):
-                    code = (code << np.uint32(8)) | text[at - k]
-                code, count = np.unique(code, return_counts=True)
+                code, count = np.unique(_codes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(count)], names=["lang", "code", "n"])
 
 
 @dataclass
-class ContextTrees:
-    """Frozen code lengths, in bits.
+class Tree:
+    """A language's byte context tree with frozen code lengths, in bits.
 
-    For each language ``node`` gives the deepest node of its tree for every ORDER-symbol context, ``bits`` the
-    code length of every symbol at every node.
+    For each order 0 .. ORDER: ``keys`` are the sorted (context, byte) that occur, ``bits`` their code lengths;
+    ``contexts`` are the sorted contexts, ``escapes`` what a byte that never followed costs besides its length in
+    the context that is one byte shorter.
     """
 
-    langs: list[str]
-    symbol: np.ndarray
-    node: list[np.ndarray]
+    keys: list[np.ndarray]
     bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def lengths(self, code: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each code after the bytes before it."""
+        out, left = np.zeros(len(code)), np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            key = code[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+            where, hit = _found(self.keys[order], key)
+            out[left[hit]] += self.bits[order][where[hit]]
+            left, key = left[~hit], key[~hit]
+            where, hit = _found(self.contexts[order], key >> np.uint32(8))
+            out[left[hit]] += self.escapes[order][where[hit]]
+        out[left] += 8
+        return out
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether the wanted ones are there."""
+    where = np.searchsorted(keys, wanted)
+    return where, keys[np.minimum(where, len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+@dataclass
+class ContextTrees:
+    """The trees of all languages."""
+
+    langs: list[str]
+    trees: list[Tree]
 
     def code_lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Total bits of each document of a block under each language's tree."""
-        text, at = _padded(raw, offsets)
-        s = self.symbol[text].astype(np.int32)
-        context = np.zeros(len(at), np.int32)
-        for k in range(ORDER, 0, -1):
-            context = context * SYMBOLS + s[at - k]
-        now = s[at]
-        out = np.empty((len(offsets) - 1, len(self.langs)))
-        for i, (node, bits) in enumerate(zip(self.node, self.bits)):
-            total = np.zeros(len(at) + 1)
-            np.cumsum(bits[node[context] * SYMBOLS + now], dtype=np.float64, out=total[1:])
+        code, where = np.unique(_codes(raw, offsets), return_inverse=True)
+        out = np.empty((len(offsets) - 1, len(self.trees)))
+        total = np.zeros(len(raw) + 1)
+        for i, tree in enumerate(self.trees):
+            np.cumsum(tree.lengths(code)[where], out=total[1:])
             out[:, i] = total[offsets[1:]] - total[offsets[:-1]]
         return out
 
 
-def _tree(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One language's tree from its symbol sequences (ORDER contexts and a symbol, base SYMBOLS)."""
-    rows = np.full((1, SYMBOLS), 1 / SYMBOLS)  # order -1: all symbols alike
-    deepest = np.zeros(1, np.int64)  # node of each context of the order before
+def _tree(code: np.ndarray, count: np.ndarray) -> Tree:
+    """Prediction by partial matching with full exclusion, frozen: a byte seen n times in a context of ``total``
+    bytes, ``distinct`` different ones, has probability n / (total + distinct); the rest goes to the other bytes in
+    proportion to their probabilities in the context that is one byte shorter, where all bytes are alike at last."""
+    tree, before = Tree([], [], [], []), None
     for order in range(ORDER + 1):
-        # contexts of this order: the last ``order`` symbols
-        short = code % SYMBOLS ** (order + 1)
-        context, symbol = short // SYMBOLS, short % SYMBOLS
-        ids, where = np.unique(context, return_inverse=True)
-        seen = np.bincount(where, weights=count)
-        if len(ids) > MAX_NODES:  # the most frequent contexts; the others use the node of the shorter context
-            keep = np.sort(np.argsort(-seen, kind="stable")[:MAX_NODES])
-        else:
-            keep = np.arange(len(ids))
-        slot = np.full(len(ids), -1)
-        slot[keep] = np.arange(len(keep))
-        on = slot[where] >= 0
-        n = np.zeros((len(keep), SYMBOLS))
-        np.add.at(n, (slot[where[on]], symbol[on]), count[on])
-        total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        parent = rows[deepest[ids[keep] % len(deepest)]]
-        unseen = np.where(n > 0, 0, parent)
-        left = unseen.sum(axis=1, keepdims=True)
-        # a seen symbol has n / (total + distinct); the escape's distinct / (total + distinct) goes to the others
-        escape = np.where(left > 0, distinct / (total + distinct), 0)
-        here = n / total * (1 - escape) + unseen / np.where(left > 0, left, 1) * escape
-        base = len(rows)
-        wide = np.tile(deepest, SYMBOLS) if order else np.zeros(1, np.int64)
-        wide[ids[keep]] = base + np.arange(len(keep))
-        rows, deepest = np.concatenate([rows, here]), wide
-    return deepest.astype(np.int32), (-np.log2(rows)).astype(np.float32).ravel()
+        keys, where = np.unique(code & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        n = np.bincount(where, weights=count)
+        contexts, node = np.unique(keys >> np.uint32(8), return_inverse=True)
+        total, distinct = np.bincount(node, weights=n), np.bincount(node)
+        # what the shorter context gives the bytes seen here: each was seen there, too
+        shorter = np.full(len(keys), 1 / 256) if before is None else before[np.searchsorted(tree.keys[-1], keys & np.uint32((1 << 8 * order) - 1))]
+        left = 1 - np.bincount(node, weights=shorter)
+        escape = np.where(left > 1e-9, distinct / (total + distinct), 0)
+        here = n / total[node] * (1 - escape[node])
+        tree.keys.append(keys)
+        tree.bits.append(-np.log2(here))
+        tree.contexts.append(contexts)
+        tree.escapes.append(np.where(left > 1e-9, -np.log2(np.where(escape > 0, escape, 1) / np.maximum(left, 1e-9)), 1000.0))
+        before = here
+    return tree
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> ContextTrees:
     """Context trees of every language of ``docs``, from at most about ``max_rows`` rows of each.
 
     Rows without language or text are left out. The driver gets byte sequences and their counts, whose number is
-    bounded by the languages' spelling and not by the corpus.
+    bounded by ``max_rows`` and the languages' spelling and not by the corpus.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.broadcast(sizes.select("lang", (F.lit(float(max_rows)) / F.col("n")).alias("share")))  # a row per language
-    picked = rows.join(share, "lang").filter(stable_hash(F.col("id")) < F.col("share")).select("lang", "text")
+    picked = rows.join(share, "lang").filter(stable_hash(F.concat_ws("|", F.col("id").cast("string"), F.xxhash64("text").cast("string"))) < F.col("share")).select("lang", "text")
     grams = picked.mapInArrow(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang, code, n = (grams.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "code", "n"))
     langs = sorted(set(lang))
-    frequency = np.bincount(code & 255, weights=n, minlength=256)
-    common = np.argsort(-frequency, kind="stable")[: SYMBOLS - 1]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[common] = np.arange(SYMBOLS - 1)
-    trees = []
-    for name in langs:
-        mine = lang == name
-        packed = np.zeros(mine.sum(), np.int64)
-        for k in range(ORDER, -1, -1):
-            packed = packed * SYMBOLS + symbol[(code[mine] >> (8 * k)) & 255]
-        trees.append(_tree(packed, n[mine].astype(float)))
-    return ContextTrees(langs, symbol, [t[0] for t in trees], [t[1] for t in trees])
+    return ContextTrees(langs, [_tree(code[lang == name].astype(np.uint32), n[lang == name].astype(float)) for name in langs])
 
 
 def _letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -157,14 +163,14 @@ def identify(docs: DataFrame, model: ContextTrees, text_col: str = "text") -> Da
     text without a letter are ``und`` with score 0, as is everything if no language was learned; ties go to the
     first name; an empty table gives no rows. Columns named lang_pred or score are replaced.
     """
-    frozen = docs.sparkSession.sparkContext.broadcast(model)  # MAX_NODES * SYMBOLS * 4 bytes a language at most
+    frozen = docs.sparkSession.sparkContext.broadcast(model)  # 20 bytes a sequence that the learned rows have
 
     @arrow_udf("struct<lang_pred: string, score: double>")
     def predict(text: pa.Array) -> pa.Array:
         trees = frozen.value
         raw, offsets = text_bytes(text)
         names, scores = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-        for i, j in blocks(offsets) if trees.langs else ():
+        for i, j in blocks(offsets, PORTION) if trees.langs else ():
             own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             bits = trees.code_lengths(own, at)
             best = bits.argmin(axis=1)

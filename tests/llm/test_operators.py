@@ -456,9 +456,60 @@ def test_language(spark):
     pred = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(odd, model).collect()}
     assert [pred[k] for k in (1, 2, 3)] == ["und"] * 3 and pred[4] != "und"
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.learn(docs.limit(0))).collect()} == {"und"}
-    # every tree's distributions are proper
-    for bits in model.bits:
-        assert np.allclose(np.exp2(-bits.reshape(-1, language_id.SYMBOLS).astype(float)).sum(axis=1), 1, atol=1e-4)
+    # every tree's distributions are proper, in seen and unseen contexts
+    for tree in model.trees:
+        for context in (0x20202000, 0x65207400, 0xFF01FE00, 0x74686500, 0x20C3A400):
+            codes = np.uint32(context) | np.arange(256, dtype=np.uint32)
+            assert np.exp2(-tree.lengths(codes)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_language_code_lengths():
+    """Code lengths against a plain recursion over dictionaries."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(11)
+    learned = ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
+    counts: dict[bytes, Counter] = {}
+    for t in learned:
+        t = b"   " + t
+        for k in range(3, len(t)):
+            for order in range(4):
+                counts.setdefault(t[k - order : k], Counter())[t[k]] += 1
+
+    def p(context, byte):
+        shorter = (lambda b: p(context[1:], b)) if context else (lambda b: 1 / 256)
+        seen = counts.get(context)
+        if not seen:
+            return shorter(byte)
+        total, distinct = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + distinct)
+        return distinct / (total + distinct) * shorter(byte) / (1 - sum(shorter(b) for b in seen))
+
+    def arrays(ts):
+        return np.frombuffer(b"".join(ts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in ts])])
+
+    code, n = np.unique(language_id._codes(*arrays(learned)), return_counts=True)
+    trees = language_id.ContextTrees(["x"], [language_id._tree(code, n.astype(float))])
+    asked = [b"", b"abca", "dé b zz".encode(), bytes(range(1, 40))]
+    want = [sum(-math.log2(p((b"   " + t)[k : k + 3], t[k])) for k in range(len(t))) for t in asked]
+    assert trees.code_lengths(*arrays(asked))[:, 0] == pytest.approx(want)
+
+
+def test_small_languages_of_one_script(spark):
+    """Two rare languages of one script are told apart beside two large ones of another."""
+    rng = random.Random(2)
+    words = {"ru": "что это был она если только когда время жизнь человек большой который через".split(), "uk": "що це був вона якщо тільки коли час життя людина великий який через її є".split(), "en": "what this was she if only when time life human large which through".split(), "de": "was dies war sie wenn nur als zeit leben mensch gross welche durch".split()}
+    rows, k = [], 0
+    for lang, size in (("en", 400), ("de", 400), ("ru", 12), ("uk", 12)):
+        for _ in range(size):
+            rows.append((k, " ".join(rng.choice(words[lang]) for _ in range(12)), lang))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs.filter("doc_id % 2 = 0"))
+    got = collect(language_id.identify(docs.filter("doc_id % 2 = 1"), model), "lang", "lang_pred")
+    assert all(a == b for a, b in got)
 
 
 def test_lm_scoring(spark, sample, monkeypatch):
