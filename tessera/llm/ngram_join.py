@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, arrow_batches, blocks, first_of_runs, materialize, mix64, record_batch, text_bytes
+from tessera.llm.common import Words, arrow_batches, blocks, discard, first_of_runs, materialize, mix64, record_batch, text_bytes
 from tessera.llm.components import connected_components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -273,6 +273,7 @@ def _frequent(texts: DataFrame, shingles: int) -> np.ndarray:
     counts = texts.mapInArrow(_counted(parts), _COUNTS_DDL).repartition("part").sortWithinPartitions("part")
     often = materialize(counts.mapInArrow(_frequent_of_ranges, "h long, c long"), "ngram-frequent")
     top = often.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    discard(often)
     return np.sort(top.column("h").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
 
 
@@ -313,7 +314,9 @@ def _links(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     link = F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))
-    return materialize(both.filter(link).select("a", "b").distinct(), "ngram-links")
+    out = materialize(both.filter(link).select("a", "b").distinct(), "ngram-links")
+    discard(near, needed, sets)
+    return out
 
 
 def _unordered(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -331,17 +334,20 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
     """
     first = groups.filter("node <> hub").filter(_may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
     pairs = _unordered("hub", "node", first)
-    links = _links(pairs, owners, docs)
+    links = new = _links(pairs, owners, docs)
+    before = None  # labels and open rows of the round before
     # all groups of one hub are one group from here on: its pairs include theirs, and a family is there only once
     merged = groups.filter("node <> hub").select(F.xxhash64("hub", "one").alias("sig"), "node", "n", "r", "one").distinct()
     open_rows, hubs = materialize(merged, "ngram-merged"), HUBS
     while True:
         labels = connected_components(links)
+        discard(new)
         sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
         placed = open_rows.join(labels.join(sizes, "root"), "node", "left")
         placed = placed.select("sig", "node", "n", "r", "one", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
         spans = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
         placed = materialize(placed.join(spans, "sig", "left_semi"), "ngram-open")
+        discard(*(before or ()))
         if placed.isEmpty():
             return labels
         chosen = placed.withColumn("k", F.expr("row_number() over (partition by sig order by size, node)")).filter(F.col("k") <= hubs)
@@ -352,7 +358,7 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
         new = _links(fresh, owners, docs)
         links = labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
         open_rows = placed.join(chosen, ["sig", "node"], "left_anti").select("sig", "node", "n", "r", "one")
-        hubs *= HUBS
+        before, hubs = (labels, placed, chosen), hubs * HUBS
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
