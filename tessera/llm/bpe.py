@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, ragged
+from tessera.llm.common import bounded_batches, documents, ragged
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose encodings a worker remembers at most.
@@ -269,7 +269,7 @@ def _adding(df: DataFrame, source: str, columns: tuple[str, ...], path: str, ids
                 made = [_CODED[c][1](vocab, ids, bounds) for c in columns]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n)[i:j] for n in names), *made], names=[*names, *columns])
 
-    return df.mapInArrow(run, ddl)
+    return bounded_batches(df).mapInArrow(run, ddl)
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:

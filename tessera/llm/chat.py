@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import first_of_runs, ragged, record_batch, text_bytes
+from tessera.llm.common import bounded_batches, first_of_runs, ragged, record_batch, text_bytes
 
 #: The template: START role NEWLINE text END for each turn.
 START, NEWLINE, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -126,7 +126,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Returns conv_id, part, formatted, loss_spans.
     """
-    t = turns.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(-(1 << 63))).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t = bounded_batches(turns).select(F.coalesce(F.col(conv_col).cast("long"), F.lit(-(1 << 63))).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, _PARTS_DDL)
 
 

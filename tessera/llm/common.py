@@ -57,6 +57,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Spark's own setting for the bytes of an Arrow batch that goes to a Python worker, and ours.
+BATCH_BYTES, OUR_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; from now on its session sends Arrow batches of about OUR_BATCH_BYTES, unless it was told a
+    size. A batch of 10,000 long texts would be held by the JVM and the worker at once."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(OUR_BATCH_BYTES))
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialize`` that nothing will read any more."""
     for df in tables:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import blocks, crc_mod, documents, stable_hash, text_bytes
+from tessera.llm.common import blocks, bounded_batches, crc_mod, documents, stable_hash, text_bytes
 
 #: Bytes of context at most.
 ORDER = 3
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows without language or text are left out. The driver gets byte sequences and their counts, whose number is
     bounded by ``max_rows`` and the languages' spelling and not by the corpus.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.broadcast(sizes.select("lang", (F.lit(float(max_rows)) / F.col("n")).alias("share")))  # a row per language
     picked = rows.join(share, "lang").filter(stable_hash(F.concat_ws("|", F.col("id").cast("string"), F.xxhash64("text").cast("string"))) < F.col("share")).select("lang", "text")
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: ContextTrees, text_col: str = "text") -> Da
             scores[i:j] = np.where(known, score, 0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    out = docs.withColumn("__p", predict(F.col(text_col)))
+    out = bounded_batches(docs).withColumn("__p", predict(F.col(text_col)))
     return out.withColumn("lang_pred", F.col("__p.lang_pred")).withColumn("score", F.col("__p.score")).drop("__p")
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, _SPACE, Words, blocks, crc_mod, documents, first_of_runs, materialize, record_batch, text_bytes
+from tessera.llm.common import _LOWER, _SPACE, Words, blocks, bounded_batches, crc_mod, documents, first_of_runs, materialize, record_batch, text_bytes
 
 #: Contexts: the last 0 to 4 bytes, and the current word so far (its last WORD_BYTES bytes). Those of less than
 #: two bytes (orders 0 and 1, short words) have plain tables of 2**bits cells, which the byte alphabet fixes, those
@@ -498,7 +498,7 @@ def score_documents(docs: DataFrame, train: DataFrame | Column, id_col: str = "d
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of an empty text: its bits).
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     text, yes, no = F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(True), F.lit(False)
     if isinstance(train, DataFrame):
         both = docs.select(text, no.alias("taught"), yes.alias("asked")).unionByName(train.select(text, yes.alias("taught"), no.alias("asked")))

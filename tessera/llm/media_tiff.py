@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, record_batch
+from tessera.llm.common import bounded_batches, documents, record_batch
 
 #: Pixels of a row, rows of a page, of a strip, and rows and pixels of a tile that ``write_tiff`` uses.
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_ROWS, TILE_PIXELS = 64, 1024, 256, 64, 32
@@ -325,7 +325,7 @@ def write_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 made = pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "n_bytes", "media"])
 
-    return docs.mapInArrow(run, ddl)
+    return bounded_batches(docs).mapInArrow(run, ddl)
 
 
 def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -368,7 +368,7 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
             if rows:
                 yield pack()
 
-    return media.mapInArrow(run, ddl)
+    return bounded_batches(media).mapInArrow(run, ddl)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, arrow_batches, blocks, discard, first_of_runs, materialize, mix64, record_batch, text_bytes
+from tessera.llm.common import Words, arrow_batches, blocks, bounded_batches, discard, first_of_runs, materialize, mix64, record_batch, text_bytes
 from tessera.llm.components import connected_components
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -378,7 +378,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns doc_id, n_shingles, component_id (smallest id reachable, itself included).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     nodes = materialize(docs.mapInArrow(_nodes, "doc_id long, n int, node long, bits array<long>"), "ngram-nodes")
     owners = materialize(nodes.filter("n > 0").groupBy("node", "n", "bits").agg(F.min("doc_id").alias("owner")), "ngram-owners")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import Words, blocks, crc_mod, documents, first_of_runs, text_bytes
+from tessera.llm.common import Words, blocks, bounded_batches, crc_mod, documents, first_of_runs, text_bytes
 
 #: Least weight of the pooled covariance, and of its diagonal, in a class's covariance.
 SHRINK, RIDGE = 0.5, 0.01
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 acc[c] += x[y == c].T @ x[y == c]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size)), pa.array(acc.ravel())], names=["k", "v"])
 
-    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(numbers, "id long, x array<double>")
+    x = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(numbers, "id long, x array<double>")
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     sums = x.join(y, "id").select("x", "y").mapInArrow(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     acc = np.zeros(2 * (1 + d) ** 2)
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, model: Discriminant, text_col: str = "text") -> Da
     def score(text: pa.Array) -> pa.Array:
         return pa.array(model.score(_statistics_of(text)))
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return bounded_batches(docs).withColumn("score", score(F.coalesce(F.col(text_col), F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

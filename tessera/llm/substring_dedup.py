@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, arrow_batches, blocks, first_of_runs, materialize, mix64, ragged, record_batch, text_bytes
+from tessera.llm.common import Words, arrow_batches, blocks, bounded_batches, first_of_runs, materialize, mix64, ragged, record_batch, text_bytes
 
 #: Words of the shortest match that counts.
 WINDOW = 13
@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space).
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(bounded_batches(docs), id_col, text_col)
     anchors = materialize(_exchange(keyed.mapInArrow(_anchors, _schema(1)[1]), 1, True), "substring-anchors")
     near = keyed.join(anchors, ["doc", "tag"]).select("doc", "tag", "text", "places")
     windows = materialize(_exchange(near.mapInArrow(_candidates, _schema(2)[1]), 2, False), "substring-windows")
