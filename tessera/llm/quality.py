@@ -173,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     x = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(numbers, "id long, x array<double>")
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    sums = x.join(y, "id").select("x", "y").mapInArrow(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    # a merge join: the two Python steps then lie in stages of their own, so a task never has two workers at once
+    sums = x.join(y.hint("merge"), "id").select("x", "y").mapInArrow(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     acc = np.zeros(2 * (1 + d) ** 2)
     acc[sums.column("k").to_numpy()] = sums.column("v").to_numpy()
     acc = acc.reshape(2, 1 + d, 1 + d)
