@@ -42,9 +42,10 @@ def _fold_map() -> tuple[str, str]:
 
 
 def strip_marks(c: Column) -> Column:
-    """Letters without their diacritics; combining marks are dropped."""
+    """Letters without their diacritics; combining marks are dropped. Texts of ASCII alone are left as they are."""
     source, target = _fold_map()
-    return F.regexp_replace(F.translate(c, source, target), r"\p{M}", "")
+    plain = F.regexp_replace(F.translate(c, source, target), r"\p{M}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def fold(c: Column) -> Column:

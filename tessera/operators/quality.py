@@ -120,16 +120,22 @@ def promote(records: DataFrame, target: str, reviewer: str, at: str, id_col: str
 def coverage(source_lines: DataFrame, records: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Source lines that no record has: neither as a line or heading of one, nor inside the document's text.
 
-    ``source_lines`` has doc, ord, text; ``records`` doc, heading, text. Most lines are settled by the anti-join
-    on (doc, line); only what is left is searched in the whole text.
+    ``source_lines`` has doc, ord, text; ``records`` doc, heading, text and, where a document has several,
+    ord, by which their texts follow one another (else by text). Most lines are settled by the anti-join on
+    (doc, line); what is left of a document is gathered and searched in its whole text at once, so no text is
+    repeated for each line.
     """
     norm = collapse(F.col("text"))
     wanted = source_lines.select(doc, "ord", norm.alias("line")).filter("line <> ''")
     lines = records.select(doc, F.explode(F.split("text", "\n")).alias("text")).select(doc, norm.alias("line"))
     heads = records.filter("heading is not null").select(doc, collapse(F.col("heading")).alias("line"))
     left = wanted.join(lines.union(heads).distinct(), [doc, "line"], "left_anti")
-    joined = records.groupBy(doc).agg(collapse(F.array_join(F.collect_list("text"), "\n")).alias("all_text"))
-    return left.join(joined, doc, "left").filter(~F.coalesce(F.col("all_text").contains(F.col("line")), F.lit(False))).select(doc, "ord", "line")
+    order = F.col("ord") if "ord" in records.columns else F.lit(0)
+    parts = F.sort_array(F.collect_list(F.struct(order.alias("ord"), F.col("text").alias("text"))))["text"]
+    joined = records.groupBy(doc).agg(collapse(F.array_join(parts, "\n")).alias("all_text"))
+    asked = left.groupBy(doc).agg(F.collect_list(F.struct("ord", "line")).alias("asked"))
+    open_lines = F.filter("asked", lambda x: ~F.coalesce(F.col("all_text").contains(x["line"]), F.lit(False)))
+    return asked.join(joined, doc, "left").select(doc, F.explode(open_lines).alias("x")).select(doc, "x.ord", "x.line")
 
 
 def article_issues(articles: DataFrame, doc: str = "doc_id") -> DataFrame:
