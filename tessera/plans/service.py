@@ -107,7 +107,8 @@ def compare_versions(pairs: DataFrame, versions: DataFrame) -> DataFrame:
     early = F.when(F.col("from_p").isNull() | F.col("to_p").isNull(), "VERSION_NOT_FOUND").when(~F.col("from_ok") | ~F.col("to_ok"), "VERSION_NOT_SERVABLE").when(F.col("from_p") != F.col("to_p"), "DIFFERENT_PROVISIONS")
     t = t.withColumn("early", early).withColumn("chunks", compare.diff_lines(F.when(F.col("early").isNull(), F.col("from_t")), F.when(F.col("early").isNull(), F.col("to_t"))))
     error = F.coalesce("early", F.when(F.col("chunks").isNull(), "TOO_LONG"))
-    return t.select("question_id", F.when(error.isNull(), F.col("chunks")).alias("chunks"), F.exists("chunks", lambda c: c["operation"] != "unchanged").alias("changed"), error.alias("error"))
+    t = t.select("question_id", F.when(error.isNull(), F.col("chunks")).alias("chunks"), error.alias("error"))
+    return t.select("question_id", "chunks", F.exists("chunks", lambda c: c["operation"] != "unchanged").alias("changed"), "error")
 
 
 def get_catalog(versions: DataFrame) -> DataFrame:
