@@ -22,6 +22,19 @@ def index(docs: DataFrame, id_col: str, text_col: str, heading_col: str | None =
     return postings, t.select("id", F.size("t").alias("len"))
 
 
+def term_stats(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, tf, df): how often each term occurs in all texts, and in how many texts. No text or id is shuffled: both
+    counts are summed by term before and after the one exchange."""
+
+    def rows(t):
+        # sorted, so that a term's first occurrence in its text differs from the term before
+        return F.zip_with(t, F.concat(F.array(F.lit("")), t), lambda x, before: F.when(x.isNotNull(), F.struct(x.alias("term"), (x != before).cast("int").alias("first"))))
+
+    sorted_terms = F.sort_array(tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    found = docs.select(F.explode(bound(sorted_terms, rows)).alias("r")).filter("r is not null")
+    return found.groupBy("r.term").agg(F.count("*").alias("tf"), F.sum("r.first").alias("df"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, heading_col: str | None = None, limit: int = 8, floor: float = 0.15) -> DataFrame:
     """The best documents of each query (query_id, query): query_id, id, score, rank.
 
@@ -29,8 +42,10 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, headin
     under the floor are left out, so a query may get no answer. Ties go to the smaller id. Document frequencies
     and the mean length are those of ``docs``: filter it to the eligible documents first.
 
-    The texts are tokenised once. Only postings of query terms go on: the queries' terms are a side whose size
-    follows the batch of questions, and the planner decides on its actual size whether to broadcast it.
+    Every text is tokenised once: a row with an empty term stands for the document itself, so that document
+    count and mean length come from the same counted rows as the postings, and all uses read one exchange. Only
+    postings of query terms go on: the queries' terms are a side whose size follows the batch of questions, and
+    the planner decides on its actual size whether to broadcast it.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -38,10 +53,13 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, headin
         head = F.coalesce(F.col(heading_col), F.lit(""))
         text = F.concat_ws(" ", head, head, text)
     t = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    wanted = terms.select("term").distinct()
-    hits = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
+    itself = F.array(F.lit(""))
+    wanted = queries.select(F.explode(F.concat(tokens(F.col("query")), itself)).alias("term")).union(queries.sparkSession.range(1).select(F.lit(""))).distinct()
+    rows = t.select("id", F.size("t").alias("len"), F.explode(F.concat("t", itself)).alias("term")).join(wanted, "term", "left_semi")
+    hits = rows.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    once, own = F.least("tf", F.lit(1)), F.col("term") == ""  # by tf, so that the uses need the same columns
+    stats = hits.agg(F.sum(F.when(own, once)).alias("n"), F.avg(F.when(own, F.col("len") * once)).alias("mean"))
+    df = hits.groupBy("term").agg(F.sum(once).alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
     df = df.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     known = terms.join(df, "term")
     ceiling = known.groupBy("query_id").agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))

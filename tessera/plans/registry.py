@@ -217,8 +217,7 @@ TOKENS_SQL = "(CASE WHEN len(kept) > 1 THEN list_concat(kept, list_transform(ran
 WITH k AS (SELECT doc_id, {KEPT_SQL.format("coalesce(text, '')")} AS kept FROM documents), t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM k)
 SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term""")
 def fold_tokens(spark, sf_dir):
-    postings, _ = search.index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return search.term_stats(table(spark, sf_dir, "documents"), "text")
 
 
 @query(f"""
