@@ -207,10 +207,11 @@ def match_band(similarity: Column) -> Column:
 
 
 def extension_for(content_type: Column, url: Column) -> Column:
-    """File extension by content type, else by the URL's, else bin."""
+    """File extension by content type, else by the path of the URL, else bin."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
-    tail = F.regexp_extract(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), r"\.([A-Za-z0-9]{1,5})$", 1)
-    return F.when(kind.contains("pdf"), "pdf").when(kind.contains("html"), "html").when(kind.contains("json"), "json").when(kind.contains("xml"), "xml").when(kind.contains("text/"), "txt").when(tail != "", F.lower(tail)).otherwise("bin")
+    tail = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"\.([A-Za-z0-9]{1,5})$", 1)
+    out = F.when(kind.contains("application/pdf"), "pdf").when(kind.contains("text/html"), "html").when(kind.contains("text/x-component"), "rsc.txt")
+    return out.when(kind.contains("text/plain"), "txt").when(kind.contains("application/json"), "json").when(tail != "", F.lower(tail)).otherwise("bin")
 
 
 def looks_like_pdf(content: Column) -> Column:

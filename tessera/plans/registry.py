@@ -422,7 +422,7 @@ def article_issues(spark, sf_dir):
 
 @query("""
 SELECT page_id, ext, host, allowed FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host,
-  CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]{1,5})$', 1)) ELSE 'bin' END AS ext,
+  coalesce(nullif(lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '\\.([A-Za-z0-9]{1,5})$', 1)), ''), 'bin') AS ext,
   regexp_matches(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '(^|\\.)(example\\.com|example\\.org)$') AS allowed FROM pages)""")
 def host_allow(spark, sf_dir):
     host = F.try_parse_url("url", F.lit("HOST"))

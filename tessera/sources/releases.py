@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import extension_for
+from tessera.operators.sets import check_vouchers
+
 EVIDENCE = "array<struct<evidenceId: string, locator: string, officialSourceUrl: string, retrievedAt: string, sourceSha256: string>>"
 INTERVAL = "struct<from: string, to: string>"
 VERSION = f"struct<datasetReleaseId: string, documentId: string, documentNumber: string, evidence: {EVIDENCE}, heading: string, legalText: string, legalTextSha256: string, primaryEvidenceId: string, provisionId: string, provisionVersionId: string, reviewStatus: string, systemTime: {INTERVAL}, validTime: {INTERVAL}>"
@@ -178,15 +181,20 @@ def by_digest(store: DataFrame, digest: str) -> DataFrame:
     return store.filter((F.col("name") == digest) & (F.sha2("content", 256) == F.lit(digest)))
 
 
-def verify_chain(versions: DataFrame, archives: DataFrame, derived: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Issues of a release, re-derived from its archived sources: (locator, issue).
+def stored_documents(fetched: DataFrame) -> DataFrame:
+    """Names and evidence of fetched documents (url, content_type, content, retrieved_at): the first twelve digits of the
+    digest and the extension name the file, its evidence stands beside it as JSON. A document fetched twice has
+    a row for each address."""
+    t = fetched.withColumn("sha256", F.sha2("content", 256)).withColumn("stem", F.substring("sha256", 1, 12))
+    evidence = F.to_json(F.struct(
+        F.length("content").alias("byteLength"), F.col("content_type").alias("contentType"), F.lit(None).cast("string").alias("locator"), F.col("url").alias("officialSourceUrl"),
+        F.col("retrieved_at").alias("retrievedAt"), F.col("sha256").alias("sourceSha256"),
+    ), {"ignoreNullFields": "false"})
+    return t.select("url", F.concat_ws(".", "stem", extension_for(F.col("content_type"), F.col("url"))).alias("name"), F.concat("stem", F.lit(".evidence.json")).alias("evidence_name"), evidence.alias("evidence"), "content")
 
-    ``versions`` has version_id, provision_id, text_sha256, status, source_sha256; ``archives`` sha256 and
-    present (false: listed, but not there); ``derived`` source_sha256, provision_id and text as read again from
-    the archived bytes; ``reviews`` target and method.
-    """
-    from tessera.operators.sets import check_vouchers
 
+def _rederived(versions: DataFrame, archives: DataFrame, derived: DataFrame) -> DataFrame:
+    """``versions`` with the first issue of their re-derivation, null where the text comes out the same."""
     a = archives.select(F.col("sha256").alias("source_sha256"), "present")
     v = versions.join(a, "source_sha256", "left")
     d = derived.select("source_sha256", "provision_id", F.sha2("text", 256).alias("again"))
@@ -196,7 +204,27 @@ def verify_chain(versions: DataFrame, archives: DataFrame, derived: DataFrame, r
         F.when(F.col("present").isNull(), "EVIDENCE_NOT_ARCHIVED").when(~F.col("present"), "ARCHIVE_NOT_PRESENT").when(F.col("readable").isNull(), "SOURCE_NOT_DERIVABLE")
         .when(F.col("again").isNull(), "PROVISION_NOT_IN_SOURCE").when(F.col("again") != F.col("text_sha256"), "TEXT_MISMATCH")
     )
-    out = v.withColumn("issue", issue).filter("issue is not null").select(F.col("version_id").alias("locator"), "issue")
+    return v.withColumn("issue", issue)
+
+
+def chain_counts(versions: DataFrame, archives: DataFrame, derived: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row of what a verification of the same inputs covered: derived (records whose text came out the same), vouched,
+    archived (sources there are) and unchecked (records whose archive is listed but not there: not looked at,
+    which is not the same as failed)."""
+    seen = _rederived(versions, archives, derived).agg(F.count_if(F.col("issue").isNull()).alias("derived"), F.count_if(F.coalesce(F.col("issue") == "ARCHIVE_NOT_PRESENT", F.lit(False))).alias("unchecked"))
+    vouched = check_vouchers(versions.select(F.col("version_id").alias("target"), "status"), reviews).agg(F.count_if(F.col("voucher") == "ok").alias("vouched"))
+    archived = archives.agg(F.count_if("present").alias("archived"))
+    return seen.crossJoin(vouched).crossJoin(archived)  # one row each
+
+
+def verify_chain(versions: DataFrame, archives: DataFrame, derived: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Issues of a release, re-derived from its archived sources: (locator, issue).
+
+    ``versions`` has version_id, provision_id, text_sha256, status, source_sha256; ``archives`` sha256 and
+    present (false: listed, but not there); ``derived`` source_sha256, provision_id and text as read again from
+    the archived bytes; ``reviews`` target and method.
+    """
+    out = _rederived(versions, archives, derived).filter("issue is not null").select(F.col("version_id").alias("locator"), "issue")
     vouchers = check_vouchers(versions.select(F.col("version_id").alias("target"), "status"), reviews).filter("voucher <> 'ok'").select("target", "voucher")
     orphan = archives.select("sha256").join(versions.select(F.col("source_sha256").alias("sha256")), "sha256", "left_anti").select("sha256", F.lit("ORPHAN_ARCHIVE"))
     return out.union(vouchers).union(orphan)

@@ -57,12 +57,29 @@ def crawl_stream(discovered: DataFrame, state_path: str, fetch, budget: int, che
     return discovered.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_outcomes(documents: DataFrame, ledger: DataFrame, max_documents: int, transient: tuple[str, ...] = ("HTTP_ERROR", "TIMEOUT")) -> tuple[DataFrame, DataFrame]:
+def latest_outcomes(documents: DataFrame, ledger: DataFrame, max_documents: int | None, transient: tuple[str, ...] = ("HTTP_ERROR", "TIMEOUT")) -> tuple[DataFrame, DataFrame]:
     """The next batch and the ledger kept: documents (url, ord) that the ledger does not have, first come, and the
-    ledger's rows whose reason is not a passing one."""
+    ledger's rows whose reason is not a passing one. Without ``max_documents`` the batch is all of them."""
     kept = ledger.filter(~F.coalesce(F.col("reason").isin(*transient), F.lit(False)))
-    w = documents.join(kept.select("url"), "url", "left_anti").orderBy("ord", "url").limit(max_documents)
-    return w, kept
+    w = documents.join(kept.select("url"), "url", "left_anti")
+    return w if max_documents is None else w.orderBy("ord", "url").limit(max_documents), kept
+
+
+def batch_outcomes(batch: DataFrame, results: DataFrame, ledger: DataFrame, at: str, transient: tuple[str, ...] = ("HTTP_ERROR", "TIMEOUT")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What became of a batch (url): (outcomes, the ledger after it, tallies).
+
+    ``results`` has url, error (null: records came out) and all_passed. A whole document is ingested if all its
+    records passed and else needs_review; a passing error is transient and does not enter the ledger, so that the
+    document comes again; other errors, and documents without a result (NO_RESULT), are refused. ``ledger`` has
+    url, status, reason and at. Tallies are (status, n).
+    """
+    t = batch.select("url").join(results.withColumn("__found", F.lit(True)), "url", "left")
+    error = F.when(F.col("__found").isNull(), "NO_RESULT").otherwise(F.col("error"))
+    status = F.when(error.isin(*transient), "transient").when(error.isNotNull(), "refused").when(F.coalesce("all_passed", F.lit(False)), "ingested").otherwise("needs_review")
+    out = t.select("url", status.alias("status"), error.alias("reason"))
+    new = out.filter("status <> 'transient'").withColumn("at", F.lit(at))
+    kept = ledger.join(new.select("url"), "url", "left_anti").select("url", "status", "reason", "at")
+    return out, kept.unionByName(new), out.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def rounds_until_idle(run_round, is_transient, pause=lambda: None) -> int:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import registry, usecases  # noqa: F401  (usecases registers its queries)
+from tessera.plans import registry, sourcing, usecases  # noqa: F401  (the last two register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
