@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,16 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
 
 
+class Release(NamedTuple):
+    """A loaded release; ``reviews`` and ``missing`` (names absent from the archive) are None where it has no such table."""
+
+    release_id: str
+    manifest: dict
+    versions: DataFrame
+    reviews: DataFrame | None
+    missing: DataFrame | None
+
+
 class Store:
     """Releases under one folder: ``releases/<id>`` with a table, its manifest and a pointer to the current one.
 
@@ -112,22 +124,47 @@ class Store:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(fs.makeQualified(spare), fs.makeQualified(self._path(name)), how)
 
-    def publish(self, versions: DataFrame, release_id: str, reviewed_by: str, issues: DataFrame, at: str) -> None:
-        """Write a release and point to it. Refused: an id that exists, no reviewer, any issue."""
+    def publish(self, versions: DataFrame, release_id: str, reviewed_by: str, issues: DataFrame, at: str, reviews: DataFrame | None = None, sources: DataFrame | None = None) -> None:
+        """Write a release and point to it. Refused: an id that exists, no reviewer, any issue.
+
+        ``reviews`` is the release's review log. ``sources`` has sha256, ext and content of the files that the records
+        were taken from: they go to the archive that all releases share, those that are there already excepted,
+        and the release keeps their names. A file that does not have its digest is refused (ARCHIVE_MISMATCH).
+        """
         if not reviewed_by.strip():
             raise ReleaseError("REVIEWER_MISSING")
         if self._fs().exists(self._path(f"releases/{release_id}")):
             raise ReleaseError("RELEASE_EXISTS", release_id)
         if found := issues.limit(5).collect():
             raise ReleaseError("NOT_PUBLISHABLE", "; ".join(f"{r[0]} {r[1]}" for r in found))
-        versions.write.mode("errorifexists").parquet(f"{self.root}/releases/{release_id}/versions")
+        if sources is not None and (bad := sources.filter(F.sha2("content", 256) != F.col("sha256")).select("sha256").limit(5).collect()):
+            raise ReleaseError("ARCHIVE_MISMATCH", " ".join(r[0] for r in bad))
+        base = f"{self.root}/releases/{release_id}"
+        versions.write.mode("errorifexists").parquet(f"{base}/versions")
+        tables = ["versions"]
+        if reviews is not None:
+            reviews.write.mode("errorifexists").parquet(f"{base}/reviews")
+            tables.append("reviews")
+        if sources is not None:
+            named = sources.select("sha256", F.concat_ws(".", "sha256", "ext").alias("name")).dropDuplicates(["sha256"])
+            named.write.mode("errorifexists").parquet(f"{base}/sources")
+            tables.append("sources")
+            archive(sources, self.archived()).select("name", "sha256", "content").write.mode("errorifexists").parquet(f"{self.root}/archive/{release_id}")
         state = versions.agg(F.bool_or(F.col("status") == "machine_checked")).first()[0]
-        digest = self._digest(release_id)
-        self._write_json(f"releases/{release_id}/manifest.json", {"releaseId": release_id, "releasedAt": at, "reviewedBy": reviewed_by, "reviewState": "machine_checked" if state else "verified", **digest})
+        manifest = {"releaseId": release_id, "releasedAt": at, "reviewedBy": reviewed_by, "reviewState": "machine_checked" if state else "verified"}
+        self._write_json(f"releases/{release_id}/manifest.json", {**manifest, "tables": {t: self._digest(release_id, t) for t in tables}})
         self._point(release_id, at)
 
-    def _digest(self, release_id: str) -> dict:
-        files = listing(self.spark, f"{self.root}/releases/{release_id}/versions")
+    def archived(self) -> DataFrame:
+        """(name, sha256, content) of the shared archive: a folder for each release that added to it."""
+        empty = self.spark.createDataFrame([], "name string, sha256 string, content binary")
+        if not self._fs().exists(self._path("archive")):
+            return empty
+        folders = [str(f.getPath()) for f in self._fs().listStatus(self._path("archive")) if f.isDirectory()]
+        return self.spark.read.schema(empty.schema).parquet(*folders) if folders else empty
+
+    def _digest(self, release_id: str, table: str = "versions") -> dict:
+        files = listing(self.spark, f"{self.root}/releases/{release_id}/{table}")
         # a digest of digests: files are gathered by the start of theirs, so no row has those of all files
 
         def of(column: str):
@@ -142,18 +179,47 @@ class Store:
         before = [now["currentReleaseId"], *now["previousReleaseIds"]] if "currentReleaseId" in now else []
         self._write_json("current.json", {"currentReleaseId": release_id, "previousReleaseIds": before[:HISTORY], "updatedAt": at})
 
-    def load(self, release_id: str | None = None) -> DataFrame:
-        """A release's versions (the current one by default), after its files were checked against the manifest."""
+    def load(self, release_id: str | None = None, archives: str = "optional", validate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """A release's versions (the current one by default), after the checks of ``load_release``."""
+        return self.load_release(release_id, archives, validate).versions
+
+    def load_release(self, release_id: str | None = None, archives: str = "required", validate: Callable[[DataFrame], DataFrame] | None = None) -> Release:
+        """A release with its review log and what its archive lacks, after every table was checked against the manifest.
+
+        ``archives``: "required" refuses a release with sources that are not in the archive (FILES_MISSING), "optional"
+        lists them in ``missing``; one whose bytes were altered is refused either way (ARCHIVE_MISMATCH).
+        ``validate`` gives the issues of the versions as ``publish_issues`` does; any refuses the release
+        (VALIDATION_FAILED).
+        """
         release_id = release_id or (self._read_json("current.json") or {}).get("currentReleaseId")
         manifest = release_id and self._read_json(f"releases/{release_id}/manifest.json")
         if not manifest:
             raise ReleaseError("RELEASE_NOT_FOUND", str(release_id))
-        if self._digest(release_id) != {k: manifest[k] for k in ("files", "sha256")}:
-            raise ReleaseError("HASH_MISMATCH", release_id)
-        return self.spark.read.parquet(f"{self.root}/releases/{release_id}/versions")
+        if manifest["releaseId"] != release_id:
+            raise ReleaseError("MANIFEST_MISMATCH", release_id)
+        for table, digest in manifest["tables"].items():
+            if not self._fs().exists(self._path(f"releases/{release_id}/{table}")):
+                raise ReleaseError("FILES_MISSING", f"{release_id} {table}")
+            if self._digest(release_id, table) != digest:
+                raise ReleaseError("HASH_MISMATCH", f"{release_id} {table}")
+        read = lambda t: self.spark.read.parquet(f"{self.root}/releases/{release_id}/{t}") if t in manifest["tables"] else None
+        sources, missing = read("sources"), None
+        if sources is not None:
+            present = self.archived().select("name", F.sha2("content", 256).alias("sha256"))
+            state = archive_state(sources, present)
+            counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+            if "mismatch" in counts:
+                raise ReleaseError("ARCHIVE_MISMATCH", release_id)
+            if "absent" in counts and archives == "required":
+                raise ReleaseError("FILES_MISSING", f"{release_id} lacks {counts['absent']} archived sources")
+            missing = state.filter("state = 'absent'").select("name")
+        versions = read("versions")
+        if validate is not None and (found := validate(versions).limit(5).collect()):
+            raise ReleaseError("VALIDATION_FAILED", "; ".join(f"{r[0]} {r[1]}" for r in found))
+        return Release(release_id, manifest, versions, read("reviews"), missing)
 
     def rollback(self, at: str) -> str:
-        """Point to the release before the current one, which must load in full first."""
+        """Point to the release before the current one, which must load in full first, its archived sources excepted."""
         now = self._read_json("current.json")
         if not now or not now["previousReleaseIds"]:
             raise ReleaseError("ROLLBACK_UNAVAILABLE")

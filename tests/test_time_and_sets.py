@@ -168,6 +168,51 @@ def test_release_store(spark, tmp_path):
         store.load("rel_b")
 
 
+def test_release_with_archive(spark, tmp_path):
+    import hashlib
+    import shutil
+
+    store = releases.Store(spark, f"file://{tmp_path}/store")
+    v = spark.createDataFrame([version("p", "v1", D(2020, 1, 1))], VERSION)
+    none = spark.createDataFrame([], "locator string, issue string")
+    reviews = spark.createDataFrame([("v1", "someone", "t", "human")], "target string, reviewed_by string, reviewed_at string, method string")
+    row = lambda b: (hashlib.sha256(b).hexdigest(), "pdf", b)
+    files = lambda *contents: spark.createDataFrame([row(c) for c in contents], "sha256 string, ext string, content binary")
+    with pytest.raises(releases.ReleaseError, match="ARCHIVE_MISMATCH"):
+        store.publish(v, "rel_a", "someone", none, "t", reviews, spark.createDataFrame([("0" * 64, "pdf", b"x")], "sha256 string, ext string, content binary"))
+    store.publish(v, "rel_a", "someone", none, "t1", reviews, files(b"one", b"one", b"two"))
+    store.publish(v, "rel_b", "someone", none, "t2", reviews, files(b"two", b"three"))
+    assert store.archived().count() == 3
+    loaded = store.load_release()
+    assert (loaded.release_id, loaded.reviews.count(), loaded.missing.count()) == ("rel_b", 1, 0)
+    with pytest.raises(releases.ReleaseError, match="VALIDATION_FAILED"):
+        store.load_release(validate=lambda versions: versions.select("version_id", F.lit("BAD")))
+    # what the first release archived is gone: the second lacks one of its files
+    shutil.rmtree(tmp_path / "store/archive/rel_a")
+    with pytest.raises(releases.ReleaseError, match="FILES_MISSING"):
+        store.load_release("rel_b")
+    assert [r["name"] for r in store.load_release("rel_b", "optional").missing.collect()] == [row(b"two")[0] + ".pdf"]
+    altered = spark.createDataFrame([(row(b"two")[0] + ".pdf", row(b"two")[0], b"other")], "name string, sha256 string, content binary")
+    altered.write.parquet(f"{tmp_path}/store/archive/rel_a")
+    with pytest.raises(releases.ReleaseError, match="ARCHIVE_MISMATCH"):
+        store.load_release("rel_b", "optional")
+    shutil.rmtree(tmp_path / "store/releases/rel_b/reviews")
+    with pytest.raises(releases.ReleaseError, match="FILES_MISSING"):
+        store.load_release("rel_b", "optional")
+
+
+def test_batch_outcomes(spark):
+    from tessera.streaming import crawl
+
+    batch = spark.createDataFrame([(u,) for u in "abcde"], "url string")
+    results = spark.createDataFrame([("a", None, True), ("b", None, False), ("c", "TIMEOUT", None), ("d", "NO_ARTICLES", None)], "url string, error string, all_passed boolean")
+    ledger = spark.createDataFrame([("a", "refused", "OLD", "t0"), ("z", "ingested", None, "t0")], "url string, status string, reason string, at string")
+    out, after, tallies = crawl.batch_outcomes(batch, results, ledger, "t1")
+    assert {tuple(r) for r in out.collect()} == {("a", "ingested", None), ("b", "needs_review", None), ("c", "transient", "TIMEOUT"), ("d", "refused", "NO_ARTICLES"), ("e", "refused", "NO_RESULT")}
+    assert {(r["url"], r["status"], r["at"]) for r in after.collect()} == {("a", "ingested", "t1"), ("b", "needs_review", "t1"), ("d", "refused", "t1"), ("e", "refused", "t1"), ("z", "ingested", "t0")}
+    assert {tuple(r) for r in tallies.collect()} == {("ingested", 1), ("needs_review", 1), ("transient", 1), ("refused", 2)}
+
+
 def test_publish_gate(spark):
     e = "array<struct<url: string, retrieved_at: string>>"
     rows = [("v1", "p", "t", D(2020, 1, 1), None, [("https://a.gov.vn/x", "2024")]), ("v2", "p", "t", D(2021, 1, 1), None, [("https://evil.org/x", "2030")])]
