@@ -263,7 +263,14 @@ def dice_pairs(spark, sf_dir):
     return d.select("conv_id", "turn", text.round_half_up(F.col("d")).alias("similarity"), text.match_band(F.col("d")).alias("band"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT a.conv_id, a.turn, string_split(coalesce(a.text, ''), chr(10)) AS x, string_split(coalesce(b.text, ''), chr(10)) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
+), lcs AS (
+  SELECT *, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: 0) AS best FROM p
+  UNION ALL
+  SELECT conv_id, turn, x, y, i + 1, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(t[1:j]) END)
+  FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda j: greatest(best[j + 1], CASE WHEN x[i + 1] = y[j] THEN best[j] + 1 ELSE 0 END)) AS t FROM lcs WHERE i < len(x)))
+SELECT conv_id, turn, best[len(best)] AS unchanged, CAST(len(x) - best[len(best)] AS INTEGER) AS removed, CAST(len(y) - best[len(best)] AS INTEGER) AS added FROM lcs WHERE i = len(x)""")
 def line_diff(spark, sf_dir):
     c = compare.chunk_counts(compare.diff_lines(F.col("text"), F.col("later")))
     return derive.turn_pairs(spark, sf_dir).withColumn("c", c).select("conv_id", "turn", "c.*")
