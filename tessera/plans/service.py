@@ -51,11 +51,13 @@ def validate(request_id: str | None = None, article: int | None = None, number:
     return {"request_id": request_id, "article": article, "number": number, "query": query, "limit": limit, "quote": quote}
 
 
-def refuse_over(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """``df`` with a failing row check where a key has more than ``limit`` rows."""
+def refuse_over(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys with at most ``limit`` rows, and the other keys with ``error`` TOO_MANY_RESULTS: one answer that is
+    too long is refused as a whole, the rest of the batch is answered."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    checked = counts.withColumn("__ok", F.assert_true(F.col("__n") <= limit, F.lit("TOO_MANY_RESULTS")).isNull()).filter("__ok").select(*keys)
-    return df.join(checked, keys)
+    over = counts.filter(F.col("__n") > limit).select(*keys)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return df.alias("a").join(over.alias("o"), on, "left_anti"), over.withColumn("error", F.lit("TOO_MANY_RESULTS"))
 
 
 def provision_at(questions: DataFrame, versions: DataFrame) -> DataFrame:

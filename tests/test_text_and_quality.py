@@ -103,6 +103,13 @@ def test_citations(spark):
             service.validate(**bad)
 
 
+def test_too_many_results(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "question_id int, x string")
+    kept, refused = service.refuse_over(df, ["question_id"], 1)
+    assert {tuple(r) for r in kept.collect()} == {(2, "c"), (None, "d")}
+    assert [tuple(r) for r in refused.collect()] == [(1, "TOO_MANY_RESULTS")]
+
+
 def test_differences(spark):
     rng = random.Random(1)
     for _ in range(150):
