@@ -212,6 +212,19 @@ def gazette_provisions(spark, sf_dir):
     return out.select("doc_id", "article", "provision_id", "version_id", "heading", F.sha2("text", 256).alias("text_sha256"), "valid_from")
 
 
+@query(f"""
+WITH {GAZETTE_SQL}, l AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, trim(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')) AS line, part, article FROM gz
+), kept AS (SELECT doc_id, line FROM l WHERE part = 'article' AND doc_id % 7 <> 0
+), j AS (SELECT doc_id, trim(regexp_replace(string_agg(text, chr(10) ORDER BY ord), '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')) AS t FROM gz WHERE part = 'article' AND doc_id % 7 <> 0 GROUP BY 1)
+SELECT l.doc_id, ord, line FROM l LEFT JOIN j USING (doc_id) WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = l.doc_id AND k.line = l.line) AND NOT coalesce(contains(t, line), false)""")
+def gazette_coverage(spark, sf_dir):
+    """Lines of the pages that no provision has: all that is not an article's, and every line of a refused document."""
+    lines = gazette_lines(spark, sf_dir)
+    parts, documents = extract.segment_gazette(lines)
+    provisions = extract.gazette_provisions(parts, documents, gazette_references(spark, sf_dir))
+    return quality.coverage(lines.select("doc_id", "ord", "text"), provisions.select("doc_id", "heading", "text", F.col("article").alias("ord")))
+
+
 CHECKS_SQL = f"""{GAZETTE_REF_SQL}, n AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS n FROM documents
 ), cs AS (
   SELECT doc_id, 'DOCUMENT_NUMBER' AS "check", CASE WHEN doc_id % 6 = 0 THEN 'flag' ELSE 'pass' END AS status FROM documents
