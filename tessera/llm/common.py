@@ -230,3 +230,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out[0] = starts[0]
         out[ends[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(out, out=out)
+
+
+def joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """For each document of a block its words that ``keep`` marks, joined by one space."""
+    keep = np.flatnonzero(keep)
+    n_docs = len(words.bounds) - 1
+    # a word and the space after it, copied with one index array; the last space of a document is left out
+    length = words.end[keep] - words.start[keep] + 1
+    n_kept = np.diff(np.searchsorted(keep, words.bounds))
+    ends = np.cumsum(n_kept)[n_kept > 0] - 1
+    length[ends] -= 1
+    index = ragged(words.start[keep], length)
+    data = np.append(words.raw, np.uint8(32))[np.minimum(index, len(words.raw))]
+    inner = np.ones(len(keep), bool)
+    inner[ends] = False
+    data[np.cumsum(length)[inner] - 1] = 32
+    offsets = np.zeros(n_docs + 1, np.int64)
+    np.cumsum(np.bincount(words.doc[keep], weights=length, minlength=n_docs).astype(np.int64), out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())

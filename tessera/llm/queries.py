@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, quality, substring_dedup
+from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, periodic_runs, quality, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_periodic_runs": periodic_runs.ORACLE,
 }
