@@ -47,8 +47,8 @@ def _probe(w: np.ndarray, room: np.ndarray, within: np.ndarray, p: int) -> Itera
 
     ``room[k]`` is how many words its document has from k on; ``within[k]`` is how far from k on, at least, some found run of which k is a word goes on; it is kept up here.
     A run of four periods or more holds four neighbouring points of the grid 0, p, 2p, ..., whose words are all the
-    same. Points that lie in one found run are passed over: a run of period p that shares 3p + 1 words with one of
-    a smaller period q has the period gcd(p, q) throughout, so it has been found at that period.
+    same. Points that lie in one found run are passed over, as are stretches that do: a run of period p that shares 3p + 1
+    words with one of a smaller period q has the period gcd(p, q) throughout, so it has been found at that period.
     """
     grid = w[::p]
     same = grid[1:] == grid[:-1]
@@ -61,7 +61,7 @@ def _probe(w: np.ndarray, room: np.ndarray, within: np.ndarray, p: int) -> Itera
         low, high = _extend(w, int(at), p)
         seen = high
         end = high + p
-        if end - low >= max(MIN_LENGTH, MIN_EXPONENT * p):
+        if end - low >= max(MIN_LENGTH, MIN_EXPONENT * p) and within[low] < end - low:
             within[low:end] = np.maximum(within[low:end], np.arange(end - low, 0, -1))
             yield low, end
 
