@@ -97,6 +97,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_IN_TERM = np.zeros(256, bool)
+_IN_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 
@@ -249,3 +251,22 @@ def joined(words: Words, keep: np.ndarray) -> pa.Array:
     offsets = np.zeros(n_docs + 1, np.int64)
     np.cumsum(np.bincount(words.doc[keep], weights=length, minlength=n_docs).astype(np.int64), out=offsets[1:])
     return pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+def terms_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of a block of documents in order, and where each begins.
+
+    A term is a longest run of ASCII letters and characters beyond ASCII, with A-Z in lower case; in UTF-8 these are
+    the letters' bytes and all bytes from 128 on.
+    """
+    inside = _IN_TERM[raw]
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[offsets] = True
+    cuts = np.flatnonzero(edge)
+    start = cuts[:-1][inside[cuts[:-1]]] if len(raw) else np.empty(0, np.int64)
+    length = np.diff(cuts)[inside[cuts[:-1]]] if len(raw) else start
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=at[1:])
+    terms = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(_LOWER[raw[inside]]))
+    return terms, start

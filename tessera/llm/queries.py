@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, periodic_runs, quality, source_divergence, substring_dedup
+from tessera.llm import bpe, chat, exact_dedup, language_id, lm_scoring, media_tiff, mixing, ngram_join, periodic_runs, quality, source_divergence, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 

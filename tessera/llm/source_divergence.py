@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import blocks, bounded_batches, documents, first_of_runs, materialize, text_bytes
+from tessera.llm.common import blocks, bounded_batches, documents, first_of_runs, materialize, terms_of, text_bytes
 
 #: Documents of a language that have a term, at least, for the term to count.
 MIN_DOCS = 3
@@ -22,33 +22,9 @@ BLOCK, CHUNK = 16, 1 << 12
 #: Terms that are reported per source.
 TOP = 200
 
-_IN_TERM = np.zeros(256, bool)
-_IN_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def terms_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The terms of a block of documents in order, and the document of each.
-
-    A term is a longest run of ASCII letters and characters beyond ASCII, with A-Z in lower case; in UTF-8 these are
-    the letters' bytes and all bytes from 128 on.
-    """
-    inside = _IN_TERM[raw]
-    edge = np.ones(len(raw) + 1, bool)
-    edge[1:-1] = inside[1:] != inside[:-1]
-    edge[offsets] = True
-    cuts = np.flatnonzero(edge)
-    start = cuts[:-1][inside[cuts[:-1]]] if len(raw) else np.empty(0, np.int64)
-    length = np.diff(cuts)[inside[cuts[:-1]]] if len(raw) else start
-    at = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(length, out=at[1:])
-    terms = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(_LOWER[raw[inside]]))
-    return terms, np.searchsorted(offsets, start, "right") - 1
-
-
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, occurrences, documents) of each batch; the empty term stands for the group itself."""
     for batch in it:
@@ -61,9 +37,11 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([langs, sources, pa.array([""] * len(pair)), nothing, nothing], schema=_COUNTS)
         raw, offsets = text_bytes(batch.column("text"))
         for i, j in blocks(offsets, 1 << 21):
-            terms, doc = terms_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at = offsets[i : j + 1] - offsets[i]
+            terms, start = terms_of(raw[offsets[i] : offsets[j]], at)
             if not len(terms):
                 continue
+            doc = np.searchsorted(at, start, "right") - 1
             coded = terms.dictionary_encode()
             code = coded.indices.to_numpy().astype(np.int64)
             # occurrences per (document, term), then both numbers per (group, term)

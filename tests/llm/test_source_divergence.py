@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import source_divergence
+from tessera.llm.common import terms_of, text_bytes
 from tests.llm.test_operators import texts
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -76,7 +77,8 @@ def test_shares_are_exact(spark, count, total):
 
 def test_terms_of_blocks():
     ts = [*texts(2), "ÄÖ\x7fÜ", "\x00a\x00", "ends", "Zed"]
-    raw, offsets = source_divergence.text_bytes(pa.array(ts))
-    got, doc = source_divergence.terms_of(raw, offsets)
+    raw, offsets = text_bytes(pa.array(ts))
+    got, start = terms_of(raw, offsets)
+    doc = np.searchsorted(offsets, start, "right") - 1
     want = [(k, t) for k, text in enumerate(ts) for t in terms(text)]
     assert list(zip(doc.tolist(), got.to_pylist())) == want
