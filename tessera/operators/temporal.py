@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from tessera.functions.checks import contains, servable
 
 
-#: A key with more versions than this is cut into time tiles, at TILES - 1 quantiles of its versions' starts.
-HOT_VERSIONS, TILES = 1_000_000, 64
+#: Where a key has more versions than the first number, questions are answered in one sorted pass and not by a join on
+#: the key; a key with more than the second is cut into time tiles, at TILES - 1 quantiles of its versions' starts.
+CROWDED_VERSIONS, HOT_VERSIONS, TILES = 1_000, 1_000_000, 64
 
 
 def _tiles(versions: DataFrame, keys: tuple[str, ...], hot_versions: int):
@@ -97,12 +98,12 @@ def _sweep_questions(keys: list[str], answer: list[str], id_type: pa.DataType):
                 hits = []
                 if not none[k]:
                     active = [v for v in active if v[0] > at[k]]
-                    hits = [v for v in active if v[1] <= known[k] < v[2]]
-                served = sorted(v[4] for v in hits if v[3])
+                    hits = sorted({(v[4], v[3]) for v in active if v[1] <= known[k] < v[2]})
+                served = [i for i, good_one in hits if good_one]
                 status.append("resolved" if len(served) == 1 else "conflict" if served else "unknown")
                 version.append(served[0] if len(served) == 1 else None)
                 reason.append(None if served else "MATCH_ONLY_UNVERIFIED" if hits else "NO_MATCHING_VERSION")
-                candidates.append(served or sorted(v[4] for v in hits))
+                candidates.append(served or [i for i, _ in hits])
             asked = batch.filter(batch.column("asks"))
             out = [pa.array(status, pa.string()), pa.array(version, id_type), pa.array(reason, pa.string()), pa.array(candidates, pa.list_(id_type))]
             yield pa.RecordBatch.from_arrays([*(asked.column(c) for c in answer), *out], names=[*answer, "status", "version_id", "reason", "candidates"])
@@ -110,34 +111,53 @@ def _sweep_questions(keys: list[str], answer: list[str], id_type: pa.DataType):
     return run
 
 
-def resolve(questions: DataFrame, versions: DataFrame, question_id: str = "question_id", keys: tuple[str, ...] = ("provision_id",), hot_versions: int = HOT_VERSIONS) -> DataFrame:
+def resolve(questions: DataFrame, versions: DataFrame, question_id: str = "question_id", keys: tuple[str, ...] = ("provision_id",), crowded_versions: int = CROWDED_VERSIONS, hot_versions: int = HOT_VERSIONS) -> DataFrame:
     """Answer each question (keys, valid_at, known_at): resolved, conflict or unknown, never a guess.
 
     ``versions`` has the keys, version_id, valid_from, valid_to, known_from, known_to and, optionally, status and
     n_evidence. A version matches if both its intervals contain the question's points; it counts if it may be
     served and has evidence. One that counts: resolved. Several: conflict, with their ids. None: unknown,
-    with the ids of those that match but do not count. A null key, date or instant matches nothing.
+    with the ids of those that match but do not count. A null key, date or instant matches nothing; repeated
+    questions are one, and so are repeated versions.
 
-    Versions and questions are dealt by key together, once, sorted by time and read in one pass that carries the
-    versions still open; nothing is joined, so a key of many versions costs its rows and its answers. Keys
-    with more than ``hot_versions`` versions are cut into tiles of time first.
+    Where no key has more than ``crowded_versions`` versions, they meet their questions in an equi-join on the keys with
+    the intervals as residual. Else versions and questions are dealt by key together, once, sorted by time and read in one
+    pass that carries the versions still open; nothing is joined, so a key of many versions costs its rows and its
+    answers. Keys with more than ``hot_versions`` versions are cut into tiles of time first.
     """
     counts = F.coalesce(F.col("n_evidence") > 0, F.lit(False)) if "n_evidence" in versions.columns else F.lit(True)
     if "status" in versions.columns:
         counts = counts & servable(F.col("status"))
     v = versions.filter("valid_from is not null and known_from is not null").select(*keys, "version_id", "valid_from", "valid_to", "known_from", "known_to", counts.alias("good"))
+    answer = list(dict.fromkeys((question_id, *keys, "valid_at", "known_at")))
+    crowded = v.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > crowded_versions)
+    if not crowded.isEmpty():
+        return _resolve_by_sweep(questions.select(*answer).distinct(), v, answer, keys, hot_versions)
+    on = contains(F.col("valid_from"), F.col("valid_to"), F.col("valid_at")) & contains(F.col("known_from"), F.col("known_to"), F.col("known_at"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"v_{k}"))
+    hit = questions.select(*answer).join(v.withColumnsRenamed({k: f"v_{k}" for k in keys}), on, "left")
+    out = hit.groupBy(*answer).agg(F.sort_array(F.collect_set(F.when(F.col("version_id").isNotNull(), F.struct("version_id", "good")))).alias("hits"))
+    good = F.transform(F.filter("hits", lambda h: h["good"]), lambda h: h["version_id"])
+    out = out.select(*answer, good.alias("served"), F.transform("hits", lambda h: h["version_id"]).alias("all"))
+    n = F.size("served")
+    status = F.when(n == 1, "resolved").when(n > 1, "conflict").otherwise("unknown")
+    reason = F.when(n > 0, None).when(F.size("all") > 0, "MATCH_ONLY_UNVERIFIED").otherwise("NO_MATCHING_VERSION")
+    return out.select(*answer, status.alias("status"), F.when(n == 1, F.col("served")[0]).alias("version_id"), reason.alias("reason"), F.when(n > 0, F.col("served")).otherwise(F.col("all")).alias("candidates"))
+
+
+def _resolve_by_sweep(questions: DataFrame, v: DataFrame, answer: list[str], keys: tuple[str, ...], hot_versions: int) -> DataFrame:
     spread, place = _tiles(v, keys, hot_versions)
-    answer = [c for c in dict.fromkeys((question_id, *keys, "valid_at", "known_at")) if c not in keys]
-    none = {c: F.lit(None).cast(questions.schema[c].dataType) for c in answer}
-    starts = spread(v).select(*keys, "tile", F.col("valid_from").alias("at"), F.lit(False).alias("asks"), "valid_to", F.col("known_from").alias("known"), "known_to", "good", "version_id", *[x.alias(c) for c, x in none.items()])
+    extra = [c for c in answer if c not in keys]
+    none = [F.lit(None).cast(questions.schema[c].dataType).alias(c) for c in extra]
+    starts = spread(v).select(*keys, "tile", F.col("valid_from").alias("at"), F.lit(False).alias("asks"), "valid_to", F.col("known_from").alias("known"), "known_to", "good", "version_id", *none)
     blank = {c: F.lit(None).cast(v.schema[c].dataType).alias(c) for c in ("valid_to", "known_to", "good", "version_id")}
-    asked = place(questions.select(*keys, *answer), "valid_at")
-    asked = asked.select(*keys, "tile", F.col("valid_at").alias("at"), F.lit(True).alias("asks"), blank["valid_to"], F.col("known_at").alias("known"), blank["known_to"], blank["good"], blank["version_id"], *answer)
+    asked = place(questions, "valid_at")
+    asked = asked.select(*keys, "tile", F.col("valid_at").alias("at"), F.lit(True).alias("asks"), blank["valid_to"], F.col("known_at").alias("known"), blank["known_to"], blank["good"], blank["version_id"], *extra)
     rows = starts.union(asked).repartition(*keys, "tile").sortWithinPartitions(*keys, "tile", "at", "asks")
-    kept = [question_id, *(k for k in keys if k != question_id), *(c for c in answer if c != question_id)]
     id_type = v.schema["version_id"].dataType
-    ddl = StructType([rows.schema[c] for c in kept]).add("status", "string").add("version_id", id_type).add("reason", "string").add("candidates", ArrayType(id_type))
-    return rows.mapInArrow(_sweep_questions([*keys, "tile"], kept, to_arrow_type(id_type)), ddl)
+    ddl = StructType([rows.schema[c] for c in answer]).add("status", "string").add("version_id", id_type).add("reason", "string").add("candidates", ArrayType(id_type))
+    return rows.mapInArrow(_sweep_questions([*keys, "tile"], answer, to_arrow_type(id_type)), ddl)
 
 
 def snapshot(versions: DataFrame, valid_at, known_at=None) -> DataFrame:

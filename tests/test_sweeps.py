@@ -36,15 +36,15 @@ def holds(v, valid_at, known_at):
 
 
 @pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("hot", [10**6, 5])
-def test_answers_equal_nested_loops(spark, kind, hot):
+@pytest.mark.parametrize("crowded, hot", [(10**6, 10**6), (5, 10**6), (5, 5)])
+def test_answers_equal_nested_loops(spark, kind, crowded, hot):
     ddl, spell = KINDS[kind]
     rng = random.Random(kind)
     versions = versions_of(rng, 300, spell)
     questions = [(k, rng.choice(["a", "b", "c", "d", None]), rng.randint(1, 2), None if k % 29 == 5 else spell(rng.randint(-5, 80)), None if k % 31 == 7 else spell(rng.randint(-5, 70))) for k in range(200)]
     v = spark.createDataFrame(versions, f"p string, r int, version_id string, valid_from {ddl}, valid_to {ddl}, known_from {ddl}, known_to {ddl}, status string, n_evidence int")
     q = spark.createDataFrame(questions, f"question_id long, p string, r int, valid_at {ddl}, known_at {ddl}").withColumn("at", F.lit("x"))
-    got = temporal.resolve(q, v, keys=("p", "r"), hot_versions=hot)
+    got = temporal.resolve(q, v, keys=("p", "r"), crowded_versions=crowded, hot_versions=hot)
     assert got.columns == ["question_id", "p", "r", "valid_at", "known_at", "status", "version_id", "reason", "candidates"]
     want = []
     for i, p, r, valid, known in questions:
