@@ -328,17 +328,15 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
 
     Rounds of hubs: a group's hub is compared with the group's other nodes, nodes that turn out linked are one
     component from then on, and the hub leaves the group, as all its pairs are known. Pairs are only made between
-    different components that can still reach the similarity. A group is done once it lies within one component.
-    The first hub is the node whose shingles are the most frequent, the likely original of a family of copies;
-    later ones are nodes of the smallest components.
+    nodes of one group in different components that can still reach the similarity. A group is done once the rest of
+    it lies within one component. The first hub is the node whose shingles are the most frequent, the likely original of a
+    family of copies; later ones are nodes of the smallest components, one for each of a round's salts.
     """
     first = groups.filter("node <> hub").filter(_may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
     pairs = _unordered("hub", "node", first)
     links = new = _links(pairs, owners, docs)
     before = None  # labels and open rows of the round before
-    # all groups of one hub are one group from here on: its pairs include theirs, and a family is there only once
-    merged = groups.filter("node <> hub").select(F.xxhash64("hub", "one").alias("sig"), "node", "n", "r", "one").distinct()
-    open_rows, hubs = materialize(merged, "ngram-merged"), HUBS
+    open_rows, hubs = groups.filter("node <> hub").select("sig", "node", "n", "r", "one"), HUBS
     while True:
         labels = connected_components(links)
         discard(new)
@@ -350,8 +348,8 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
         discard(*(before or ()))
         if placed.isEmpty():
             return labels
-        chosen = placed.withColumn("k", F.expr("row_number() over (partition by sig order by size, node)")).filter(F.col("k") <= hubs)
-        chosen = materialize(chosen, "ngram-hubs")
+        least = F.min(F.struct("size", "node", "n", "r", "root")).alias("hub")
+        chosen = materialize(placed.groupBy("sig", F.pmod(F.hash("node"), F.lit(hubs)).alias("salt")).agg(least).select("sig", "hub.*"), "ngram-hubs")
         hub = chosen.select("sig", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "r", "root")))
         met = placed.join(hub, "sig").filter((F.col("root") != F.col("hub_root")) & _may_link(F.col("n"), F.col("r"), F.col("hub_n"), F.col("hub_r"), F.col("one")))
         fresh = _unordered("hub_node", "node", met)
