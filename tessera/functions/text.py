@@ -1,8 +1,8 @@
 """Scalar text functions over columns: folding, tokens, keys, numbers, dates, HTML.
 
 All are built-in expressions and stay in generated code. Spark has no Unicode normalisation, so folding maps
-every precomposed Latin letter by a table built from ``unicodedata``; ``nfc`` and ``nfd`` give the exact forms
-for other text as Arrow functions.
+every precomposed Latin letter, and ``nfc`` composes letters and marks, by tables built from ``unicodedata``;
+``nfc_exact`` and ``nfd`` are Arrow functions.
 """
 
 from __future__ import annotations
@@ -53,6 +53,84 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(strip_marks(c), "Đđ", "dd"))
 
 
+#: Characters whose normal form is another single character lie in here, as a pattern's class has it.
+_SINGLES = r"\x{0340}-\x{0343}\x{0374}\x{037E}\x{0387}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{F900}-\x{FAD9}\x{2F800}-\x{2FA1D}"
+
+
+@cache
+def _composition():
+    """Tables of the normal form: for each mark the letters that compose with it and what they become; the marks, and
+    letters in the order of their classes; letters that are composed themselves with what they consist of; and
+    single characters that another one stands for, with that one."""
+    pairs, whole, classes, singles = {}, {}, {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if rank := unicodedata.combining(c):
+            classes[c] = chr(0x100 + rank)
+        parts = unicodedata.decomposition(c).split()
+        if not parts or parts[0].startswith("<"):
+            continue
+        form = unicodedata.normalize("NFC", c)
+        if form == c and len(parts) == 2:
+            a, b = (chr(int(x, 16)) for x in parts)
+            if unicodedata.combining(b) and not unicodedata.combining(a):
+                pairs.setdefault(b, []).append((a, c))
+                whole[c] = unicodedata.normalize("NFD", c)
+        elif len(form) == 1 and form != c:
+            singles[c] = form
+    by_mark = [(m, *map("".join, zip(*found))) for m, found in sorted(pairs.items(), key=lambda x: -len(x[1]))]
+    return by_mark, ("".join(classes), "".join(classes.values())), whole, ("".join(singles), "".join(singles.values()))
+
+
+def nfc(c: Column) -> Column:
+    """Text in its composed normal form: a letter and the marks behind it become one character where there is one.
+
+    Texts without a combining mark or a character that another one stands for, found by one search, are
+    returned as they are. Left as they are: marks of class 0, which a few Indic letters consist of, conjoining Hangul letters,
+    and the characters that the form takes apart; ``nfc_exact`` knows these.
+    """
+    by_mark, (marks, ranks), whole, (source, target) = _composition()
+
+    def table(entries):  # a constant to the planner
+        return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries)), F.lit("\x01"), F.lit("\x02"))
+
+    def with_mark(letter: Column, mark: Column) -> Column:
+        letters, becomes = table((m, a) for m, a, _ in by_mark), table((m, b) for m, _, b in by_mark)
+        return bound(F.instr(F.coalesce(F.element_at(letters, mark), F.lit("")), letter), lambda k: F.when(k > 0, F.substring(F.element_at(becomes, mark), k, F.lit(1))).otherwise(letter))
+
+    def apart(letter: Column) -> Column:
+        return F.coalesce(F.element_at(table(whole.items()), F.substring(letter, 1, 1)), F.substring(letter, 1, 1))
+
+    def composed(letter: Column) -> Column:
+        # a letter that is composed already is taken apart; plain ones are most, and cost nothing
+        plain = F.when(F.ascii(letter) < 128, letter).otherwise(F.concat(apart(letter), F.substr(letter, F.lit(2))))
+
+        def fold_marks(chars: Column) -> Column:
+            ranked = F.transform(F.slice(chars, 2, F.size(chars)), lambda m, i: F.struct(F.translate(m, marks, ranks).alias("rank"), i.alias("i"), m.alias("mark")))
+
+            def step(done: Column, m: Column) -> Column:
+                free = (done["rest"] == "") | (done["last"] < m["rank"])
+
+                def joined(one: Column) -> Column:
+                    fits = one != done["letter"]
+                    return F.struct(one.alias("letter"), F.when(fits, done["rest"]).otherwise(F.concat(done["rest"], m["mark"])).alias("rest"), F.when(fits, done["last"]).otherwise(m["rank"]).alias("last"))
+
+                return bound(F.when(free, with_mark(done["letter"], m["mark"])).otherwise(done["letter"]), joined)
+
+            start = F.struct(F.element_at(chars, 1).alias("letter"), F.lit("").alias("rest"), F.lit("").alias("last"))
+            fold = lambda m: F.when(~F.exists(m, lambda x: x["rank"] == x["mark"]), F.aggregate(m, start, step, lambda d: F.concat(d["letter"], d["rest"])))
+            return F.coalesce(bound(F.array_sort(ranked), fold), letter)
+
+        return bound(F.split(plain, ""), fold_marks)
+
+    def compose(t: Column) -> Column:
+        letters = F.transform(F.regexp_extract_all(t, F.lit(r"(\P{M}\p{M}+)"), F.lit(1)), composed)
+        return F.array_join(F.flatten(F.zip_with(F.split(t, r"\P{M}\p{M}+"), letters, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
+    single = F.replace(F.translate(c, source, target), F.lit("\u0344"), F.lit("\u0308\u0301"))
+    return F.when(c.rlike(rf"[\p{{M}}{_SINGLES}]"), bound(single, compose)).otherwise(c)
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits."""
     return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
@@ -79,8 +157,8 @@ def citation_key(c: Column) -> Column:
 
 
 def compact(c: Column) -> Column:
-    """Without white space, in upper case; marks are kept."""
-    return F.upper(F.regexp_replace(c, WS + "+", ""))
+    """In normal form, without white space, in upper case; marks are kept."""
+    return F.upper(F.regexp_replace(nfc(c), WS + "+", ""))
 
 
 def collapse(c: Column) -> Column:
@@ -88,8 +166,8 @@ def collapse(c: Column) -> Column:
 
 
 def normalise_line(c: Column) -> Column:
-    """Runs of blanks as one blank, none at either end."""
-    return F.trim(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "))
+    """In normal form, runs of blanks as one blank, none at either end."""
+    return F.trim(F.regexp_replace(nfc(c), r"[ \t\x{00A0}]+", " "))
 
 
 def running_key(c: Column) -> Column:
@@ -99,7 +177,7 @@ def running_key(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """The ASCII letters and digits of a number, lower case, 40 at most; ``vanban`` if there are none."""
-    kept = F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), 1, 40)
+    kept = F.substring(F.regexp_replace(F.lower(nfc(c)), "[^a-z0-9]", ""), 1, 40)
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit("vanban"))
 
 
@@ -110,7 +188,7 @@ def _number(text: Column) -> Column:
 
 def heading_article_number(c: Column) -> Column:
     """Article number at the start of a heading; a word character of ASCII after it makes it none."""
-    return _number(F.nullif(F.regexp_extract(c, r"^Điều" + WS + r"+([0-9]+)(?![0-9A-Za-z_])", 1), F.lit("")))
+    return _number(F.nullif(F.regexp_extract(nfc(c), r"^Điều" + WS + r"+([0-9]+)(?![0-9A-Za-z_])", 1), F.lit("")))
 
 
 def own_article_number(c: Column) -> Column:
@@ -186,9 +264,9 @@ def html_to_text(c: Column) -> Column:
 
 
 def plain_text(c: Column) -> Column:
-    """Text of a page: scripts, styles and tags as blanks, white space collapsed."""
+    """Text of a page in normal form: scripts, styles and tags as blanks, white space collapsed."""
     out = F.regexp_replace(F.regexp_replace(c, r"(?s)<script.*?</script>", " "), r"(?s)<style.*?</style>", " ")
-    return collapse(F.replace(F.regexp_replace(out, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" ")))
+    return nfc(collapse(F.replace(F.regexp_replace(out, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" "))))
 
 
 def subject_of(c: Column) -> Column:
@@ -232,7 +310,7 @@ def _normaliser(form: str):
     return run
 
 
-def nfc(c: Column) -> Column:
+def nfc_exact(c: Column) -> Column:
     return _normaliser("NFC")(c)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.functions.text import bound, words
+from tessera.functions.text import bound, nfc, words
 
 #: Lines of a side at most; longer texts are refused, not cut.
 MAX_LINES = 2_000
@@ -70,12 +70,12 @@ def chunk_counts(chunks: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    """Multiset similarity of two texts' lower-case words: 2 * common / (all of both); 1 if both have none.
+    """Multiset similarity of two texts' words, in normal form and lower case: 2 * common / (all of both); 1 if both have none.
 
     Both sides' words are sorted and merged within the row, so the cost grows with the number of words and not
     with its square, and there is neither explode nor join.
     """
-    wa, wb = (F.sort_array(words(F.lower(F.coalesce(t, F.lit(""))))) for t in (a, b))
+    wa, wb = (F.sort_array(words(F.lower(nfc(F.coalesce(t, F.lit("")))))) for t in (a, b))
 
     def similarity(s: Column) -> Column:
         total = F.size(s["a"]) + F.size(s["b"])
@@ -96,7 +96,7 @@ def dice(a: Column, b: Column) -> Column:
 
 def dice_by_counts(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, similarity) for long texts: words are exploded and counted, cost linear in the number of words."""
-    side = lambda c, name: pairs.select(key, F.explode(words(F.lower(F.coalesce(F.col(c), F.lit(""))))).alias("w")).groupBy(key, "w").agg(F.count("*").alias(name))
+    side = lambda c, name: pairs.select(key, F.explode(words(F.lower(nfc(F.coalesce(F.col(c), F.lit("")))))).alias("w")).groupBy(key, "w").agg(F.count("*").alias(name))
     both = side(a, "na").join(side(b, "nb"), [key, "w"], "full_outer")
     na, nb = F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))
     sums = both.groupBy(key).agg(F.sum(F.least(na, nb)).alias("common"), F.sum(na + nb).alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import WS, gazette_article_number, html_to_text, iso_from_day_month_year, plain_text, running_key, slug
+from tessera.functions.text import WS, gazette_article_number, html_to_text, iso_from_day_month_year, nfc, normalise_line, plain_text, running_key, slug
 
 # How structural lines and the start of an annex are written.
 CHAPTER = r"^Chương\s+[IVXLCDM]+(\s+[^\p{Ll}]+)?$"
@@ -28,10 +28,10 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def join_fragments(fragments: DataFrame) -> DataFrame:
     """Lines from positioned fragments (doc_id, page, x, y, font_size, text): a line per rounded baseline, top
-    down, its fragments in order of x and joined as they are."""
+    down, its fragments in order of x, joined as they are and then normalised."""
     g = fragments.groupBy("doc_id", "page", F.round("y").alias("y"))
     out = g.agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("f"), F.min("x").alias("x"), F.max("font_size").alias("font_size"))
-    text = F.trim(F.regexp_replace(F.array_join(F.col("f")["text"], ""), r"[ \t\x{00A0}]+", " "))
+    text = normalise_line(F.array_join(F.col("f")["text"], ""))
     w = Window.partitionBy("doc_id").orderBy("page", F.desc("y"))
     return out.withColumn("text", text).filter("text <> ''").withColumn("ord", F.row_number().over(w)).drop("f")
 
@@ -172,8 +172,8 @@ def propose_applicability(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first line is taken for the heading. Conditions await review.
     """
-    scope = versions.filter(F.col("heading").rlike("(?iu)Đối tượng áp dụng"))
-    lines = scope.select("provision_id", "version_id", F.posexplode(F.slice(F.split("text", "\n"), 2, 1_000_000)).alias("k", "line"))
+    scope = versions.filter(nfc(F.col("heading")).rlike("(?iu)Đối tượng áp dụng"))
+    lines = scope.select("provision_id", "version_id", F.posexplode(F.slice(F.split(nfc(F.col("text")), "\n"), 2, 1_000_000)).alias("k", "line"))
     hit = lines.withColumn("no", F.regexp_extract(F.trim("line"), r"^([0-9]+)[.)]\s+(.+)$", 1)).withColumn("condition", F.regexp_extract(F.trim("line"), r"^([0-9]+)[.)]\s+(.+)$", 2)).filter("no <> ''")
     subject = F.array_join(F.slice(F.split(F.regexp_replace("condition", "[.;]$", ""), WS + "+"), 1, 8), " ")
     conditions = hit.select(F.concat(F.lit("cond_"), "version_id", F.lit("_k"), "no").alias("condition_id"), "provision_id", subject.alias("subject"), "condition", F.lit(True).alias("applies"), F.lit("under_review").alias("status"))

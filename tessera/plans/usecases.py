@@ -341,3 +341,17 @@ def field_predicates(spark, sf_dir):
         checks.is_https_url(pick(5, F.concat(F.lit("http://a.org/"), number), F.lit("https:///x"), F.concat(F.lit("https://a.org/"), number), F.lit("https://a.org"), F.concat(F.lit("https://a.org?q="), number))).alias("url"),
         checks.is_safe_path(pick(6, F.concat(F.lit("a/b"), number), F.lit("a/../b"), F.lit("/a"), F.lit("a\\b"), F.lit("C:/a"), F.lit("a//b"))).alias("path"), at["article"].alias("article"), at["valid_at"].alias("valid_at"),
     )
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, nfc_normalize(replace(coalesce(text, ''), 'ß', 'ss')) || ' Điều ' || (doc_id % 90 + 1) || '. Đối tượng é' AS t FROM documents)
+SELECT doc_id, sha256(t) AS nfc, sha256(upper(regexp_replace(t, '{WS_SQL}', '', 'g'))) AS compact, sha256(trim(regexp_replace(t, '[ \\t\\x{{00A0}}]+', ' ', 'g'))) AS line,
+  CASE WHEN left(regexp_replace(lower(t), '[^a-z0-9]', '', 'g'), 40) = '' THEN 'vanban' ELSE left(regexp_replace(lower(t), '[^a-z0-9]', '', 'g'), 40) END AS slug, doc_id % 90 + 1 AS heading_no, 1.0::DOUBLE AS similarity FROM d""")
+def normal_forms(spark, sf_dir):
+    """Keys, lines, numbers and similarities of whole texts, of which every third is spelled with separate marks."""
+    whole = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("ss")), F.lit(" Điều "), F.col("doc_id") % 90 + 1, F.lit(". Đối tượng é"))
+    d = table(spark, sf_dir, "documents").select("doc_id", whole.alias("t"))
+    d = d.withColumn("apart", F.when(F.col("doc_id") % 3 == 0, text.nfd(F.when(F.col("doc_id") % 3 == 0, F.col("t")))).otherwise(F.col("t")))
+    heading = F.regexp_extract("apart", "[^ ]+ [0-9]+[.][^.]*$", 0)
+    digests = (("nfc", text.nfc), ("compact", text.compact), ("line", text.normalise_line))
+    return d.select("doc_id", *[F.sha2(f(F.col("apart")), 256).alias(n) for n, f in digests], text.slug(F.col("apart")).alias("slug"), text.heading_article_number(heading).alias("heading_no"), compare.dice(F.col("t"), F.col("apart")).alias("similarity"))
