@@ -328,7 +328,7 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
 
     Rounds of hubs: a group's hub is compared with the group's other nodes, nodes that turn out linked are one
     component from then on, and the hub leaves the group, as all its pairs are known. Pairs are only made between
-    nodes of one group in different components that can still reach the similarity. A group is done once the rest of
+    nodes of one group (after the first round, of groups with the same two first nodes) in different components that can still reach the similarity. A group is done once the rest of
     it lies within one component. The first hub is the node whose shingles are the most frequent, the likely original of a
     family of copies; later ones are nodes of the smallest components, one for each of a round's salts.
     """
@@ -336,7 +336,13 @@ def _components_of_groups(groups: DataFrame, owners: DataFrame, docs: DataFrame)
     pairs = _unordered("hub", "node", first)
     links = new = _links(pairs, owners, docs)
     before = None  # labels and open rows of the round before
-    open_rows, hubs = groups.filter("node <> hub").select("sig", "node", "n", "r", "one"), HUBS
+    # A family of near copies shares many signatures, and its hub with them: what is left of groups that have the same
+    # two first nodes becomes one group, so that a family is there a few times and not once a signature. Groups of
+    # which one node is left have no more pairs.
+    rest = groups.filter("node <> hub")
+    second = rest.groupBy("sig").agg(F.min("node").alias("second"), F.count("*").alias("left")).filter("left > 1").select("sig", "second")
+    merged = rest.join(second, "sig").select(F.xxhash64("hub", "second", "one").alias("sig"), "node", "n", "r", "one").distinct()
+    open_rows, hubs = materialize(merged, "ngram-merged"), HUBS
     while True:
         labels = connected_components(links)
         discard(new)

@@ -1,0 +1,27 @@
+"""Documents that each share a shingle with one long document and nothing with one another make no pairs of their own."""
+
+import pytest
+from pyspark.sql import DataFrame
+
+from tessera.llm import ngram_join
+
+
+@pytest.mark.parametrize("n, each", [(60, 1), (60, 2)])
+def test_stars_make_pairs_in_proportion(spark, monkeypatch, n, each):
+    """With ``each`` documents at every shingle of the long one, pairs grow with the documents."""
+    made = []
+    plain = ngram_join._links
+
+    def counted(pairs: DataFrame, *rest):
+        made.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    spans = [" ".join(f"s{k}w{j}" for j in range(5)) for k in range(n)]
+    rows = [(0, " ".join(spans))]
+    for k, span in enumerate(spans):
+        rows += [(1 + k * each + c, span + "".join(f" own{k}c{c}x{j}" for j in range(1 + c))) for c in range(each)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = got.collect()
+    assert len(found) == len(rows) and len({r["component_id"] for r in found}) == len(rows)
+    assert sum(made) <= n * each * 2
