@@ -147,7 +147,7 @@ def lzw_decode(data: bytes, limit: int) -> bytes:
             entry = last + last[:1]
         else:
             raise ValueError("LZW code out of range")
-        if last:
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
         out.append(entry)
         size += len(entry)
@@ -229,6 +229,8 @@ def encode_tiff(payload: bytes) -> bytes:
 
 #: Bytes that one byte of a strip or tile can unpack to at most.
 EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
+#: Bytes of a page at most; a task holds a page as a whole, so larger ones are refused in an error row.
+PAGE_BYTES = 1 << 28
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
@@ -250,8 +252,9 @@ def decode_tiff(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(width, height, samples per pixel, samples) of each page: 8-bit samples, pixel by pixel, row by row.
 
     Walks the chain of image directories of either byte order. ValueError tells what is wrong with a malformed
-    file: a chain that comes back to itself, missing or impossible values, and more pixels than the bytes that
-    are there can hold (EXPANSION times as many), so a small file never takes much memory.
+    file: a chain that comes back to itself, missing or impossible values, strips or tiles that hold fewer bytes
+    than their header says (EXPANSION times their packed size at most), and pages of over PAGE_BYTES. Memory goes
+    to bytes that were unpacked and not to sizes in headers, and to one page at a time.
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -284,20 +287,24 @@ def decode_tiff(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         if len(offsets) < per_row * per_column or len(counts) < per_row * per_column:
             raise ValueError("strips or tiles are missing")
         pixels, padded = width * height * samples, per_column * down * per_row * across * samples
-        if pixels > EXPANSION.get(scheme, 1) * len(data) or padded > 4 * pixels + (4 << 20):
+        places = [(o, min(c, max(0, len(data) - o))) for o, c in zip(offsets[: per_row * per_column], counts)]
+        if pixels > EXPANSION.get(scheme, 1) * sum(n for _, n in places) or padded > 4 * pixels + (4 << 20):
             raise ValueError("more pixels than the file can hold")
-        image = np.zeros((per_column * down, per_row * across, samples), np.uint8)
-        for k, (offset, count) in enumerate(zip(offsets[: per_row * per_column], counts)):
-            y, x = k // per_row * down, k % per_row * across
+        if padded > PAGE_BYTES:
+            raise ValueError("a page is too large")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} is not supported")
+        bands = []
+        for y in range(0, height, down):
             rows = down if TILE_OFFSETS in fields else min(down, height - y)
-            raw = _unpacked(data[offset : offset + count], scheme, rows * across * samples)
-            piece = np.frombuffer(raw, np.uint8, rows * across * samples).reshape(rows, across, samples)
-            if predictor == 2:
-                piece = np.cumsum(piece, axis=1, dtype=np.uint8)
-            elif predictor != 1:
-                raise ValueError(f"predictor {predictor} is not supported")
-            image[y : y + rows, x : x + across] = piece
-        yield width, height, samples, image[:height, :width].tobytes()
+            pieces = []
+            for offset, count in places[y // down * per_row :][:per_row]:
+                raw = _unpacked(data[offset : offset + count], scheme, rows * across * samples)
+                piece = np.frombuffer(raw, np.uint8).reshape(rows, across, samples)
+                pieces.append(np.cumsum(piece, axis=1, dtype=np.uint8) if predictor == 2 else piece)
+            band = pieces[0] if per_row == 1 else np.concatenate(pieces, axis=1)
+            bands.append(band[: height - y, :width].tobytes())
+        yield width, height, samples, b"".join(bands)
         at = following
 
 
@@ -332,7 +339,8 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page: the other columns of ``media`` with page (from 0), width, height, samples, error.
 
     Pages of one file follow one another. A file that cannot be read gives a row with page null and the reason
-    in ``error``, after the pages before the fault; null media give no rows.
+    in ``error``, after the pages before the fault; null media give no rows. Pages are handed on as they come, so a
+    file of many pages needs no more memory than some of them.
     """
     keep = [f for f in media.schema.fields if f.name not in (media_col, "page", "width", "height", "samples", "error")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "page int", "width int", "height int", "samples binary", "error string"])
@@ -346,7 +354,7 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
             size = 0
 
             def pack(batch=batch):
-                kept = batch.select(names).take(pa.array(rows, pa.int64()))
+                kept = batch.select(names).take(pa.array(rows, pa.int64()))  # rows and pages as they are by then
                 types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
                 return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(zip(*pages), types))], names=[*names, "page", "width", "height", "samples", "error"])
 
@@ -359,12 +367,12 @@ def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
                         rows.append(k)
                         pages.append((page, width, height, samples, None))
                         size += len(samples)
-                except (ValueError, struct.error, zlib.error) as error:
+                        if size > limit:
+                            yield pack()
+                            rows, pages, size = [], [], 0
+                except (ValueError, struct.error, zlib.error, MemoryError) as error:
                     rows.append(k)
-                    pages.append((None, None, None, None, str(error)))
-                if size > limit:
-                    yield pack()
-                    rows, pages, size = [], [], 0
+                    pages.append((None, None, None, None, str(error) or type(error).__name__))
             if rows:
                 yield pack()
 
