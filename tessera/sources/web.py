@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,21 +70,22 @@ def parse_robots(files: DataFrame, host_col: str = "host", text_col: str = "text
 
 
 def _rules(text: str) -> list[tuple[str, str | None, bool | None]]:
+    """Agents on neighbouring lines share the rules that follow; any other field ends their list, lines without a
+    field and comments do not."""
     out: list[tuple] = []
     agents: list[str] = []
-    in_rules = False
-    for line in text.splitlines():
-        name, _, value = line.split("#", 1)[0].partition(":")
+    naming = False
+    for line in re.split(r"\r?\n", text):
+        name, colon, value = line.split("#", 1)[0].partition(":")
         name, value = name.strip().lower(), value.strip()
+        if not colon:
+            continue
         if name == "user-agent":
-            if in_rules:
-                agents, in_rules = [], False
-            agents.append(value.lower())
+            agents = [*agents, value.lower()] if naming else [value.lower()]
             out.append((agents[-1], None, None))
-        elif name in ("allow", "disallow") and agents:
-            in_rules = True
-            if value:
-                out += [(a, value, name == "allow") for a in agents]
+        elif name in ("allow", "disallow") and value:
+            out += [(a, value, name == "allow") for a in agents]
+        naming = name == "user-agent"
     return out
 
 
@@ -118,14 +120,15 @@ def too_fast(fetches: DataFrame, min_seconds: float = 2.0) -> DataFrame:
 def read_flight(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, chunks, metadata) of streamed page payloads: length-prefixed texts and the record's metadata object.
 
-    Lengths count UTF-8 bytes. The metadata is the smallest balanced JSON object around ``"docNum"``; it is
-    returned as text, null if there is none.
+    Marks of length-prefixed texts stand at the start of a line, with a number; lengths count UTF-8 bytes. The metadata
+    is the innermost balanced object around the first ``"docNum"`` that is JSON and has the fields of a record
+    (see ``is_record``); it is returned as text, null if there is none.
     """
     kind = payloads.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            yield pd.DataFrame({"id": batch["id"], "chunks": [_chunks(t or "") for t in batch["text"]], "metadata": [_object_around(t or "", '"docNum"') for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "chunks": [_chunks(t or "") for t in batch["text"]], "metadata": [_object_around(t or "", '"docNum"', is_record) for t in batch["text"]]})
 
     return payloads.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, chunks array<string>, metadata string").withColumnRenamed("id", id_col)
 
@@ -133,38 +136,60 @@ def read_flight(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _chunks(text: str) -> list[str]:
     raw = text.encode()
     out = []
-    for m in re.finditer(rb"[0-9a-f]+:T([0-9a-f]+),", raw):
+    for m in re.finditer(rb"(?:^|\n)[0-9]+:T([0-9a-f]+),", raw):
         size = int(m[1], 16)
         if size and m.end() + size <= len(raw):
             out.append(raw[m.end() : m.end() + size].decode("utf-8", "replace"))
     return out
 
 
-def _object_around(text: str, mark: str, tries: int = 64) -> str | None:
-    """The innermost balanced object around ``mark`` that ends behind it."""
+#: Fields of a record's metadata: longest text, and whether it must be there (fixed values).
+RECORD_FIELDS = {"docNum": (256, True), "title": (2048, True), "id": (128, False), "key": (128, False)}
+RECORD_DATES = ("effFrom", "effTo", "issueDate")
+
+
+def is_record(text: str) -> bool:
+    """JSON object whose known fields have their types and lengths; others do not matter."""
+    try:
+        record = json.loads(text)
+    except ValueError:
+        return False
+    for name, (longest, needed) in RECORD_FIELDS.items():
+        if (needed or name in record) and not (isinstance(record.get(name), str) and 1 <= len(record[name]) <= longest):
+            return False
+    status = record.get("effStatus")
+    if not all(record.get(name) is None or isinstance(record[name], str) for name in RECORD_DATES) or not isinstance(status, dict | None):
+        return False
+    return status is None or "name" not in status or isinstance(status["name"], str) and len(status["name"]) <= 256
+
+
+def _balanced(text: str, start: int) -> int:
+    """Where the object that opens at ``start`` ends, -1 if it does not."""
+    depth, quoted, escaped = 0, False, False
+    for end in range(start, len(text)):
+        c = text[end]
+        if quoted:
+            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+        elif c == '"':
+            quoted = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return end + 1
+    return -1
+
+
+def _object_around(text: str, mark: str, fits: Callable[[str], bool], tries: int = 64) -> str | None:
+    """The innermost object around the first ``mark`` that ``fits``, of the first ``tries`` that may be."""
     at = text.find(mark)
     start = at
     for _ in range(tries if at >= 0 else 0):
-        start = text.rfind("{", 0, start)
+        start = text.rfind("{", 0, max(start, 0))
         if start < 0:
             return None
-        depth, quoted, escaped = 0, False, False
-        for end in range(start, len(text)):
-            c = text[end]
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = quoted
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if depth == 0:
-                    break
-        else:
-            continue
-        if end > at:
-            return text[start : end + 1]
+        end = _balanced(text, start)
+        if end > at and fits(text[start:end]):
+            return text[start:end]
     return None
 
 

@@ -130,6 +130,26 @@ def test_robots(spark):
     assert got("special")[2] is False
 
 
+def test_robots_agents_end_at_any_field(spark):
+    text = "User-agent: a\r\nCrawl-delay: 5\nUser-agent: b\nno field here\n# note\n\nUser-agent: C # also\nDisallow: /x\nDisallow:\nSitemap: s\nUser-agent: d\nAllow: /x\n"
+    rules = web.parse_robots(spark.createDataFrame([("h", text)], "host string, text string"))
+    assert sorted((r["agent"], r["pattern"], r["allow"]) for r in rules.filter("pattern is not null").collect()) == [("b", "/x", False), ("c", "/x", False), ("d", "/x", True)]
+    assert {r["agent"] for r in rules.collect()} == {"a", "b", "c", "d"}
+
+
+def test_payload_marks_and_records(spark):
+    inner = '{"docNum":"1/2020","no":"title"}'
+    record = '{"title":"A","key":"k","effStatus":{"name":"in force"},"extra":[1],"more":' + inner + ',"docNum":"2/2020"}'
+    rows = [
+        (1, "0:T3,abc\n1:Tzz,abc\n2:T4,\u00e9\u00e9 see 7:T3,xyz\na:T3,xyz\n3:Tff,short\n" + record), (2, '{"docNum":5,"title":"A"}'), (3, '{"docNum":"1","title":""}'),
+        (4, '{"x":{"docNum":"1","title":"A","effFrom":7}}'), (5, '{"docNum":"1","title":"A","effFrom":null,"id":"i"}'), (6, '{"docNum":"1","title":"A"'), (7, None), (8, '{ not json {"docNum":"1","title":"A \\" }"} }'),
+    ]
+    got = {r["id"]: r for r in web.read_flight(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
+    assert list(got[1]["chunks"]) == ["abc", "\u00e9\u00e9"] and got[1]["metadata"] == record
+    assert [got[k]["metadata"] for k in (2, 3, 4, 6, 7)] == [None] * 5
+    assert got[5]["metadata"] == rows[4][1] and got[8]["metadata"] == '{"docNum":"1","title":"A \\" }"}'
+
+
 def test_links(spark):
     html = '<a href="/b">x</a><a href="c?x=1&amp;y=2">x</a><a href="https://other.org/d">x</a><a href="e#f">x</a><a href="mailto:x@y">m</a><loc>https://h.org/b</loc><lastmod>2024</lastmod><loc>https://h.org/z</loc>'
     got = web.discover_links(spark.createDataFrame([(1, "https://h.org/a/p", html), (2, "https://h.org/", None)], "id int, url string, html string"), "id", "url", "html")
@@ -138,9 +158,9 @@ def test_links(spark):
 
 def test_flight_and_relations(spark):
     html = "<p class='x'>Điều 1</p>"
-    flight = '0:["a"]\n1:{"x":{"docNum":"1/2020","effFrom":"2020-03-01","n":{"a":"}"}}}\n2:T%x,%s' % (len(html.encode()), html)
+    flight = '0:["a"]\n1:{"x":{"docNum":"1/2020","title":"T","effFrom":"2020-03-01","n":{"a":"}"}}}\n2:T%x,%s' % (len(html.encode()), html)
     (r,) = web.read_flight(spark.createDataFrame([(1, flight)], "id int, text string"), "id", "text").collect()
-    assert list(r["chunks"]) == [html] and r["metadata"] == '{"docNum":"1/2020","effFrom":"2020-03-01","n":{"a":"}"}}'
+    assert list(r["chunks"]) == [html] and r["metadata"] == '{"docNum":"1/2020","title":"T","effFrom":"2020-03-01","n":{"a":"}"}}'
     payload = '1:{"documentNamesByType":{"10":[{"id":"d1","name":"A"}],"12":[{"id":"d2","name":"B"}],"3":[{"id":"d3","name":"C"}],"99":[{"id":"d4","name":"D"}]}}'
     known, unknown = web.relations(spark.createDataFrame([(1, payload)], "id int, text string"), "id", "text")
     assert {(x["relation"], x["target_document_id"]) for x in known.collect()} == {("amends", "d1"), ("replaces", "d2")}
