@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or, where that is unset and all
+    runs in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 STATUS = "element_at(array('verified', 'machine_checked', 'under_review', 'unverified'), cast(event_id % 4 as int) + 1)"
 
 

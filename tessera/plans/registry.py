@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import checks, text
-from tessera.operators import citations, compare, extract, graph, quality, references, search, sets, temporal
+from tessera.operators import citations, compare, extract, graph, quality, references, search, sets, temporal, text_index
 from tessera.plans import derive
 from tessera.plans.derive import EDGES_SQL, VERSIONS_SQL, table
 from tessera.sources import web
@@ -243,6 +243,16 @@ def bm25_topk_all(spark, sf_dir):
     return search.bm25(q, table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(ORACLES["bm25_topk_all"])
+def bm25_topk_indexed(spark, sf_dir):
+    """The same from a stored index of two segments."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "text"), derive.folder(spark, "index")
+    for k in (0, 1):
+        text_index.add_segment(d.filter(F.col("doc_id") % 2 == k), path, "doc_id", "text")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return text_index.Index(spark, path).search(q).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS no FROM documents
 ), h AS (SELECT doc_id, line, no, len(list_filter(['the', 'der', 'que', 'les'], lambda w: contains({FOLD_SQL.format("line")}, w))) AS hits FROM l
