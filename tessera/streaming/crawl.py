@@ -107,9 +107,10 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], size: str, late
 
 
 def sessions(events: DataFrame, ts: str, user: str, gap_seconds: int) -> DataFrame:
-    """Extension: sessions of each user: runs of events with gaps under ``gap_seconds``."""
+    """Extension: sessions of each user: runs of events with gaps under ``gap_seconds``. Times count in whole seconds,
+    rounded to the nearest one, halves to the even one."""
     w = Window.partitionBy(user).orderBy(ts)
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    seconds = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).cast("long")
     t = events.withColumn("__s", seconds)
     t = t.withColumn("__new", F.coalesce(F.col("__s") - F.lag("__s").over(w) >= gap_seconds, F.lit(True)).cast("int"))
     t = t.withColumn("session", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))

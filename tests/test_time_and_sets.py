@@ -267,3 +267,11 @@ def test_decoding(spark):
     assert [r["path"] for r in ok.collect()] == ["good"]
     assert {tuple(r) for r in issues.collect() if r["path"] != "broken"} == {("key", "UNKNOWN_KEY"), ("inner", "UNKNOWN_KEY"), ("twice", "DUPLICATE_ID"), ("other", "OTHER_RELEASE"), ("schema", "SCHEMA_VERSION")}
     assert releases.versions_of(ok).first()["valid_from"] == D(2024, 1, 1)
+
+
+def test_sessions_round_to_seconds(spark):
+    at = lambda s, us=0: T(2024, 1, 1) + dt.timedelta(seconds=s, microseconds=us)
+    # gaps in rounded seconds: 9 | 10 | 10 (a half down to 20, a half up to 10) | 9
+    rows = [(1, at(0, 600_000)), (1, at(10, 400_000)), (2, at(0, 400_000)), (2, at(9, 600_000)), (3, at(10, 500_000)), (3, at(19, 500_001)), (4, at(10, 500_001)), (4, at(20, 499_999))]
+    got = crawl.sessions(spark.createDataFrame(rows, "u int, ts timestamp_ntz"), "ts", "u", 10).groupBy("u").agg(F.count("*").alias("n"))
+    assert {r["u"]: r["n"] for r in got.collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
