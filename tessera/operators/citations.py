@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import bounded_batches
 from tessera.functions.text import citation_key, heading_article_number, match_band
 from tessera.operators.compare import dice
 from tessera.operators.temporal import resolve
@@ -44,9 +45,9 @@ def check(citations: DataFrame, versions: DataFrame) -> DataFrame:
     """
     found = lookup(citations, versions)
     texts = versions.select("version_id", "text")
-    out = found.join(texts, "version_id", "left")
+    out = bounded_batches(found.join(texts, "version_id", "left"))
     in_force = F.coalesce(F.col("status") == "resolved", F.lit(False))
     exists = in_force | (F.col("reason") == "ARTICLE_AMBIGUOUS") | F.coalesce(F.col("status") == "unknown", F.lit(False))
-    similarity = F.when(in_force & F.col("quote").isNotNull(), dice(F.col("quote"), F.col("text")))
+    similarity = dice(F.col("quote"), F.col("text"), in_force & F.col("quote").isNotNull())
     out = out.withColumn("similarity", similarity)
     return out.select("question_id", F.coalesce(exists, F.lit(False)).alias("exists"), in_force.alias("in_force"), "version_id", "similarity", match_band(F.col("similarity")).alias("band"), "reason")
