@@ -250,3 +250,38 @@ def test_search_covers_unlabelled_documents(spark, tmp_path):
     found = {name: [r["doc_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).orderBy("rank").collect()] for name in ("bm25_topk_all", "bm25_topk")}
     assert found["bm25_topk_all"] == [0]
     assert found["bm25_topk"] == [1]
+
+
+def test_blanks_are_collapsed_as_runs(spark):
+    import re
+
+    wide = "       　﻿ "
+    rng = random.Random(3)
+    ts = ["".join(rng.choice("ab é​⿿ \t\n\x0b\r" + wide) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    old = re.compile(f"[ \t\n\x0b\f\r{wide}]+")
+    assert column(spark, text.collapse, *ts) == [old.sub(" ", t).strip(" ") for t in ts]
+    assert column(spark, text.normalise_line, *ts) == [re.sub("[ \t ]+", " ", unicodedata.normalize("NFC", t)).strip(" ") for t in ts]
+
+
+def test_similarity_of_asked_rows_only(spark):
+    rng = random.Random(4)
+    side = lambda: " ".join(rng.choice(["É", "é", "a1", "٣", "x_y", "Đ", "ß", "-"]) for _ in range(rng.randint(0, 9)))
+    rows = spark.createDataFrame([(k, side(), side()) for k in range(80)] + [(80, None, "a"), (81, None, None)], "k int, a string, b string")
+    got = dict(rows.select("k", compare.dice(F.col("a"), F.col("b"), F.col("k") % 2 == 0)).collect())
+    want = dict(compare.dice_by_counts(rows, "k", "a", "b").collect())
+    assert {k for k, v in got.items() if v is None} == {k for k in want if k % 2}
+    assert all(v is None or abs(v - want[k]) < 1e-12 for k, v in got.items())
+
+
+def test_segments_deal_lines_once(spark):
+    rng = random.Random(6)
+    rows = [(d, rng.choice([1, 2, 3, None]), 595.0, 100.0, rng.choice([9.0, 12.0, 12.0, None]), k, rng.choice(["trang 1", "trang 2", "x", None, "Điều 1. a"])) for d in ("a", "b", "c") for k in range(30)]
+    lines = spark.createDataFrame(rows, "doc_id string, page int, page_width double, x double, font_size double, ord int, text string").cache()
+    sizes = {r["doc_id"]: r["font_size"] for r in extract.font_histogram(lines).filter("body").collect()}
+    assert {(r["doc_id"], r["body_size"]) for r in extract._body_size(lines).collect()} == set(sizes.items())
+    keys = {(r["doc_id"], r["key"]) for r in extract.running_lines(lines).collect()}
+    marked = extract._page_edges(lines).withColumn("key", text.running_key(F.col("text"))).filter("is_running").collect()
+    assert {(r["doc_id"], r["key"]) for r in marked} == {k for k in keys if k[1] is not None}
+    parts, _ = extract.segment_gazette(lines)
+    assert parts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert parts.count() == len(rows)
