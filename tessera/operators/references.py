@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tessera.functions.batches import bounded_batches
 from tessera.functions.text import compact, heading_article_number
 from tessera.operators.temporal import resolve
 
@@ -62,16 +65,16 @@ def extract_references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     Texts without any of the words a reference needs are filtered out before Python sees them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("Điều|Chương|số"))
+    out = to_arrow_schema(StructType([StructField("id", docs.schema[id_col].dataType), StructField("ord", IntegerType()), *StructType.fromDDL(SPAN_DDL)]))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [{"id": i, "ord": k, **s} for i, t in zip(batch["id"], batch["text"]) for k, s in enumerate(find_references(t))]
-            columns = ["id", "ord", *(f.split()[0] for f in SPAN_DDL.split(", "))]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({c: "Int32" for c in ("ord", "start", "end", "article", "clause")})
+            # one text at a time as a Python string; the spans of a batch are all that is kept
+            rows = [{"id": i.as_py(), "ord": k, **s} for i, t in zip(batch["id"], batch["text"]) for k, s in enumerate(find_references(t.as_py()))]
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("Điều|Chương|số"))
-    return texts.mapInPandas(run, f"id {kind}, ord int, {SPAN_DDL}").withColumnRenamed("id", id_col)
+    return bounded_batches(texts).mapInArrow(run, f"id {kind}, ord int, {SPAN_DDL}").withColumnRenamed("id", id_col)
 
 
 def resolve_references(spans: DataFrame, versions: DataFrame, documents_of: DataFrame) -> DataFrame:

@@ -285,3 +285,29 @@ def test_segments_deal_lines_once(spark):
     parts, _ = extract.segment_gazette(lines)
     assert parts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     assert parts.count() == len(rows)
+
+
+def test_whole_texts_go_to_python_in_bounded_batches(spark):
+    from tessera.functions.batches import BYTES, OUR_BYTES
+    from tessera.sources import web
+
+    was = spark.conf.get(BYTES, None)
+    try:
+        for read in (lambda d: references.extract_references(d, "k", "t"), lambda d: web.read_flight(d, "k", "t", with_text=True)):
+            spark.conf.unset(BYTES)
+            d = spark.createDataFrame([(1, "xem Điều 7 của Luật này"), (2, None), (3, "số")], "k int, t string")
+            out = read(d)
+            assert spark.conf.get(BYTES) == str(OUR_BYTES)
+            assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+            spark.conf.set(BYTES, "7")
+            read(d)
+            assert spark.conf.get(BYTES) == "7"
+        assert sorted((r["k"], r["text"], r["metadata"]) for r in out.collect()) == [(1, "xem Điều 7 của Luật này", None), (2, None, None), (3, "số", None)]
+    finally:
+        spark.conf.unset(BYTES) if was is None else spark.conf.set(BYTES, was)
+
+
+def test_payloads_are_read_without_a_join(spark):
+    p = spark.createDataFrame([(1, "no metadata")], "k int, t string")
+    drafts, refused = extract.draft_from_payloads(p, "k", "t")
+    assert "Join" not in drafts._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in refused.collect()] == [(1, "document", "METADATA_NOT_FOUND")]
