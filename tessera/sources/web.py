@@ -7,10 +7,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.batches import bounded_batches
 from tessera.functions.checks import host_allowed  # noqa: F401  (part of this module's interface)
 
 #: Links of one page at most.
@@ -117,8 +119,9 @@ def too_fast(fetches: DataFrame, min_seconds: float = 2.0) -> DataFrame:
     return fetches.withColumn("gap", gap).filter(F.col("gap") < min_seconds)
 
 
-def read_flight(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, chunks, metadata) of streamed page payloads: length-prefixed texts and the record's metadata object.
+def read_flight(payloads: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
+    """(id, chunks, metadata) of streamed page payloads: length-prefixed texts and the record's metadata object; the
+    whole payload as ``text`` too where it is asked for.
 
     Marks of length-prefixed texts stand at the start of a line, with a number; lengths count UTF-8 bytes. The metadata
     is the innermost balanced object around the first ``"docNum"`` that is JSON and has the fields of a record
@@ -126,11 +129,15 @@ def read_flight(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     kind = payloads.schema[id_col].dataType.simpleString()
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield pd.DataFrame({"id": batch["id"], "chunks": [_chunks(t or "") for t in batch["text"]], "metadata": [_object_around(t or "", '"docNum"', is_record) for t in batch["text"]]})
+            texts = [t.as_py() or "" for t in batch["text"]]
+            chunks = pa.array([_chunks(t) for t in texts], pa.list_(pa.string()))
+            metadata = pa.array([_object_around(t, '"docNum"', is_record) for t in texts], pa.string())
+            columns = {"id": batch["id"], "chunks": chunks, "metadata": metadata, **({"text": batch["text"]} if with_text else {})}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return payloads.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, chunks array<string>, metadata string").withColumnRenamed("id", id_col)
+    return bounded_batches(payloads).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, chunks array<string>, metadata string{', text string' if with_text else ''}").withColumnRenamed("id", id_col)
 
 
 def _chunks(text: str) -> list[str]:
