@@ -13,16 +13,25 @@ def trace(questions: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     """Edges that touch each question's provision, as source or target; with depth 2 also those that touch the
     source of such an edge. One row per (question_id, edge_id), with the depth at which it was met first.
 
-    ``edges`` has edge_id, source_id, target_id. Edges are laid out once by either end, so both hops are plain
-    equi-joins on that layout.
+    ``edges`` has edge_id, source_id, target_id; an id names one edge and each has a source; rows that repeat one
+    whole count once. With depth 2 an edge that touches the provision touches its own source, too, so all answers come from the sources met:
+    an edge is answered through its own source where that was met and else through its target, which makes each answer
+    once, at its right depth, and no answer is shuffled again to be told from its copies.
     """
-    ends = edges.select("edge_id", "source_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end_id"))
-    first = questions.select("question_id", F.col("provision_id").alias("end_id")).join(ends, "end_id").select("question_id", "edge_id", "source_id")
-    out = first.select("question_id", "edge_id", F.lit(1).alias("depth"))
-    if depth > 1:
-        second = first.select("question_id", F.col("source_id").alias("end_id")).distinct().join(ends, "end_id")
-        out = out.union(second.select("question_id", "edge_id", F.lit(2)))
-    return out.groupBy("question_id", "edge_id").agg(F.min("depth").alias("depth"))
+    asked = questions.select("question_id", F.col("provision_id").alias("end_id")).distinct()
+    edges = edges.select("edge_id", "source_id", "target_id").repartition("source_id").distinct()
+    if depth == 1:
+        ends = edges.select("edge_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end_id"))
+        return asked.join(ends, "end_id").select("question_id", "edge_id").distinct().withColumn("depth", F.lit(1))
+    # sources of touching edges, with the provisions that led there (one, unless a question names several)
+    touching = edges.select("source_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end_id")).distinct()
+    met = asked.join(touching, "end_id").groupBy("question_id", "source_id").agg(F.collect_set("end_id").alias("provisions"))
+    near = F.array_contains("provisions", F.col("source_id")) | F.coalesce(F.array_contains("provisions", F.col("target_id")), F.lit(False))
+    through_source = met.join(edges, "source_id").select("question_id", "edge_id", F.when(near, 1).otherwise(2).alias("depth"))
+    # an edge between two sources that were met has been answered; both of its ends may be met, so pairs count once
+    at_target = met.select("question_id", F.col("source_id").alias("target_id")).join(edges.filter("source_id <> target_id"), "target_id")
+    through_target = at_target.join(met.select("question_id", "source_id"), ["question_id", "source_id"], "left_anti").select("question_id", "edge_id", F.lit(2).alias("depth"))
+    return through_source.union(through_target)
 
 
 def link_amendments(amending: DataFrame, targets: DataFrame, relations: DataFrame) -> DataFrame:

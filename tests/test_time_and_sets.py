@@ -275,3 +275,29 @@ def test_sessions_round_to_seconds(spark):
     rows = [(1, at(0, 600_000)), (1, at(10, 400_000)), (2, at(0, 400_000)), (2, at(9, 600_000)), (3, at(10, 500_000)), (3, at(19, 500_001)), (4, at(10, 500_001)), (4, at(20, 499_999))]
     got = crawl.sessions(spark.createDataFrame(rows, "u int, ts timestamp_ntz"), "ts", "u", 10).groupBy("u").agg(F.count("*").alias("n"))
     assert {r["u"]: r["n"] for r in got.collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_trace_answers_each_edge_once(spark):
+    import random
+
+    from tessera.operators import graph
+
+    rng = random.Random(5)
+    edges = [(f"e{k}", rng.randint(0, 12), rng.choice([None, *range(13)]) if k % 9 == 0 else rng.randint(0, 12)) for k in range(40)]
+    asked = [(k % 7, k) for k in range(13)]  # several provisions a question
+    e = spark.createDataFrame(edges + edges[:5], "edge_id string, source_id int, target_id int")
+    q = spark.createDataFrame(asked, "question_id int, provision_id int")
+    for depth in (1, 2):
+        want = {}
+        for question, p in asked:
+            first = [x for x in edges if p in x[1:]]
+            for x in edges:
+                if x in first:
+                    want[question, x[0]] = 1
+                elif depth == 2 and {s for _, s, _ in first} & set(x[1:]):
+                    want.setdefault((question, x[0]), 2)
+        answers = graph.trace(q, e, depth)
+        assert sorted(tuple(r) for r in answers.collect()) == sorted((*k, d) for k, d in want.items())
+    # answers are not shuffled again: above the join that makes them there is no aggregate
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Union")
