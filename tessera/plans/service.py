@@ -7,6 +7,7 @@ row per question, and texts in answers are data from outside: callers should tre
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,11 +84,12 @@ def check_citation(questions: DataFrame, versions: DataFrame) -> DataFrame:
     return citations.check(questions, versions)
 
 
-def search_provisions(queries: DataFrame, versions: DataFrame, valid_at, known_at, limit: int = DEFAULT_LIMIT) -> tuple[DataFrame, DataFrame]:
+def search_provisions(queries: DataFrame, versions: DataFrame, valid_at, known_at, limit: int = DEFAULT_LIMIT, store: Callable[[DataFrame, str], DataFrame] = lambda t, name: t) -> tuple[DataFrame, DataFrame]:
     """Hits of each query among the servable versions in force at a date, and per query whether there was a corpus
-    at all and whether nothing in it was relevant."""
+    at all and whether nothing in it was relevant. ``store`` is as in ``search.bm25``; stored hits, a few for each query,
+    also show the planner their size, so that it need not deal out the corpus' texts to find those of the hits."""
     eligible = versions.filter(servable(F.col("status")) & contains(F.col("valid_from"), F.col("valid_to"), F.lit(valid_at)) & contains(F.col("known_from"), F.col("known_to"), F.lit(known_at)))
-    hits = search.bm25(queries, eligible, "version_id", "text", "heading", limit)
+    hits = store(search.bm25(queries, eligible, "version_id", "text", "heading", limit, store=store), "found")
     texts = eligible.select("version_id", "provision_id", "heading", "text")
     words = queries.select("query_id", F.filter(search.tokens(F.col("query")), lambda w: ~w.contains("_")).alias("wanted"))
     shown = search.best_line(hits.join(texts, "version_id").join(words, "query_id"), "text", F.col("wanted"))
