@@ -36,18 +36,30 @@ SHAPES = tuple(
         ("same_document", f"{_POINT}khoản{_S}(?P<clause>[0-9]+){_S}Điều{_S}này"),
     )
 )
+#: What a reference starts with, always before white space.
+STARTS = re.compile(f"(?:điểm|khoản|Điều|của|Chương|{'|'.join(TYPES)})(?=[\\s\ufeff])")
 SPAN_DDL = "kind string, span string, start int, end int, article int, clause int, point string, chapter string, title string, type string, number string"
 
 
+def _matches(shape: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """What ``shape.finditer`` finds, if every match starts at one of ``starts``."""
+    end = 0
+    for at in starts:
+        if at >= end and (m := shape.match(text, at)):
+            end = m.end()
+            yield m
+
+
 def find_references(text: str) -> list[dict]:
     """Spans of one text in order of their start (code points).
 
     Shapes are tried in order; a span that overlaps others meets only the first of them and takes its place if
-    it is longer.
+    it is longer. They are tried at the words that a reference may start with and nowhere else.
     """
     found: list[dict] = []
+    starts = [m.start() for m in STARTS.finditer(text)]
     for kind, shape in SHAPES:
-        for m in shape.finditer(text):
+        for m in _matches(shape, text, starts):
             g = m.groupdict()
             number = lambda k, g=g: int(g[k]) if g.get(k) else None
             span = {"kind": kind, "span": m[0], "start": m.start(), "end": m.end(), "article": number("article"), "clause": number("clause"), "point": g.get("point"), "chapter": g.get("chapter"), "title": g.get("title"), "type": g.get("type"), "number": g.get("number")}
@@ -60,19 +72,21 @@ def find_references(text: str) -> list[dict]:
 
 
 def extract_references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per reference: id, ord and the span's fields. Null texts give none.
+    """One row per reference: id, ord and the span's fields. Null texts give none. The id may be a struct of all that
+    is to stay with a text's references.
 
     Texts without any of the words a reference needs are filtered out before Python sees them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("Điều|Chương|số"))
-    out = to_arrow_schema(StructType([StructField("id", docs.schema[id_col].dataType), StructField("ord", IntegerType()), *StructType.fromDDL(SPAN_DDL)]))
+    out = to_arrow_schema(StructType([StructField("ord", IntegerType()), *StructType.fromDDL(SPAN_DDL)]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             # one text at a time as a Python string; the spans of a batch are all that is kept
-            rows = [{"id": i.as_py(), "ord": k, **s} for i, t in zip(batch["id"], batch["text"]) for k, s in enumerate(find_references(t.as_py()))]
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+            rows = [{"at": i, "ord": k, **s} for i, t in enumerate(batch["text"]) for k, s in enumerate(find_references(t.as_py()))]
+            ids = batch["id"].take(pa.array([r["at"] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *pa.RecordBatch.from_pylist(rows, schema=out).columns], names=["id", *out.names])
 
     return bounded_batches(texts).mapInArrow(run, f"id {kind}, ord int, {SPAN_DDL}").withColumnRenamed("id", id_col)
 

@@ -68,11 +68,16 @@ def provision_at(questions: DataFrame, versions: DataFrame) -> DataFrame:
     return answer.join(cited, "version_id", "left").withColumn("validity", F.when(F.col("status") == "resolved", "effective")).withColumn("untrusted_content", F.lit(True))
 
 
-def references_of(answers: DataFrame, versions: DataFrame) -> DataFrame:
-    """Cross-references in the texts of resolved answers, resolved at the questions' dates."""
+def references_of(answers: DataFrame, versions: DataFrame, store: Callable[[DataFrame, str], DataFrame] = lambda t, name: t) -> DataFrame:
+    """Cross-references in the texts of resolved answers, resolved at the questions' dates.
+
+    ``store`` may write the spans and read them back: each kind of reference is resolved from them, and no text is
+    searched twice. They bring their question along, so that answers are not joined again."""
     owner = versions.select("version_id", "document_id").distinct()
-    t = answers.filter("status = 'resolved'").join(owner, "version_id").select(F.col("question_id").cast("string").alias("question_id"), "provision_id", "document_id", "valid_at", "known_at", "text")
-    spans = references.extract_references(t, "question_id", "text").join(t.drop("text"), "question_id").withColumn("span_id", F.concat_ws("#", "question_id", "ord"))
+    asked = F.struct(F.col("question_id").cast("string").alias("question_id"), "provision_id", "document_id", "valid_at", "known_at")
+    t = answers.filter("status = 'resolved'").join(owner, "version_id").select(asked.alias("asked"), "text")
+    spans = references.extract_references(t, "asked", "text").select("asked.*", "*").drop("asked").withColumn("span_id", F.concat_ws("#", "question_id", "ord"))
+    spans = store(spans, "spans")
     return references.resolve_references(spans, versions, versions)
 
 

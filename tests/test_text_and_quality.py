@@ -345,3 +345,31 @@ def test_sums_of_a_search_are_dealt_by_their_number(spark, monkeypatch, rows):
     parts = [int(n) for n in re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())]
     joined = sum(len(set(t["t"]) & set(u["t"])) for t in docs.select(text.tokens(F.col("text")).alias("t")).collect() for u in q.select(text.tokens(F.col("query")).alias("t")).collect())
     assert joined // 10 + 1 in parts
+
+
+def test_references_are_tried_at_their_first_words():
+    words = ["điểm a", "khoản 2", "khoản", "Điều 12", "Điều", "của Nghị định này", "của", "Luật An ninh mạng và", "Bộ luật", "số", "Nghị định số 100/2019/NĐ-CP", "Điều này", "Chương IV của Luật này", ",", "\ufeff", "xLuật", "điểmx"]
+    rng = random.Random(7)
+    n = 0
+    for _ in range(3000):
+        t = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\u00a0", "\ufeff", ""]) for _ in range(14))
+        starts = [m.start() for m in references.STARTS.finditer(t)]
+        for _, shape in references.SHAPES:
+            want = [m.span() for m in shape.finditer(t)]
+            assert [m.span() for m in references._matches(shape, t, starts)] == want
+            n += len(want)
+    assert n > 100
+
+
+def test_references_are_looked_for_once(spark):
+    v = spark.createDataFrame([("p1", "v1", "d", "1/2020/NĐ-CP", "Điều 1. x", D(2020, 1, 1), None, T(2019, 1, 1), None, "verified", 1, "khoản 1 Điều này")], "provision_id string, version_id string, document_id string, document_number string, heading string, valid_from date, valid_to date, known_from timestamp, known_to timestamp, status string, n_evidence int, text string")
+    q = spark.createDataFrame([(1, "p1", D(2023, 1, 1), T(2026, 1, 1))], "question_id int, provision_id string, valid_at date, known_at timestamp")
+    kept = []
+
+    def store(df, name):
+        kept.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    out = service.references_of(service.provision_at(q, v), v, store)
+    assert [(r["span_id"], r["target_version_id"]) for r in out.collect()] == [("1#0", "v1")]
+    assert [p.count("MapInArrow") for p in kept] == [1] and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
