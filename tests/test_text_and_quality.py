@@ -373,3 +373,13 @@ def test_references_are_looked_for_once(spark):
     out = service.references_of(service.provision_at(q, v), v, store)
     assert [(r["span_id"], r["target_version_id"]) for r in out.collect()] == [("1#0", "v1")]
     assert [p.count("MapInArrow") for p in kept] == [1] and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coverage_deals_lines_by_document_only(spark):
+    """Lines are found among lines, headings and within texts of their own document, without a join by line."""
+    lines = spark.createDataFrame([(1, 1, "a\u00a0 b"), (1, 2, "b  c"), (1, 3, "Head  1"), (1, 4, " \t"), (1, 5, "gone"), (1, 6, "gone"), (1, 7, "y x"), (1, 8, "x y"), (1, 9, "c d"), (2, 1, "a b"), (3, 1, "z"), (4, 1, "q")], "doc_id long, ord int, text string")
+    records = spark.createDataFrame([(1, "Head 1", "x\r\n \n\u3000y\na b", 2), (1, None, "a\tb c\n d", 1), (2, "h", None, 1), (4, None, "\ufeffq\n", 1)], "doc_id long, heading string, text string, ord int")
+    left = quality.coverage(lines, records)
+    assert sorted(map(tuple, left.collect())) == [(1, 5, "gone"), (1, 6, "gone"), (1, 7, "y x"), (2, 1, "a b"), (3, 1, "z")]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join ") == 1
