@@ -383,3 +383,17 @@ def test_coverage_deals_lines_by_document_only(spark):
     assert sorted(map(tuple, left.collect())) == [(1, 5, "gone"), (1, 6, "gone"), (1, 7, "y x"), (2, 1, "a b"), (3, 1, "z")]
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("Join ") == 1
+
+
+def test_numbering_is_checked_in_all_articles(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import registry, usecases  # noqa: F401  (the last registers its queries)
+
+    texts = ["1. một\na) x\nc) y\n3. ba\nz) z", "một\n2.1. không\n\t1.\n2147483647. lớn\n1. một\n99999999999. quá lớn", None, "b) x", "không"]
+    spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["numbering_breaks"](spark, str(tmp_path)).collect())
+    assert got == [(1, "2", "3"), (1, "a", "z"), (1, "b", "c"), (2, "2", "2147483647"), (2, "2147483648", "1"), (4, "a", "b"), (5, "b", "d")]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.ORACLES["numbering_breaks"]).fetchall())
